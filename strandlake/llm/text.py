@@ -40,21 +40,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHasher:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of byte strings, A-Z lower-cased, without a Python loop over words."""
+#: The same without lower-casing.
+EXACT = BYTE.copy()
+EXACT[65:91] = _RNG.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class SpanHasher:
+    """64-bit hashes of spans of a run of bytes, by differences of one running sum."""
 
     def __init__(self) -> None:
         self.up = np.empty(0, np.uint64)
         self.down = np.empty(0, np.uint64)
 
+    def spans(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+        n = len(data)
+        if len(self.up) < n:
+            size = 1 << max(20, int(n - 1).bit_length())
+            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(table[data] * self.up[:n], out=total[1:])
+        return mix((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64))
+
+
+class WordHasher(SpanHasher):
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of byte strings, A-Z lower-cased, without a Python loop over words."""
+
     def __call__(self, data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first byte, end byte) of each word; cuts: places that end a word besides white space (ends of texts)."""
         n = len(data)
         if not n:
             return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.up) < n:
-            size = 1 << max(20, int(n - 1).bit_length())
-            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
         word = ~SPACE[data]
         starts = word.copy()
         starts[1:] &= ~word[:-1]
@@ -66,10 +82,7 @@ class WordHasher:
             starts[inner] |= word[inner]
             ends[inner] |= word[inner - 1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(BYTE[data] * self.up[:n], out=total[1:])
-        return mix((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64)), s, e
+        return self.spans(data, s, e), s, e
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
