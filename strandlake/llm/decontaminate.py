@@ -198,6 +198,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_byte", "end_byte")).alias("m")).select("doc_id", "item_id", "m.*")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns. A null id is an id like others here."""
+    found = find_leaks(docs, benchmark, id_column, text).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, F.col(id_column).cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+
+
 def _search(docs: DataFrame, table) -> DataFrame:
     kinds = ("doc_id", "item_id", "edits", "first_byte", "end_byte")
 

@@ -88,6 +88,22 @@ def digest(rows: DataFrame) -> DataFrame:
     )
 
 
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with every span of text replaced by [kind]; overlapping spans are replaced together by the first one's kind."""
+    _, entries = scan_ledger(docs, ledger, path, text)
+    known = entries if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).unionByName(entries)
+    known = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    rows = docs.join(known, F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
+    state = "struct(0 as at, '' as out)"
+    body = f"`{text}`"
+    # Pieces before each span and its mark; what an earlier span has covered is left out.
+    fold = (
+        f"aggregate(_spans, {state}, (a, s) -> if(s.end <= a.at, a, struct(s.end as at, concat(a.out, if(s.start >= a.at, concat(substr({body}, a.at + 1, s.start - a.at), '[', s.kind, ']'), '')) as out)),"
+        f" a -> concat(a.out, substr({body}, a.at + 1)))"
+    )
+    return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.expr(fold))).drop("_blob", "_spans")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(scan_ledger(docs)[0])
