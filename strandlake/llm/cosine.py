@@ -97,12 +97,13 @@ def _link_blocks(similarity: float, width: int):
     """The function that counts links and joins components inside one pair of units."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        key = [x.as_py() for x in key]
         ids, copies, side = (table.column(c).to_numpy() for c in ("id", "copies", "side"))
         x = _matrix(table.column("embedding").combine_chunks(), width)
         order = np.lexsort((ids, side))
         ids, copies, side, x = ids[order], copies[order], side[order], x[order]
         cut = int(np.searchsorted(side, 1))
-        alone = cut == len(ids)  # a unit with itself
+        alone = key[0] == key[2] and key[1] == key[3]  # a unit with itself
         a, b = (x, x) if alone else (x[:cut], x[cut:])
         link = a @ b.T >= similarity
         if alone:

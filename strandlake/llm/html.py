@@ -163,6 +163,34 @@ LABELLED = (
     ((25, 0.1, 12, 0.0, 45, 0.0, 0, 0, 0, 0), 1),
     ((3, 0.0, 70, 0.0, 66, 0.0, 0, 0, 0, 0), 1),
     ((40, 0.3, 66, 0.0, 3, 0.5, 0, 0, 0, 0), 1),
+    ((5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0), 0),
+    ((20, 0.0, 80, 0.0, 4, 0.0, 0, 0, 1, 0), 0),
+    ((40, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 0), 0),
+    ((85, 0.0, 30, 0.0, 9, 0.0, 0, 0, 1, 0), 0),
+    ((120, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0), 0),
+    ((200, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 0), 0),
+    ((9, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 0), 0),
+    ((80, 0.0, 12, 0.0, 75, 0.0, 0, 1, 1, 0), 1),
+    ((85, 0.0, 0, 0.0, 60, 0.0, 0, 1, 1, 0), 1),
+    ((120, 0.0, 85, 0.0, 90, 0.0, 0, 1, 1, 0), 1),
+    ((300, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 0), 1),
+    ((500, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0), 1),
+    ((78, 0.0, 40, 0.0, 3, 0.0, 0, 1, 1, 0), 1),
+    ((5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0), 1),
+    ((1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1, 0), 1),
+    ((80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0), 1),
+    ((85, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
+    ((120, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0), 1),
+    ((300, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
+    ((2, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
+    ((40, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
+    ((80, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
+    ((150, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
+    ((400, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0), 0),
+    ((3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
+    ((12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
+    ((60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1),
+    ((12, 0.0, 0, 0.0, 15, 0.0, 0, 0, 0, 0), 1),
 )
 
 

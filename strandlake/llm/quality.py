@@ -29,6 +29,8 @@ CHUNK = 512
 TRAIN_ROWS, SLICES, EPOCHS, BATCH, RATE = 1024, 4, 30, 64, 0.01
 THRESHOLD = 0.3
 BLOCK = 1 << 19
+#: A filter value below all others, for places past the end of a text.
+NONE = np.float32(-1e30)
 
 
 def fold_is_held_out(doc_id: Column) -> Column:
@@ -54,8 +56,8 @@ class Network:
         self.top = rng.normal(0, 0.3, FILTERS).astype(np.float32)
         self.shift = np.float32(0)
 
-    def fit(self, slices: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
-        """slices: (n, CHUNK + WIDTH - 1) bytes; owner: text of each; label and weight of each text. Adam on the log loss."""
+    def fit(self, slices: np.ndarray, size: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
+        """slices: (n, CHUNK + WIDTH - 1) bytes, of which size count; owner: text of each; label and weight of each text. Adam on the log loss."""
         rng = np.random.default_rng(seed)
         params = [self.tables, self.bias, self.top]
         slope, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -72,6 +74,7 @@ class Network:
                 values = np.take(self.tables[0], data[:, :CHUNK], axis=0)
                 for k in range(1, WIDTH):
                     values += np.take(self.tables[k], data[:, k : k + CHUNK], axis=0)
+                values[np.arange(CHUNK) >= size[rows][:, None]] = NONE
                 best = values.argmax(1)
                 peak = np.take_along_axis(values, best[:, None, :], 1)[:, 0] + self.bias
                 active = np.maximum(peak, 0)
@@ -98,16 +101,20 @@ class Network:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One probability a text, from all of its bytes. Texts are laid out on borders of STEP bytes, padded with zeros."""
         sizes = np.diff(offsets)
-        segments = np.maximum(1, -(-sizes // STEP))
+        segments = -(-(sizes + WIDTH - 1) // STEP)
         first = np.concatenate([[0], np.cumsum(segments)])
         out, total = np.zeros(int(first[-1]) * STEP + WIDTH - 1, np.uint8), int(offsets[-1])
         place = np.arange(total) + np.repeat(first[:-1] * STEP - offsets[:-1], sizes)
         out[place] = data[:total]
+        # Filters start at bytes of a text only (an empty one has one place); the padding behind it is long enough for them.
+        past = np.ones(len(out), bool)
+        past[place] = False
+        past[first[:-1] * STEP] = False
         peaks = np.empty((int(first[-1]), FILTERS), np.float32)
         for a in range(0, len(peaks), 4096):
             b = min(a + 4096, len(peaks))
             values = _responses(out[a * STEP : b * STEP + WIDTH - 1], self.tables, self.bias)
-            # The last WIDTH - 1 values of a text see the next text's bytes only past its own padding or its last byte.
+            values[past[a * STEP : b * STEP]] = NONE
             values.reshape(b - a, STEP, FILTERS).max(1, out=peaks[a:b])
         per, hop = CHUNK // STEP, CHUNK // STEP - 1
         chunks = np.maximum(1, -(-(segments - 1) // hop))
@@ -138,14 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     found = [r for r in found if any(r.cuts)]
     if len({r.quality for r in found}) < 2:
         return counts.get(1, 0) / sum(counts.values())
-    parts, owner = [], []
+    parts, owner, size = [], [], []
     for i, r in enumerate(found):
         for cut in r.cuts:
+            size.append(min(CHUNK, max(1, len(cut.encode()))))
             parts.append(np.frombuffer(cut.encode()[: CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0"), np.uint8))
             owner.append(i)
     label = np.array([r.quality for r in found], np.float32)
     share = np.array([counts[q] / sum(counts.values()) / (label == q).mean() for q in (0, 1)], np.float32)
-    return Network().fit(np.stack(parts), np.array(owner), label, share[label.astype(int)])
+    return Network().fit(np.stack(parts), np.array(size), np.array(owner), label, share[label.astype(int)])
 
 
 def scored(docs: DataFrame, model: Network | float, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
