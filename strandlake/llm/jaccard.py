@@ -12,6 +12,9 @@ Equal sets are joined first, by a 128-bit digest of the set, and one of each goe
 expanded into pairs: for ROUNDS rounds, linear in the places' rows, each set is compared with its place's pivot of the round,
 and exact links are joined into components. After that only sets of one place that still lie in different components are
 compared with each other, so a group of near copies is never expanded and no link between components is missed.
+
+Before any text is read, two bounds that every link meets prune pairs: the sizes' ratio, and the bitmap filter: each set carries
+SKETCH bits, each the parity of its tokens that fall there, and two sets differ in at least as many tokens as in bits.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ FREQUENT, LEAST = 1 << 17, 8
 #: Tokens are counted in so many ranges of their hash; only the COUNTED lowest of 256 parts of the hash range are counted, since
 #: a prefix of rare tokens hardly ever reaches further.
 RANGES, COUNTED = 256, 104
+#: Bits of a set's parity sketch.
+SKETCH = 256
+#: Least and most bits of the fixed-size filter of the ids whose texts are compared.
+FILTER_BITS = (1 << 20, 1 << 26)
 #: Pairs with a common pivot are verified in chunks of so many.
 CHUNK = 32
 
@@ -107,7 +114,7 @@ class Rule:
 
     def __init__(self, similarity: str) -> None:
         self.t = Fraction(similarity)
-        self.least = math.ceil(1 / (1 - self.t)) if self.t < 1 else 1 << 62  # smaller sets link with equal ones only
+        self.least = max(1, math.ceil(self.t / (1 - self.t))) if self.t < 1 else 1 << 62  # smaller sets link with equal ones only
 
     def classes(self, band: int) -> int:
         smallest = max(1 << band, self.least)
@@ -116,6 +123,12 @@ class Rule:
     def need(self, n: int) -> int:
         return math.ceil(self.t * n)
 
+    def may_link(self, a: str, b: str) -> str:
+        """SQL for what a pair of sets a, b (structs of n and bits) has to meet before it is compared."""
+        num, den = self.t.numerator, self.t.denominator
+        differ = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(SKETCH // 64))
+        return f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num} and ({differ}) * {den + num} <= ({a}.n + {b}.n) * {den - num}"
+
     def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return both * self.t.denominator >= self.t.numerator * (a + b - both)
 
@@ -162,26 +175,48 @@ def _sets(column: pa.Array, k: int, hasher: WordHasher) -> Iterator[np.ndarray]:
 
 
 def describe(docs: DataFrame, k: int, similarity: str, frequent: np.ndarray) -> DataFrame:
-    """id, n, set_a, set_b (128 bits that stand for the set), keys of docs(id, text)."""
+    """id, n, set_a, set_b (128 bits that stand for the set), bits (its sketch), keys of docs(id, text)."""
     spark = docs.sparkSession
     table, rule = spark.sparkContext.broadcast(frequent), Rule(similarity)
-    kinds = {"id": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), "keys": pa.list_(pa.int64())}
+    kinds = {"id": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, often = WordHasher(), table.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, a, b, keys = [], [], [], []
+                n, a, b, bits, keys = [], [], [], [], []
                 for tokens in _sets(part.column(1), k, hasher):
                     n.append(len(tokens))
                     a.append(tokens.sum(dtype=np.uint64))
                     b.append(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+                    parity = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+                    bits.append(np.packbits(parity.astype(bool)).view(np.int64))
                     keys.append(prefix_keys(tokens, often, rule).view(np.int64))
-                columns = [part.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], pa.array(keys, kinds["keys"])]
+                columns = [part.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], pa.array(bits, kinds["bits"]), pa.array(keys, kinds["keys"])]
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, bits array<long>, keys array<long>")
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be among wanted, so that other texts are not shuffled. The filter's size is bounded;
+    where it fills up, more texts pass."""
+    n = wanted.count()
+    size = min(max(FILTER_BITS[0], 1 << int(16 * n).bit_length()), FILTER_BITS[1])
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    words = wanted.select(slot("want").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    table = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            keep = (table.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.select(["id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return docs.select("id", "text", slot("id").alias("slot")).where("id is not null").mapInArrow(run, "id long, text string")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFrame:
@@ -193,7 +228,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFr
     rule = Rule(similarity)
     keyed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk"))
     wanted = keyed.select(F.col("b").alias("want"), "a", "chunk", F.lit(1).alias("kind")).union(keyed.select(F.col("a").alias("want"), "a", "chunk", F.lit(0).alias("kind")).distinct())
-    rows = wanted.join(docs.select("id", "text"), F.col("want") == F.col("id")).select("a", "chunk", "kind", "want", "text")
+    rows = wanted.join(wanted_texts(docs, wanted.select("want").distinct()), F.col("want") == F.col("id")).select("a", "chunk", "kind", "want", "text")
     dealt = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +263,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     # Equal sets: one stands for all; sizes are part of the key.
     same = seen.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     first = staged(same, "reps")
-    keys = seen.select("id", "n", "set_a", "set_b", "keys").where(F.size("keys") > 0)
-    keys = keys.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
-    counted = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    places = staged(keys.join(counted.select("key"), "key"), "places")
+    keys = seen.where(F.size("keys") > 0).join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    # Keys are dealt out once. Of keys held by just the same sets (told by count, least id and 128 bits) one is enough.
+    dealt = keys.select("id", F.explode("keys").alias("key")).repartition("key")
+    held = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")).where("m > 1")
+    told = held.groupBy("m", "low", "h", "g").agg(F.min("key").alias("key")).select("key")
+    shared = dealt.join(told, "key")
+    places = staged(shared.join(keys.select("id", F.struct("n", "bits").alias("s")), "id"), "places")
+    rule = Rule(similarity)
     links = None
     tried = None
     state: DataFrame | None = None
@@ -239,16 +278,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     while True:
         rounds += 1
         # Each place's sets with their components; a place of one component is settled.
-        now = places if state is None else places.join(state, places.id == state.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        now = places if state is None else places.join(state, places.id == state.node, "left").select("key", "id", "s", F.coalesce("component", "id").alias("c"))
         if state is None:
             now = now.withColumn("c", F.col("id"))
-        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(rounds)).alias("h"), "id", "c")).alias("p")).where("low < high")
+        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(rounds)).alias("h"), "id", "c", "s")).alias("p")).where("low < high")
         if rounds <= ROUNDS:
-            pairs = now.join(spread.select("key", "p"), "key").where("c <> p.c").select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+            pairs = now.join(spread.select("key", "p"), "key").where("c <> p.c and " + rule.may_link("s", "p.s")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
         else:
             # The rest: all sets of a place that lie in different components, with exact verification.
             here = now.join(spread.select("key"), "key")
-            pairs = here.alias("x").join(here.alias("y"), "key").where("x.c <> y.c and x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = here.alias("x").join(here.alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id < y.id and " + rule.may_link("x.s", "y.s"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").groupBy("lo", "hi").agg(F.min("a").alias("a"))
         pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi")
         if tried is not None:
