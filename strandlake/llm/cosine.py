@@ -3,9 +3,10 @@
 On unit vectors cosine >= s means distance <= sqrt(2 - 2 s). Nested levels of centres with halving radii are built on the driver from
 a bounded sample; every vector is then assigned to its nearest centre of the finest level, and each node gets the covering
 radius of all vectors below it, whatever the sample missed. Two nodes further apart than both covering radii plus the distance
-hold no link; the traversal descends from the pair of the root with itself and leaves pairs of leaves. A vector travels to a
-pair only if it lies within reach of the other leaf's ball. Leaves are cut into units of about UNIT vectors, so no task holds
-more than two units; in each pair of units the cosine is computed in double precision.
+hold no link; the traversal descends from the pair of the root with itself and leaves pairs of leaves. Neighbouring leaves form
+groups of up to UNIT vectors, larger leaves are cut, so no task holds more than two units of about UNIT vectors. A vector travels
+to a pair of units only if it lies within reach of the ball of one of the other's leaves, and within reach of the plane between
+that leaf's centre and its own. In each pair of units the cosine is computed in double precision.
 
 Equal vectors are joined first and counted. Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; shorter vectors are continued with zeros; repeated rows are vectors of their own; a null vec_id is a
@@ -26,7 +27,9 @@ from strandlake.llm.components import connected_components
 from strandlake.llm.stage import staged
 
 #: Most centres sampled, vectors for each centre, and vectors of a unit.
-CENTRES, PER_CENTRE, UNIT = 2048, 64, 1024
+CENTRES, PER_CENTRE, UNIT = 2048, 64, 4096
+#: Vectors that a task places at once, and rows of a batch that it sends.
+SLICE, SENT = 256, 16384
 #: Distances are compared with this much to spare, far above rounding, before the exact cosine decides.
 SPARE = 1e-6
 
@@ -67,6 +70,22 @@ class CoverTree:
     def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
 
+    def groups(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves in the tree's order, and where in it each group of up to UNIT vectors (or one larger leaf) begins."""
+        at = np.arange(len(self.leaves))
+        path = [at]
+        for _, up in self.levels[:0:-1]:
+            at = up[at]
+            path.append(at)
+        order = np.lexsort(path)
+        begin, held = [0], 0
+        for i, n in enumerate(size[order].tolist()):
+            if held and held + n > UNIT:
+                begin.append(i)
+                held = 0
+            held += n
+        return order, np.array(begin)
+
     def pairs(self, radius: np.ndarray, full: np.ndarray, reach: float) -> np.ndarray:
         """Pairs (i <= j) of leaves with vectors that may hold a link; radius: covering radius of each leaf."""
         radii = [radius]
@@ -112,11 +131,14 @@ def _link_blocks(similarity: float, width: int):
         else:
             counts = np.concatenate([link @ copies[cut:], copies[:cut] @ link])
         lower = ids.copy()
-        while True:
-            left, right = (lower, lower) if alone else (lower[:cut], lower[cut:])
-            far = np.iinfo(np.int64).max
-            down = np.where(link, right[None], far).min(1, initial=far)
-            then = np.minimum(lower, down) if alone else np.concatenate([np.minimum(left, down), np.minimum(right, np.where(link, left[:, None], far).min(0, initial=far))])
+        # Only rows and columns with a link take part in what follows.
+        rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0)) + (0 if alone else cut)
+        link = link[np.ix_(rows, cols - (0 if alone else cut))]
+        far = np.iinfo(np.int64).max
+        while len(rows):
+            then = lower.copy()
+            then[rows] = np.minimum(then[rows], np.where(link, lower[cols][None], far).min(1))
+            then[cols] = np.minimum(then[cols], np.where(link, then[rows][:, None], far).min(0))
             if (then == lower).all():
                 break
             lower = then
@@ -130,7 +152,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95, id_column: str
     """id_column, n_links, component_id, kept for every row of vectors."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * similarity)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(kind).alias("embedding"))
     usable = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
     good = rows.where(usable)
     rest = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("c"))
@@ -151,43 +174,47 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95, id_column: str
             gap = np.linalg.norm(x - centres[leaf], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf.astype(np.int32)), pa.array(gap)], names=["id", "embedding", "copies", "leaf", "gap"])
 
-    placed = staged(kinds.select(F.col("rep").alias("id"), "embedding", "copies").mapInArrow(assign, "id long, embedding array<double>, copies long, leaf int, gap double"), "leaves")
+    placed = staged(kinds.select(F.col("rep").alias("id"), "embedding", "copies").mapInArrow(assign, f"id long, embedding {kind}, copies long, leaf int, gap double"), "leaves")
     radius, size = np.zeros(len(tree.leaves)), np.zeros(len(tree.leaves), np.int64)
     for r in placed.groupBy("leaf").agg(F.max("gap").alias("gap"), F.count("*").alias("n")).collect():  # a row a leaf
         radius[r.leaf], size[r.leaf] = r.gap, r.n
-    pairs = tree.pairs(radius, size > 0, reach)
-    plan = spark.sparkContext.broadcast((pairs[np.argsort(pairs[:, 0], kind="stable")], pairs[np.argsort(pairs[:, 1], kind="stable")], radius, np.maximum(1, -(-size // UNIT))))
+    order, begin = tree.groups(size)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.searchsorted(begin, np.arange(len(order)), side="right") - 1
+    mates = np.zeros((len(order), len(order)), bool)
+    low, high = tree.pairs(radius, size > 0, reach).T
+    mates[low, high] = mates[high, low] = True
+    units = np.maximum(1, -(-np.bincount(group, size).astype(np.int64) // UNIT))
+    plan = spark.sparkContext.broadcast((order, begin, group, mates, radius, units))  # CENTRES * CENTRES bytes at most
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = leaves.value
-        by_low, by_high, radius, units = plan.value
-        mates = {}
-        for leaf in range(len(centres)):
-            low = by_low[slice(*np.searchsorted(by_low[:, 0], [leaf, leaf + 1]))][:, 1]
-            high = by_high[slice(*np.searchsorted(by_high[:, 1], [leaf, leaf + 1]))][:, 0]
-            mates[leaf] = np.unique(np.concatenate([low, high]))
+        order, begin, group, mates, radius, units = plan.value
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
         for batch in batches:
-            x = _matrix(batch.column(1), width)
-            ids, leaf = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % units[leaf]
-            row, la, ua, lb, ub, side = [], [], [], [], [], []
-            for i in range(len(x)):
-                near = mates[int(leaf[i])]
-                gap = np.sqrt(np.maximum(0, 2 - 2 * centres[near] @ x[i]))
-                for other in near[gap <= radius[near] + reach + SPARE].tolist():
-                    for u in range(int(units[other])):
-                        mine, yours = (int(leaf[i]), int(own[i])), (other, u)
-                        first, second = min(mine, yours), max(mine, yours)
-                        row.append(i)
-                        la.append(first[0])
-                        ua.append(first[1])
-                        lb.append(second[0])
-                        ub.append(second[1])
-                        side.append(int(mine != first))
-            out = batch.select(["id", "embedding", "copies"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, *[pa.array(c, pa.int32()) for c in (la, ua, lb, ub, side)]], names=["id", "embedding", "copies", "la", "ua", "lb", "ub", "side"])
-
-    dealt = placed.mapInArrow(send, "id long, embedding array<double>, copies long, la int, ua int, lb int, ub int, side int")
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                x = _matrix(part.column(1), width)
+                ids, leaf = part.column(0).to_numpy(), part.column(3).to_numpy()
+                mine = group[leaf]
+                own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % units[mine]
+                dots = x @ centres.T
+                ball = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= radius + reach + SPARE
+                plane = dots[np.arange(len(x)), leaf][:, None] - dots <= reach * apart[leaf] + SPARE
+                near = np.logical_or.reduceat((ball & plane & mates[leaf])[:, order], begin, axis=1)
+                near[np.arange(len(x)), mine] = True
+                row, other = np.nonzero(near)
+                times = units[other]
+                unit = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, other = np.repeat(row, times), np.repeat(other, times)
+                ga, ua = mine[row], own[row]
+                side = (other < ga) | ((other == ga) & (unit < ua))
+                ends = [np.where(side, other, ga), np.where(side, unit, ua), np.where(side, ga, other), np.where(side, ua, unit), side]
+                for i in range(0, len(row), SENT):
+                    out = part.select(["id", "embedding", "copies"]).take(pa.array(row[i : i + SENT]))
+                    yield pa.RecordBatch.from_arrays([*out.columns, *[pa.array(c[i : i + SENT].astype(np.int32)) for c in ends]], names=["id", "embedding", "copies", "la", "ua", "lb", "ub", "side"])
+
+    dealt = placed.mapInArrow(send, f"id long, embedding {kind}, copies long, la int, ua int, lb int, ub int, side int")
     found = staged(dealt.groupBy("la", "ua", "lb", "ub").applyInArrow(_link_blocks(similarity, width), "id long, links long, low long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())

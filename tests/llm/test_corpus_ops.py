@@ -97,7 +97,9 @@ def test_components(spark):
     assert got == {x: want[x] for ab in links for x in ab if ab[0] != ab[1]}
 
 
-def test_cosine_equals_brute_force(spark):
+@pytest.mark.parametrize("unit", [cosine.UNIT, 24])
+def test_cosine_equals_brute_force(spark, monkeypatch, unit):
+    monkeypatch.setattr(cosine, "UNIT", unit)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
     rows = [(i, (base[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.08, 0.3])).astype(np.float32).tolist()) for i in range(300)]
