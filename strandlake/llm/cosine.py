@@ -59,7 +59,7 @@ class CoverTree:
                 chosen.append(i)
                 near = np.minimum(near, np.linalg.norm(points - points[i], axis=1))
             centres = np.array(chosen)
-            gap = np.linalg.norm(points[centres][:, None] - points[np.array(parents)][None], axis=2) if len(centres) * len(parents) <= 1 << 20 else self._gaps(points[centres], points[np.array(parents)])
+            gap = self._gaps(points[centres], points[np.array(parents)])
             self.levels.append((centres, gap.argmin(1)))
             if radius <= reach / 2 or len(chosen) == len(points):
                 break
@@ -98,18 +98,12 @@ class CoverTree:
             radii.append(r)
             used.append(u)
         radii, used = radii[::-1], used[::-1]
-        now = np.array([[0, 0]]) if used[0][0] else np.empty((0, 2), np.int64)
-        for depth in range(1, len(self.levels)):
+        near = np.array([[bool(used[0][0])]])
+        for depth in range(1, len(self.levels)):  # a level's matrix has CENTRES * CENTRES entries at most
             centres, up = self.levels[depth]
-            children = [np.flatnonzero((up == p) & used[depth]) for p in range(len(self.levels[depth - 1][0]))]
-            then = []
-            for a, b in now:
-                i, j = np.meshgrid(children[a], children[b], indexing="ij")
-                both = np.stack([np.minimum(i, j).ravel(), np.maximum(i, j).ravel()], 1)
-                gap = np.linalg.norm(self.points[centres[both[:, 0]]] - self.points[centres[both[:, 1]]], axis=1)
-                then.append(both[gap <= radii[depth][both[:, 0]] + radii[depth][both[:, 1]] + reach + SPARE])
-            now = np.unique(np.concatenate(then), axis=0) if then else np.empty((0, 2), np.int64)
-        return now
+            at, r, u = self.points[centres], radii[depth], used[depth]
+            near = near[up][:, up] & u[:, None] & u & (self._gaps(at, at) <= r[:, None] + r + reach + SPARE)
+        return np.argwhere(np.triu(near))
 
 
 def _link_blocks(similarity: float, width: int):
