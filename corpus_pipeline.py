@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier, the edit distances and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the edit distances and the tokenizer are beyond SQL; tests hold the operators against brute force and run the stages.
 ORACLE_SQL = None
 
 
