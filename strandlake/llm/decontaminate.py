@@ -1,12 +1,10 @@
-"""Benchmark decontamination: the CGK random walk maps edit distance over words to Hamming distance, repeated bit-sampling LSH
-over item-sized windows proposes items, and the exact edit distance decides.
+"""Benchmark decontamination: every benchmark item that a document holds, found by pieces that must be whole, and the exact edit distance.
 
-A document holds an item of W words if some run of its words is within floor(EDITS x W) word edits of it. Such a run shares at
-least W - q + 1 - q x edits of the item's q-word grams, so windows are opened only where that many grams of any item lie close
-together, at starts of runs of such grams, the LEAD words before and the LAG words behind them. That count bounds which windows can match;
-it loses none within the edit bound except where the first run begins further than that from the item's start. Which items a window is
-compared with comes from the LSH alone: WALKS walks, TABLES samples of BITS steps each. For a pair whose walks differ in
-a third of the steps, a sample agrees with probability (2/3)^BITS, so WALKS x TABLES = 32 samples miss it less than once in a hundred.
+A document holds an item of W words if some run of its words is within e = floor(EDITS x W) word edits of it. Of e + 1 disjoint
+pieces of the item at least one is then unchanged in the run, so the e + 1 pieces that fewest items share are looked up at every
+place of a text; each find gives the only stretch where the run can lie, and a run there also shares at least W - q + 1 - q x e
+of the item's q-word grams. Stretches with that many grams are decided by the exact distance. Neither step loses a match,
+wherever the edits are and whatever stands around the passage. Pieces and grams have GRAM words, in items of less than SMALL words one.
 
 Defined cases: null, empty and wordless texts and items match nothing; null doc ids stay; repeated rows give repeated matches
 once each (rows are told apart by nothing but doc_id); empty tables give no rows; texts of any length are read whole; other columns are ignored.
@@ -24,29 +22,16 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.text import PLACE, WordHasher, blocks, mix, texts_of, words_by_text
 
-EDITS, GRAM, LEAD, LAG, SMALL = 0.2, 3, 4, 2, 8
-WALKS, TABLES, BITS = 2, 16, 4
-#: Most items broadcast together, and the ratio of the longest to the shortest of a class.
-ITEMS, RATIO = 20_000, 1.25
+EDITS, GRAM, SMALL = 0.2, 3, 6
+#: Most items broadcast together, and most rows of finds that are held at a time.
+ITEMS, FINDS = 20_000, 1 << 20
 MAP_BITS = 22
-_RNG = np.random.Generator(np.random.PCG64(77))
 
 
 def edits_allowed(words: int) -> int:
     return int(EDITS * words)
 
 
-def walk(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """The CGK embedding of rows of symbols that end with padding: at step j a symbol is copied and, by a random bit of it, passed."""
-    out = np.empty((len(rows), len(steps)), np.uint64)
-    at, each, last = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows.shape[1] - 1
-    for j, step in enumerate(steps):
-        symbol = rows[each, np.minimum(at, last)]
-        out[:, j] = symbol
-        at += (symbol * step >> np.uint64(63)).astype(np.int64)
-    return out
-
-
 def infix_edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """(least edits between item and any run of words, end of that run), exactly."""
     n = len(words)
@@ -59,127 +44,127 @@ def infix_edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
-class Class:
-    """Items of like length with their LSH tables."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], seed: int) -> None:
-        self.items = items
-        sizes = [len(w) for _, w in items]
-        self.low, self.high = min(sizes), max(sizes)
-        rng = np.random.default_rng(seed)
-        reach = max(1, int(1.6 * self.low))
-        self.steps = rng.integers(1, 2**63, (WALKS, reach), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.samples = np.stack([np.sort(rng.choice(reach, min(BITS, reach), replace=False)) for _ in range(WALKS * TABLES)]).reshape(WALKS, TABLES, -1)
-        padded = np.zeros((len(items), self.high + 1), np.uint64)
-        for i, (_, w) in enumerate(items):
-            padded[i, : len(w)] = w
-        keys = self.keys(padded)
-        order = np.argsort(keys.ravel(), kind="stable")
-        self.key, self.owner = keys.ravel()[order], np.repeat(np.arange(len(items)), keys.shape[1])[order]
-        self.small = self.low < SMALL
-        grams = np.concatenate([w if self.small else grams_of(w) for _, w in items])
-        self.grams = np.unique(grams)
-        #: Least number of shared grams over the class's lengths; and the most words that a matching run can have.
-        self.least = max(1, min(w - GRAM + 1 - GRAM * edits_allowed(w) for w in sizes))
-        self.reach = self.high + edits_allowed(self.high)
-
-    def keys(self, rows: np.ndarray) -> np.ndarray:
-        out = []
-        for w in range(WALKS):
-            path = walk(rows, self.steps[w])
-            for t in range(TABLES):
-                salt = np.uint64(w * TABLES + t + 1)
-                out.append(mix((path[:, self.samples[w, t]] * PLACE[: self.samples.shape[2]]).sum(1, dtype=np.uint64) + salt))
-        return np.stack(out, 1)
-
-    def starts(self, seen: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Where windows open among the places at, whose grams (or words, for a class of small items) may be of some item."""
-        found = np.searchsorted(self.grams, seen[at])
-        at = at[self.grams[np.minimum(found, len(self.grams) - 1)] == seen[at]]
-        if self.small or not len(at):
-            return at
-        near = np.searchsorted(at, at + self.reach) - np.arange(len(at))
-        after = np.concatenate([[True], np.diff(at) > 1])
-        # The first run of a matching passage sees all of its grams ahead; a later run sees fewer, but need not open a window.
-        begin = at[(near >= self.least) & after]
-        text = np.searchsorted(first, begin, "right") - 1
-        spread = begin[:, None] + np.arange(-LEAD, LAG + 1)
-        return np.unique(spread[(spread >= first[text][:, None]) & (spread < first[text + 1][:, None])])
-
-    def candidates(self, words: np.ndarray, starts: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
-        """(start, item) proposed by the LSH."""
-        if not len(starts):
-            return []
-        end = first[np.searchsorted(first, starts, "right")]
-        at = starts[:, None] + np.arange(self.high)
-        rows = np.zeros((len(starts), self.high + 1), np.uint64)
-        rows[:, :-1] = np.where(at < end[:, None], words[np.minimum(at, len(words) - 1)], 0)
-        keys = self.keys(rows)
-        low, high = np.searchsorted(self.key, keys.ravel(), "left"), np.searchsorted(self.key, keys.ravel(), "right")
-        out = set()
-        for i in np.flatnonzero(high > low):
-            out.update((int(starts[i // keys.shape[1]]), int(x)) for x in self.owner[low[i] : high[i]])
-        return sorted(out)
-
-
-def grams_of(words: np.ndarray) -> np.ndarray:
-    n = len(words) - GRAM + 1
-    return mix(sum((words[i : i + n] * PLACE[i + 8] for i in range(GRAM)), np.zeros(max(n, 0), np.uint64))) if n > 0 else np.empty(0, np.uint64)
-
-
-def maps_of(classes: list[Class]) -> dict[bool, np.ndarray]:
-    """Bit maps of all grams (False) and of the words of small items (True), which leave few places to look at closely."""
-    out: dict[bool, np.ndarray] = {}
-    for c in classes:
-        out.setdefault(c.small, np.zeros(1 << MAP_BITS, bool))[(c.grams >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-    return out
-
-
-def places_of(seen: np.ndarray, map_: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(map_[(seen >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
-
-
-def index(items: list[tuple[int, str]]) -> list[Class]:
+def grams_of(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    n = len(words) - size + 1
+    return mix(sum((words[i : i + n] * PLACE[i + 8] for i in range(size)), np.zeros(max(n, 0), np.uint64))) if n > 0 else np.empty(0, np.uint64)
+
+
+def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values from low to high of each row."""
+    n = high - low
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of rows with about FINDS in sum, one row at least."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FINDS, "right")))
+        yield slice(at, end)
+        at = end
+
+
+class Index:
+    """Items by grams of one size."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], size: int) -> None:
+        self.items, self.size = items, size
+        self.words = np.array([len(w) for _, w in items])
+        self.edits = np.array([edits_allowed(n) for n in self.words])
+        #: Least number of an item's grams in a run that matches it.
+        self.least = self.words - size + 1 - size * self.edits
+        grams = [grams_of(w, size) for _, w in items]
+        owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        self.owned = np.unique(self.pair(np.concatenate(grams), owner))
+        pairs = [np.unique(g) for g in grams]
+        self.grams, held = np.unique(np.concatenate(pairs), return_counts=True)
+        self.map = np.zeros(1 << MAP_BITS, bool)
+        self.map[(self.grams >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+        key, item, offset = [], [], []
+        for i, g in enumerate(grams):
+            need, of = self.edits[i] + 1, held[np.searchsorted(self.grams, g)]
+            best = None
+            for phase in range(size):
+                at = np.arange(phase, len(g), size)
+                if len(at) >= need:
+                    at = at[np.argsort(of[at], kind="stable")[:need]]
+                    best = at if best is None or of[at].sum() < of[best].sum() else best
+            key.append(g[best])
+            item.append(np.full(need, i))
+            offset.append(best)
+        self.key, self.item, self.offset = np.concatenate(key), np.concatenate(item), np.concatenate(offset)
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.item, self.offset = self.key[order], self.item[order], self.offset[order]
+
+    @staticmethod
+    def pair(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return mix(gram + item.astype(np.uint64) * PLACE[12])
+
+    def stretches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end word) of every stretch where a run may match an item; those of an item in a text do not overlap."""
+        seen = grams_of(words, self.size)
+        at = np.flatnonzero(self.map[(seen >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
+        at = at[self.grams[np.minimum(np.searchsorted(self.grams, seen[at]), len(self.grams) - 1)] == seen[at]]
+        text = np.searchsorted(first, at, "right") - 1
+        inside = at + self.size <= first[text + 1]  # a gram must not reach into the next text
+        at, text = at[inside], text[inside]
+        if not len(at):
+            return
+        low, high = np.searchsorted(self.key, seen[at], "left"), np.searchsorted(self.key, seen[at], "right")
+        kept = []
+        for part in slices(high - low):
+            row, k = ranges(low[part], high[part])
+            row += part.start
+            item = self.item[k]
+            begin = at[row] - self.offset[k] - self.edits[item]
+            a = np.maximum(begin, first[text[row]])
+            b = np.minimum(begin + self.words[item] + 2 * self.edits[item], first[text[row] + 1])
+            near = np.searchsorted(at, b - self.size, "right") - np.searchsorted(at, a, "left")
+            good = near >= self.least[item]
+            kept.append(np.stack([item[good], text[row[good]], a[good], b[good]], 1))
+        found = np.concatenate(kept)
+        if not len(found):
+            return
+        # Stretches of an item that overlap become one.
+        item, owner, a, b = found[np.lexsort((found[:, 2], found[:, 0]))].T
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (a[1:] > b[:-1])])
+        last = np.append(np.flatnonzero(new)[1:], len(item)) - 1
+        item, owner, a, b = item[new], owner[new], a[new], b[last]
+        low, high = np.searchsorted(at, a, "left"), np.searchsorted(at, b - self.size, "right")
+        for part in slices(high - low):
+            row, k = ranges(low[part], high[part])
+            pair = self.pair(seen[at[k]], item[part][row])
+            mine = self.owned[np.minimum(np.searchsorted(self.owned, pair), len(self.owned) - 1)] == pair
+            enough = np.bincount(row[mine], minlength=part.stop - part.start) >= self.least[item[part]]
+            for x in np.flatnonzero(enough) + part.start:
+                yield int(owner[x]), int(item[x]), int(a[x]), int(b[x])
+
+
+def index(items: list[tuple[int, str]]) -> list[Index]:
     hasher = WordHasher()
-    sized = []
+    sized: dict[int, list] = {}
     for i, text in items:
         words = hasher(np.frombuffer((text or "").encode(), np.uint8))[0]
         if len(words) and i is not None:
-            sized.append((i, words))
-    sized.sort(key=lambda x: (len(x[1]), x[0]))
-    out: list[list] = []
-    for item in sized:
-        if not out or len(item[1]) > RATIO * len(out[-1][0][1]) or (len(out[-1][0][1]) < SMALL) != (len(item[1]) < SMALL):
-            out.append([])
-        out[-1].append(item)
-    return [Class(c, n) for n, c in enumerate(out)]
+            sized.setdefault(1 if len(words) < SMALL else GRAM, []).append((i, words))
+    return [Index(x, size) for size, x in sorted(sized.items())]
 
 
-def matches(hasher: WordHasher, classes: list[Class], maps: dict[bool, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+def matches(hasher: WordHasher, indexes: list[Index], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item id, edits, first byte, end byte) of the best run for each item that a text of the block holds."""
     words, s, e, first = words_by_text(hasher, data, offsets)
     if not len(words):
         return []
-    grams = np.zeros(len(words), np.uint64)
-    whole = grams_of(words)
-    grams[: len(whole)] = whole
-    for k in range(1, GRAM):  # a gram must not reach into the next text
-        ends = first[1:] - k
-        grams[ends[(ends >= 0)]] = 0
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    places = {small: places_of(words if small else grams, maps[small]) for small in maps}
-    for c in classes:
-        starts = c.starts(words if c.small else grams, places[c.small], first)
-        for at in range(0, len(starts), 8192):
-            for start, i in c.candidates(words, starts[at : at + 8192], first):
-                item, item_words = c.items[i]
-                text = int(np.searchsorted(first, start, "right")) - 1
-                allowed = edits_allowed(len(item_words))
-                a = max(int(first[text]), start - allowed)
-                run = words[a : min(int(first[text + 1]), start + len(item_words) + 2 * allowed)]
-                edits, end = infix_edits(item_words, run)
-                if edits <= allowed and edits < best.get((text, item), (1 << 30,))[0]:
-                    best[text, item] = (edits, int(s[start]), int(e[a + end - 1]))
+    for x in indexes:
+        for text, i, a, b in x.stretches(words, first):
+            item, item_words = x.items[i]
+            edits, end = infix_edits(item_words, words[a:b])
+            if edits <= x.edits[i] and edits < best.get((text, item), (1 << 30,))[0]:
+                # The end is the first of that distance, so the run back from it is the one that ends there.
+                length = infix_edits(item_words[::-1], words[a : a + end][::-1])[1]
+                best[text, item] = (edits, int(s[a + end - length]), int(e[a + end - 1]))
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
@@ -208,13 +193,12 @@ def _search(docs: DataFrame, table) -> DataFrame:
     kinds = ("doc_id", "item_id", "edits", "first_byte", "end_byte")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, hasher = index(table.value), WordHasher()
-        maps = maps_of(classes)
+        indexes, hasher = index(table.value), WordHasher()
         for batch in batches:
             rows = []
             data, offsets = texts_of(batch.column(1))
             for i, j in blocks(offsets):
-                found = matches(hasher, classes, maps, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = matches(hasher, indexes, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = offsets[i] - offsets[i : j + 1]
                 rows += [(batch.column(0)[i + t].as_py(), item, edits, a + int(at[t]), b + int(at[t])) for t, item, edits, a, b in found]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=kinds)

@@ -186,6 +186,21 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def leaks_of(spark, texts, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, texts), bench).collect()}
+
+
+def test_leaks_of_overlapping_items(spark):
+    rng = random.Random(21)
+    source = [f"t{rng.randrange(5000)}" for _ in range(140)]
+    items = [(i, " ".join(source[i : i + 50])) for i in range(0, 91, 5)]
+    around = [f"t{rng.randrange(5000)}" for _ in range(60)]
+    texts = [" ".join(around[:30] + source[a:b] + around[30:]) for a, b in ((0, 75), (4, 75), (8, 90), (30, 80), (0, 140), (41, 140))]
+    assert (0, 25) in (want := brute_leaks(texts, items))
+    assert leaks_of(spark, texts, items) == want
+
+
 def test_licences(spark):
     mit = licences.TEMPLATES[4][1]
     texts = [None, "", "Some prose.\nReleased under the MIT License.\nmore prose", "x " * 300 + mit.replace("\n", " ").replace("charge", "cost") + " y" * 300, "licensed", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
