@@ -201,6 +201,23 @@ def test_leaks_of_overlapping_items(spark):
     assert leaks_of(spark, texts, items) == want
 
 
+def test_leaks_at_the_bound_of_edits(spark):
+    rng = random.Random(22)
+    items = [(n, " ".join(f"t{rng.randrange(3000)}" for _ in range(n))) for n in (5, 6, 7, 8, 10, 11, 15, 20, 33, 50, 80)]
+    texts = []
+    for n, item in items:
+        k = decontaminate.edits_allowed(n)
+        for at in (range(k), range(n - k, n), rng.sample(range(n), k), [n // 2 + i - k // 2 for i in range(k)]):
+            for how in ("replace", "drop", "insert"):
+                w = item.split()
+                for i in sorted(at, reverse=True):
+                    w[i : i + 1] = {"replace": ["zz"], "drop": [], "insert": ["zz", w[i]]}[how]
+                around = [f"t{rng.randrange(3000)}" for _ in range(40)]
+                texts.append(" ".join(around[:20] + w + around[20:]))
+    assert len(want := brute_leaks(texts, items)) >= len(texts)
+    assert leaks_of(spark, texts, items) == want
+
+
 def test_licences(spark):
     mit = licences.TEMPLATES[4][1]
     texts = [None, "", "Some prose.\nReleased under the MIT License.\nmore prose", "x " * 300 + mit.replace("\n", " ").replace("charge", "cost") + " y" * 300, "licensed", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
