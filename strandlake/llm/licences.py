@@ -37,7 +37,10 @@ class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: float = DICE) -> None:
         self.hasher, self.dice = WordHasher(), dice
         self.names = [n for n, _ in templates]
-        self.grams = [np.unique(bigrams(self.hasher(PLAIN[np.frombuffer(t.encode(), np.uint8)])[0])) for _, t in templates]
+        all_grams = [bigrams(self.hasher(PLAIN[np.frombuffer(t.encode(), np.uint8)])[0]) for _, t in templates]
+        self.grams = [np.unique(g) for g in all_grams]
+        #: How many bigrams a template has for each distinct one.
+        self.repeats = [len(g) / len(u) for g, u in zip(all_grams, self.grams, strict=True)]
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[(np.concatenate(self.grams) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
 
@@ -53,29 +56,31 @@ class Templates:
         inside = near + 1 < first[text + 1]
         near, text = near[inside], text[inside]
         found = []
+        # The place before each one that has the same bigram, or -1.
+        order = np.argsort(gram, kind="stable")
+        before = np.full(len(gram), -1)
+        same = gram[order[1:]] == gram[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
         for k, mine in enumerate(self.grams):
             at = np.searchsorted(mine, gram[near])
             is_mine = mine[np.minimum(at, len(mine) - 1)] == gram[near]
             places, owner = near[is_mine], text[is_mine]
             t = len(mine)
             least, most = self.dice / (2 - self.dice) * t, (2 - self.dice) / self.dice * t
-            # A stretch of at most that many bigrams from each place on; repeats make it longer only in bigrams, not in distinct ones.
-            end = np.minimum(np.searchsorted(places, places + int(most), "right"), np.searchsorted(owner, owner, "right"))
+            # A stretch of at most that many distinct bigrams from each place on, repeated as in the template.
+            end = np.minimum(np.searchsorted(places, places + int(most * self.repeats[k]), "right"), np.searchsorted(owner, owner, "right"))
             shared = np.minimum(end - np.arange(len(places)), t)
             for i in np.flatnonzero(2 * shared >= self.dice * (t + shared)):
-                best = (0.0, 0, 0)
-                seen: set[int] = set()
-                last = int(end[i])
-                # Ends are tried where a bigram of the template ends, longest gain first being the last new one.
-                for j in range(i, last):
-                    seen.add(int(gram[places[j]]))
-                    m = len(np.unique(gram[places[i] : places[j] + 1])) if 2 * len(seen) >= self.dice * (t + len(seen)) else 0
-                    if m and least <= m <= most:
-                        d = 2 * len(seen) / (t + m)
-                        if d > best[0]:
-                            best = (d, len(seen), int(places[j]))
-                if best[0] >= self.dice:
-                    found.append((int(owner[i]), -best[1], -best[0], k, int(places[i]), best[2] + 2))
+                p, last = int(places[i]), int(end[i])
+                # A bigram is new in a stretch if it was last seen before it.
+                seen = np.cumsum(before[places[i:last]] < p)
+                if 2 * seen[-1] < self.dice * (t + seen[-1]):
+                    continue
+                m = np.cumsum(before[p : places[last - 1] + 1] < p)[places[i:last] - p]
+                d = np.where((least <= m) & (m <= most), 2 * seen / (t + m), 0.0)
+                j = int(d.argmax())
+                if d[j] >= self.dice:
+                    found.append((int(owner[i]), -int(seen[j]), -float(d[j]), k, p, int(places[i + j]) + 2))
         out: list[tuple[int, int, int, int, float]] = []
         taken: dict[int, list[tuple[int, int]]] = {}
         for owner_i, _, d, k, a, b in sorted(found):

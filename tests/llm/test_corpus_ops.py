@@ -225,6 +225,15 @@ def test_licences(spark):
     assert got == {(2, "MIT"), (3, "MIT"), (5, "GPL-3.0"), (6, "CC-BY-NC-4.0")}
 
 
+def test_sibling_licences_are_told_apart(spark):
+    names = {"LGPL-2.1", "AGPL-3.0", "GPL-2.0", "EPL-1.0", *(f"CC-{x}-4.0" for x in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"))}
+    held = [(n, f"Some prose here. {t} And more of it.") for n, t in licences.TEMPLATES]
+    assert all(any(n == name and len(t) > 9000 for n, t in held) for name in names)
+    held += [("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."), ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.")]
+    got = sorted((r.doc_id, r.licence) for r in licences.find_licences(docs_of(spark, [t for _, t in held])).collect())
+    assert got == list(enumerate(n for n, _ in held))
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.op9_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
