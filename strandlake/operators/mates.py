@@ -106,7 +106,7 @@ def bedpe(reads: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def clip_primers(reads: DataFrame, primers: DataFrame, tolerance: int = 5) -> DataFrame:
-    """src, ord, clip, primer, pos, qlen: how many reference bases the primer (rid, start, end, strand, line) at a read's 5' end takes; the largest clip wins, then the first primer.
+    """src, ord, clip, primer, pos: how many reference bases the primer (rid, start, end, strand, line) at a read's 5' end takes; the largest clip wins, then the first primer. Reads are not rewritten.
 
     Primers are a panel: a small table by nature. Spark broadcasts it only under its own size limit, and joins on rid otherwise.
     """

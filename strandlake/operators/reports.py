@@ -122,6 +122,7 @@ def product_fold(values: Column) -> Column:
 def checksum(reads: DataFrame, value: Column | None = None, rule: ReadFilter = ReadFilter(exclude_any=0x900), mask: int = 0xC1) -> DataFrame:
     """group, count, seq, name, qual: CRC-32 of each row on its own strand, folded by products, for all rows and each read group.
 
+    Other columns, rows of passed and failed reads and merging are not built, see the README.
     value replaces the CRCs, for engines that have none. Products are folded in 256 parts first, so no group is one task's list.
     """
     strand = C.has(F.col("flag"), C.REVERSE)
@@ -138,7 +139,10 @@ def checksum(reads: DataFrame, value: Column | None = None, rule: ReadFilter = R
 
 
 def stats(reads: DataFrame) -> DataFrame:
-    """section, key, value: summary counts and histograms of lengths, mapping qualities, GC content, first and last fragments' qualities by cycle, inserts and depth."""
+    """section, key, value: summary counts and histograms of lengths, mapping qualities, GC content, first and last fragments' qualities by cycle, and depth.
+
+    Only SN (12 of its 39 lines), RL, MAPQ, GC, FFQ, LFQ and COV are built; the README lists the sections that are not.
+    """
     flag = F.col("flag")
     on = lambda bits: C.has(flag, bits)
     primary = reads.where(~on(C.SECONDARY))
