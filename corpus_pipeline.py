@@ -16,10 +16,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest id."""
-    groups = jaccard.jaccard_components(docs, k=5, similarity="0.8")
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """Of each group of rows linked at a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest id; null ids come last.
+
+    Rows are told apart by their place in docs, not by id, so it must be read from files, where each reading gives the same places.
+    """
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = jaccard.jaccard_components(keyed.select("_row", "text"), k=5, similarity="0.8", id_column="_row")
+    ranked = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")).alias("first"))
+    return keyed.join(ranked.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,3 +280,13 @@ def test_redaction_and_pipeline(spark):
             assert docs.columns == columns and docs.join(before, "doc_id", "left_anti").count() == 0, name
     packed, ids = docs.agg(F.sum("length")).first()[0], docs.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert packed == ids and docs.select("doc_id").distinct().count() <= before.count()
+
+
+def test_near_copies_are_dropped_by_row(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    a, b, c = (" ".join(f"t{rng.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, c + " end"), (None, b), (8, None), (8, None), (9, c)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = [tuple(r) for r in pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(3, a + " end"), (5, b), (9, c), (8, None), (8, None)], key=str)
