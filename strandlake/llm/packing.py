@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.llm.stage import staged
-from strandlake.llm.text import EXACT, SPACE, SpanHasher, blocks, texts_of
+from strandlake.llm.text import LONG, MASK, SPACE, SpanHasher, blocks, eights, texts_of
 
 SEQUENCE, END_ID = 2048, 1
 #: Ranks are counted apart in so many buckets, so that a common length is no single task's work.
 BUCKETS = 64
-#: Places of the table of units met before, and ids kept for them before it is emptied.
+#: Places of the table of units met before, and ids and bytes kept for them before it is emptied.
 SLOT_BITS = 19
-SLOTS, POOL = 1 << SLOT_BITS, 1 << 23
+SLOTS, POOL = 1 << SLOT_BITS, 1 << 24
 #: The tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,7 +60,8 @@ class Encoder:
 
     Its pattern splits text before a space that follows something else than white space, whatever stands further away. The
     units between such spaces are hashed together in numpy; ids of units met before come from a table of SLOTS places, new ones
-    from the tokenizer's ranks in tiktoken. Texts with a special token's string or odd white space are encoded whole.
+    from the tokenizer's ranks in tiktoken. A hash only finds the place: ids are taken where the unit's bytes are those kept there.
+    Texts with a special token's string or odd white space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,8 +81,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.place, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        #: By place: where its ids begin in pool and how many they are, where its bytes begin in kept and how many.
+        self.place, self.count, self.begin, self.size = (np.zeros(SLOTS, np.int64) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.kept, self.filled = np.zeros(1 << 20, np.uint8), 0
 
     def _add(self, ids: np.ndarray) -> int:
         if self.used + len(ids) > len(self.pool):
@@ -91,9 +94,30 @@ class Encoder:
         self.used += len(ids)
         return at
 
+    def _keep(self, raw: bytes) -> int:
+        if self.filled + len(raw) + 8 > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros(max(len(self.kept), len(raw) + 8), np.uint8)])
+        at = self.filled
+        self.kept[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.filled += len(raw)
+        return at
+
+    def _known(self, view: np.ndarray, s: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the unit kept at each slot has just the bytes of the span."""
+        held = np.ndarray(len(self.kept) - 7, "<u8", self.kept, strides=(1,))
+        begin = self.begin[slot]
+        mask = MASK[np.minimum(size, 8)]
+        same = (self.size[slot] == size) & ((view[s] ^ held[begin]) & mask == 0)
+        more, at = np.flatnonzero(same & (size > 8)), 8
+        while len(more):
+            same[more] = (view[s[more] + at] ^ held[begin[more] + at]) & MASK[np.minimum(size[more] - at, 8)] == 0
+            at += 8
+            more = more[same[more] & (size[more] > at)]
+        return same
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a run of UTF-8 bytes."""
-        if self.used > POOL:
+        if self.used + self.filled > POOL:
             self._clear()
         n = len(data)
         if not n:
@@ -111,21 +135,29 @@ class Encoder:
         starts[n] = False
         s = np.flatnonzero(starts)
         e = np.append(s[1:], n)
-        h = self.hasher.spans(data, s, e, EXACT)
+        size, view = e - s, eights(data)
+        h = self.hasher.spans(data, s, e, view)
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = (size <= LONG) & self._known(view, s, size, slot)
         place, count = self.place[slot], self.count[slot]
-        miss = np.flatnonzero(self.key[slot] != h)
+        miss = np.flatnonzero(~known)
         if len(miss):
-            new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-            found = [array("I", self.encode(raw[a:b].decode())) for a, b in zip(s[miss[first]].tolist(), e[miss[first]].tolist(), strict=True)]
+            units = [raw[a:b] for a, b in zip(s[miss].tolist(), e[miss].tolist(), strict=True)]
+            number = {u: i for i, u in enumerate(dict.fromkeys(units))}
+            found = [array("I", self.encode(u.decode())) for u in number]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             at = self._add(np.frombuffer(b"".join(x.tobytes() for x in found), np.uint32)) + np.cumsum(sizes) - sizes
-            place[miss], count[miss] = at[inverse], sizes[inverse]
-            to = slot[miss[first]]
-            self.key[to], self.place[to], self.count[to] = new, at, sizes
-            # Of two new units for one slot the last write may mix them; only a slot whose three parts agree is kept.
-            wrong = to[(self.key[to] == new) & ((self.place[to] != at) | (self.count[to] != sizes))]
-            self.key[wrong] = 0
+            nth = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
+            place[miss], count[miss] = at[nth], sizes[nth]
+            # Units of up to LONG bytes are kept; of two for one place the later one stays.
+            _, first = np.unique(nth, return_index=True)
+            short = np.flatnonzero(size[miss[first]] <= LONG)
+            lengths = size[miss[first]][short]
+            begin = self._keep(b"".join(u for u in number if len(u) <= LONG)) + np.cumsum(lengths) - lengths
+            to = slot[miss[first]][short]
+            last = len(to) - 1 - np.unique(to[::-1], return_index=True)[1]
+            to, short, lengths, begin = to[last], short[last], lengths[last], begin[last]
+            self.place[to], self.count[to], self.begin[to], self.size[to] = at[short], sizes[short], begin, lengths
         before = np.concatenate([[0], np.cumsum(count)])
         ids = self.pool[np.repeat(place - before[:-1], count) + np.arange(before[-1])]
         cut = before[np.searchsorted(s, offsets)]
@@ -168,7 +200,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENC
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, sequence: int = SEQUENCE) -> list[tuple[int, ...]]:
-    """Multisets of at most three present lengths whose sum is the sequence; of those with three, the STEP most plentiful middle ones."""
+    """Multisets of at most three present lengths whose sum is the sequence; of those with three, the four most plentiful middle ones of each longest length."""
     have = np.zeros(sequence + 1, np.int64)
     have[lengths] = counts
     out = [(sequence,)] if have[sequence] else []

@@ -3,34 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-#: A random word for each byte, A-Z sharing those of a-z; an odd base and its inverse modulo 2**64.
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE[65:91] = BYTE[97:123]
-BASE = int(_RNG.integers(2**62, 2**63, dtype=np.uint64)) | 5
-INVERSE = pow(BASE, -1, 2**64)
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes hashed at a time: bounds the memory of a task whatever the length of a text.
 BLOCK = 1 << 20
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = np.uint64(pow(base, done, 2**64))
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        done += more
-    return out
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     x = x ^ (x >> np.uint64(33))
@@ -40,27 +27,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: The same without lower-casing.
-EXACT = BYTE.copy()
-EXACT[65:91] = _RNG.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The low bytes of a word of 8 that count, by how many there are.
+MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans of more bytes than this are hashed one by one, so that the number of rounds over the others is bounded.
+LONG = 256
 
 
-class SpanHasher:
-    """64-bit hashes of spans of a run of bytes, by differences of one running sum."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte of data on as one word, zeros behind the end; a view of a copy."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
-    def __init__(self) -> None:
-        self.up = np.empty(0, np.uint64)
-        self.down = np.empty(0, np.uint64)
 
-    def spans(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-        n = len(data)
-        if len(self.up) < n:
-            size = 1 << max(20, int(n - 1).bit_length())
-            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(table[data] * self.up[:n], out=total[1:])
-        return mix((total[e] - total[s]) * self.down[s] + (e - s).astype(np.uint64))
+class SpanHasher:
+    """64-bit hashes of spans of a run of bytes, 8 bytes a round: each round is a bijection of the state and of its bytes, so
+    spans of one length up to 8 bytes never collide and longer ones are mixed without a structure that texts could meet."""
+
+    def spans(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+        """view: eights(data), where the caller has it."""
+        view = eights(data) if view is None else view
+        size = e - s
+        out = mix(view[s] & MASK[np.minimum(size, 8)] ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        more = np.flatnonzero((size > 8) & (size <= LONG))
+        at = 8
+        while len(more):
+            out[more] = mix((out[more] * np.uint64(0xD6E8FEB86659FD93)) ^ (view[s[more] + at] & MASK[np.minimum(size[more] - at, 8)]))
+            at += 8
+            more = more[size[more] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 class WordHasher(SpanHasher):
@@ -82,7 +79,7 @@ class WordHasher(SpanHasher):
             starts[inner] |= word[inner]
             ends[inner] |= word[inner - 1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends)
-        return self.spans(data, s, e), s, e
+        return self.spans(LOWER[data], s, e), s, e
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
