@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark or not row.n:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            out._staged_path = now._staged_path  # for drop_staged, once the result is read
+            return out
         mark = (row.n, row.h)
         then = staged(_canonical(_small_star(_canonical(_large_star(now)))), "edges")
         drop_staged(now)

@@ -2,19 +2,21 @@
 
 A text's tokens are the 64-bit hashes of its distinct word shingles. All tokens are put in one global order: tokens outside a
 bounded table of frequent ones first, then the frequent ones, each by hash. Texts whose Jaccard similarity reaches t share at
-least a = ceil(t n) tokens, so their prefixes of n - a + 1 + G tokens share at least 1 + G. Frequent tokens fall into G classes
+least a = ceil(t (n + m) / (1 + t)) of their n and m tokens, so their prefixes of n - a + 1 + G tokens share at least 1 + G. Frequent tokens fall into G classes
 by hash; hence two such prefixes share a single rare token or two tokens of one frequent class. Rare tokens are indexed alone,
 frequent ones in pairs within their class. G grows with the band of set sizes (powers of two), so pairs stay few; a text that may
-meet one of the next band is indexed for both. The order only has to be the same for all texts, so neither the size of the
+meet one of the next band is indexed for both, there by the shorter prefix that the larger partner allows. The order only has to be the same for all texts, so neither the size of the
 table of frequent tokens nor a mistaken entry can lose a link.
 
-Equal sets are joined first, by a 128-bit digest of the set, and one of each goes on. Indexed places that hold several sets are not
-expanded into pairs: for ROUNDS rounds, linear in the places' rows, each set is compared with its place's pivot of the round,
-and exact links are joined into components. After that only sets of one place that still lie in different components are
-compared with each other, so a group of near copies is never expanded and no link between components is missed.
+Equal sets are joined first, by a 128-bit digest of the set, and one of each goes on. Indexed places that hold several sets are
+joined in rounds: for ROUNDS rounds, linear in the places' rows, each set is compared with its place's pivot of the round, and
+exact links are joined into components. Then only sets of one place that still lie in different components meet, in slots of
+sizes that may link and in salts of at most SPLIT sets, and only pairs that pass the bounds below come out of that join.
 
-Before any text is read, two bounds that every link meets prune pairs: the sizes' ratio, and the bitmap filter: each set carries
-SKETCH bits, each the parity of its tokens that fall there, and two sets differ in at least as many tokens as in bits.
+Three bounds that every link meets prune pairs before any text is read: the sizes' ratio, and two bitmap filters, a narrow one of
+NARROW bits and a wide one of one to four bits for each token. Each bit is the parity of the tokens that fall there, so two sets
+differ in at least as many tokens as in bits; with as many bits as tokens near misses fail, so what is left are the links between
+components and pairs within about 0.02 of the threshold.
 """
 
 from __future__ import annotations
@@ -29,16 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import connected_components
-from strandlake.llm.stage import staged
+from strandlake.llm.stage import drop_staged, staged
 from strandlake.llm.text import WordHasher, blocks, distinct_by_text, mix, shingles_by_text, texts_of, words_by_text
 
 #: Most frequent tokens in the broadcast table (8 bytes each), and the least count in it.
 FREQUENT, LEAST = 1 << 17, 8
-#: Tokens are counted in so many ranges of their hash; only the COUNTED lowest of 256 parts of the hash range are counted, since
-#: a prefix of rare tokens hardly ever reaches further.
-RANGES, COUNTED = 256, 104
-#: Bits of a set's parity sketch.
-SKETCH = 256
+#: Tokens are counted in so many ranges of their hash, FLUSH tokens of a task at a time.
+RANGES, FLUSH = 256, 2_000_000
+#: Bits of the narrow sketch, and the least and most of the wide one.
+NARROW, WIDE = 256, (256, 1 << 16)
+#: Sets of a place that one task compares with the others of their sizes.
+SPLIT = 4096
 #: Least and most bits of the fixed-size filter of the ids whose texts are compared.
 FILTER_BITS = (1 << 20, 1 << 26)
 #: Pairs with a common pivot are verified in chunks of so many.
@@ -46,7 +49,9 @@ CHUNK = 32
 
 
 def frequent_counts(docs: DataFrame, k: int) -> DataFrame:
-    """(token, n): how many texts hold each token of the counted part of the hash range, from all texts."""
+    """(token, n): how many texts hold each token, from all texts, by lossy counting: of each FLUSH tokens of a task those met
+    once are forgotten, so what is shuffled are repeated tokens, and a count may be too low by one for each flush.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -55,49 +60,39 @@ def frequent_counts(docs: DataFrame, k: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
-            part = (value >> np.uint64(24)).astype(np.int64) // -(-COUNTED * 256 // RANGES)  # value holds 40 bits, its top 16 pick the range
+            value, n = value[n > 1], n[n > 1]
+            part = (value >> np.uint64(32)).astype(np.int64)  # value holds 40 bits, its top 8 pick the range
             edge = np.searchsorted(part, np.arange(RANGES + 1))
             rows = [r for r in range(RANGES) if edge[r + 1] > edge[r]]
-            # Values as 5 bytes, counts as one where they are small: what is shuffled for a token is 6 bytes.
-            b = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            few = np.minimum(n, 255).astype(np.uint8)
+            low = value.astype("<u4")
+            count = n.astype("<u4")
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows, pa.int32()),
-                    pa.array([b[edge[r] : edge[r + 1]].tobytes() for r in rows], pa.binary()),
-                    pa.array([few[edge[r] : edge[r + 1]].tobytes() for r in rows], pa.binary()),
-                ],
-                names=["part", "value", "n"],
+                [pa.array(rows, pa.int32()), *[pa.array([x[edge[r] : edge[r + 1]].tobytes() for r in rows], pa.binary()) for x in (low, count)]], names=["part", "value", "n"]
             )
 
         for batch in batches:
             data, offsets = texts_of(batch.column(0))
             for i, j in blocks(offsets):
                 h, _, _, first = words_by_text(hasher, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                owner, token = shingles_by_text(h, first, k)
-                low = token < np.uint64(COUNTED << 56)
-                _, token = distinct_by_text(owner[low], token[low])
+                _, token = distinct_by_text(*shingles_by_text(h, first, k))
                 held.append(token >> np.uint64(24))
                 kept += len(token)
-                if kept > 2_000_000:
+                if kept > FLUSH:
                     yield out()
                     held, kept = [], 0
         if kept:
             yield out()
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        b = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in table.column("value")])
-        value = np.zeros((len(b), 8), np.uint8)
-        value[:, :5] = b
-        value = value.view("<u8")[:, 0]
-        n = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("n")])
+        value, n = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(c)]) for c in ("value", "n"))
         order = np.argsort(value)
         value, n = value[order], n[order].astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
-        n = np.add.reduceat(n, at) if len(at) else n
+        at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        n = np.add.reduceat(n, at)
         keep = n >= LEAST
         best = np.argsort(-n[keep], kind="stable")[:FREQUENT]  # no range can give more to the table than it holds
-        return pa.table({"token": pa.array(value[at][keep][best].astype(np.int64)), "n": pa.array(n[keep][best])})
+        token = value[at][keep][best].astype(np.int64) | (key[0].as_py() << 32)
+        return pa.table({"token": pa.array(token), "n": pa.array(n[keep][best])})
 
     parts = docs.select("text").mapInArrow(run, "part int, value binary, n binary")
     return parts.groupBy("part").applyInArrow(total, "token long, n long")
@@ -120,19 +115,46 @@ class Rule:
         smallest = max(1 << band, self.least)
         return max(1, min((1 << band) // 16, math.ceil(self.t * smallest) - 1))
 
-    def need(self, n: int) -> int:
-        return math.ceil(self.t * n)
+    def need(self, n: int, band: int) -> int:
+        """Least number of tokens shared with any partner in the band; one in a later band than the set's own has 2^band at least."""
+        partner = max(math.ceil(self.t * n), 1 << band if band >= n.bit_length() else 0)
+        return math.ceil(self.t * (n + partner) / (1 + self.t))
 
-    def may_link(self, a: str, b: str) -> str:
-        """SQL for what a pair of sets a, b (structs of n and bits) has to meet before it is compared."""
+    def sizes(self, a: str, b: str) -> str:
+        num, den = self.t.numerator, self.t.denominator
+        return f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"
+
+    def slot(self, n: str) -> str:
+        """SQL for a number of sizes such that linked sets lie in the same or in neighbouring ones."""
+        return f"cast(floor(ln({n}) / {max(-math.log(self.t), 1e-3) * (1 + 1e-6)!r}D) as int)"
+
+    def differ(self, bits: str, a: str, b: str) -> str:
+        """SQL for the bound on the tokens in which two sets (structs of n and sketches) differ, by the number of differing bits."""
         num, den = self.t.numerator, self.t.denominator
-        differ = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(SKETCH // 64))
-        return f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num} and ({differ}) * {den + num} <= ({a}.n + {b}.n) * {den - num}"
+        return f"({bits}) * {den + num} <= ({a}.n + {b}.n) * {den - num}"
 
-    def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def may_link(self, a: str, b: str) -> str:
+        """SQL for what a pair of sets a, b (structs of n, bits and wide) has to meet before it is compared."""
+        narrow = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(NARROW // 64))
+        # Of sketches of different widths the wider one is folded to half its width: it has at most twice the bits.
+        half = lambda x, y: f"if(size({x}.wide) > size({y}.wide), transform(slice({x}.wide, 1, size({y}.wide)), (v, i) -> v ^ {x}.wide[i + size({y}.wide)]), {x}.wide)"
+        wide = f"aggregate(zip_with({half(a, b)}, {half(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)"
+        return f"{self.sizes(a + '.n', b + '.n')} and {self.differ(narrow, a, b)} and {self.differ(wide, a, b)}"
+
+    def linked(self, both: int, a: int, b: int) -> bool:
         return both * self.t.denominator >= self.t.numerator * (a + b - both)
 
 
+def sketch(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the tokens at each of the bits, as 64-bit words; halves of it folded together are the sketch of half the bits."""
+    parity = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(bool)).view(np.int64)
+
+
+def wide_bits(n: int) -> int:
+    return min(max(2 << n.bit_length(), WIDE[0]), WIDE[1])
+
+
 def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
     """The index keys of a set of sorted distinct tokens."""
     n = len(tokens)
@@ -147,7 +169,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndar
     own = n.bit_length() - 1
     for band in sorted({own, int(n / rule.t).bit_length() - 1}):
         g = rule.classes(band)
-        p = min(n, n - rule.need(n) + 1 + g)
+        p = min(n, n - rule.need(n, band) + 1 + g)
         salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64)
         out.append(mix(ordered[: min(p, rare)] ^ salt))
         if p > rare + 1:
@@ -175,28 +197,29 @@ def _sets(column: pa.Array, k: int, hasher: WordHasher) -> Iterator[np.ndarray]:
 
 
 def describe(docs: DataFrame, k: int, similarity: str, frequent: np.ndarray) -> DataFrame:
-    """id, n, set_a, set_b (128 bits that stand for the set), bits (its sketch), keys of docs(id, text)."""
+    """id, n, set_a, set_b (128 bits that stand for the set), bits and wide (its sketches), keys of docs(id, text)."""
     spark = docs.sparkSession
     table, rule = spark.sparkContext.broadcast(frequent), Rule(similarity)
-    kinds = {"id": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+    longs = pa.list_(pa.int64())
+    kinds = {"id": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), "bits": longs, "wide": longs, "keys": longs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, often = WordHasher(), table.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, a, b, bits, keys = [], [], [], [], []
+                n, a, b, bits, wide, keys = [], [], [], [], [], []
                 for tokens in _sets(part.column(1), k, hasher):
                     n.append(len(tokens))
                     a.append(tokens.sum(dtype=np.uint64))
                     b.append(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    parity = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
-                    bits.append(np.packbits(parity.astype(bool)).view(np.int64))
+                    wide.append(sketch(tokens, wide_bits(len(tokens))))
+                    bits.append(np.bitwise_xor.reduce(wide[-1].reshape(-1, NARROW // 64), axis=0))
                     keys.append(prefix_keys(tokens, often, rule).view(np.int64))
-                columns = [part.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], pa.array(bits, kinds["bits"]), pa.array(keys, kinds["keys"])]
+                columns = [part.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], *[pa.array(x, longs) for x in (bits, wide, keys)]]
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, bits array<long>, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, bits array<long>, wide array<long>, keys array<long>")
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -219,11 +242,20 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("id", "text", slot("id").alias("slot")).where("id is not null").mapInArrow(run, "id long, text string")
 
 
+def _similar(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of sorted distinct tokens link."""
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both > 0 and rule.linked(both, len(a), len(b))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFrame:
     """The linked pairs (a, b) of distinct pairs (a, b), whole texts compared exactly.
 
     A pivot a with many partners is read once a chunk of them. Rows meet by the hash of (a, chunk) and are sorted so that the
-    pivot comes first; a task holds one set at a time.
+    pivot comes first; a task holds one pivot at a time. Of an id with several texts any one may link.
     """
     rule = Rule(similarity)
     keyed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk"))
@@ -233,19 +265,17 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        pivot, mine = None, np.empty(0, np.uint64)
+        pivot, mine = None, []
         for batch in batches:
             left, right = [], []
             owners, chunks, kinds, wants = (batch.column(i).to_pylist() for i in range(4))
             for i, tokens in enumerate(_sets(batch.column(4), k, hasher)):
                 if kinds[i] == 0:
-                    pivot, mine = (owners[i], chunks[i]), tokens
-                elif pivot == (owners[i], chunks[i]):
-                    at = np.searchsorted(mine, tokens)
-                    both = int((mine[np.minimum(at, len(mine) - 1)] == tokens).sum()) if len(mine) else 0
-                    if both and rule.linked(both, len(mine), len(tokens)):
-                        left.append(owners[i])
-                        right.append(wants[i])
+                    mine = [*mine, tokens] if pivot == (owners[i], chunks[i]) else [tokens]
+                    pivot = (owners[i], chunks[i])
+                elif pivot == (owners[i], chunks[i]) and any(_similar(rule, x, tokens) for x in mine):
+                    left.append(owners[i])
+                    right.append(wants[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -255,57 +285,77 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     """id, n_shingles, component_id of every row: the smallest id reachable by links of at least the similarity.
 
     Defined cases: a null, empty or wordless text has no shingles and its own component; with fewer than k words the whole
-    sequence is the one shingle; a null id is a component of its own (null); rows that repeat an id must repeat its text;
-    an empty table gives no rows; other columns are ignored.
+    sequence is the one shingle; a null id is a component of its own (null); rows that repeat an id are one document, which a
+    link of any of its texts joins, a row for each; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    seen = staged(describe(docs, k, similarity, frequent_tokens(docs, k)), "sets")
-    # Equal sets: one stands for all; sizes are part of the key.
-    same = seen.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    first = staged(same, "reps")
-    keys = seen.where(F.size("keys") > 0).join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    # Keys are dealt out once. Of keys held by just the same sets (told by count, least id and 128 bits) one is enough.
-    dealt = keys.select("id", F.explode("keys").alias("key")).repartition("key")
-    held = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")).where("m > 1")
-    told = held.groupBy("m", "low", "h", "g").agg(F.min("key").alias("key")).select("key")
-    shared = dealt.join(told, "key")
-    places = staged(shared.join(keys.select("id", F.struct("n", "bits").alias("s")), "id"), "places")
     rule = Rule(similarity)
-    links = None
-    tried = None
-    state: DataFrame | None = None
-    rounds = 0
-    while True:
-        rounds += 1
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        made.append(staged(df, label))
+        return made[-1]
+
+    seen = kept(describe(docs, k, similarity, frequent_tokens(docs, k)), "sets")
+    told = seen.where("n > 0 and id is not null")
+    # Equal sets: one stands for all; sizes are part of the key.
+    first = kept(told.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep")), "reps")
+    sets = seen.where(F.size("keys") > 0).join(first.select("n", "set_a", "set_b", F.col("rep").alias("id")), ["n", "set_a", "set_b", "id"], "left_semi")
+    shapes = sets.select("id", F.struct("n", "bits", "wide").alias("s"))
+    # Keys are dealt out once. Of keys held by just the same sets (told by count, least and greatest id and sums of hashes) one is enough.
+    dealt = sets.select("id", F.explode("keys").alias("key")).repartition("key")
+    hashed = F.xxhash64("id")
+    held = dealt.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.shiftrightunsigned(hashed, 33)).alias("h"), F.sum(hashed.bitwiseAND(F.lit(2**31 - 1))).alias("g")
+    ).where("low < high")
+    chosen = held.groupBy("m", "low", "high", "h", "g").agg(F.min("key").alias("key")).select("key")
+    places = kept(dealt.join(chosen, "key").select("key", "id"), "places")
+    # A document with several texts joins their sets.
+    several = told.groupBy("id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("low"), F.max(F.struct("n", "set_a", "set_b")).alias("high")).where("low <> high").select("id")
+    links = kept(told.join(several, "id", "left_semi").join(first, ["n", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+    state = None
+    if not links.isEmpty():
+        state = connected_components(links)
+        made.append(state)
+    tried: DataFrame | None = None
+    for number in range(ROUNDS + 1):
         # Each place's sets with their components; a place of one component is settled.
-        now = places if state is None else places.join(state, places.id == state.node, "left").select("key", "id", "s", F.coalesce("component", "id").alias("c"))
-        if state is None:
-            now = now.withColumn("c", F.col("id"))
-        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(rounds)).alias("h"), "id", "c", "s")).alias("p")).where("low < high")
-        if rounds <= ROUNDS:
-            pairs = now.join(spread.select("key", "p"), "key").where("c <> p.c and " + rule.may_link("s", "p.s")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+        now = places.withColumn("c", F.col("id")) if state is None else places.join(state, places.id == state.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        turn = F.xxhash64("id", F.lit(number))
+        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(turn).alias("turn"), F.count("*").alias("m")).where("low < high")
+        here = now.join(spread.select("key", "turn", "m"), "key")
+        if number < ROUNDS:
+            pivots = here.where(F.col("turn") == turn).select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
+            met = here.join(pivots, "key").where("c <> ca").select("a", F.col("id").alias("b"))
         else:
-            # The rest: all sets of a place that lie in different components, with exact verification.
-            here = now.join(spread.select("key"), "key")
-            pairs = here.alias("x").join(here.alias("y"), F.expr("x.key = y.key and x.c <> y.c and x.id < y.id and " + rule.may_link("x.s", "y.s"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").groupBy("lo", "hi").agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi")
+            # The rest: sets of a place in different components, by neighbouring slots of size, the smaller set on the left.
+            salts = F.ceil(F.col("m") / SPLIT).cast("int")
+            rest = here.join(shapes, "id").withColumn("slot", F.expr(rule.slot("s.n")))
+            left = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(-1)), salts).cast("int"))
+            right = rest.withColumn("slot", F.explode(F.array("slot", F.col("slot") - 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            meet = "x.key = y.key and x.slot = y.slot and x.salt = y.salt and x.c <> y.c and (x.s.n < y.s.n or x.s.n = y.s.n and x.id < y.id) and "
+            met = left.alias("x").join(right.alias("y"), F.expr(meet + rule.may_link("x.s", "y.s"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = met.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+        if number < ROUNDS:
+            pairs = pairs.join(shapes.select(F.col("id").alias("lo"), F.col("s").alias("x")), "lo").join(shapes.select(F.col("id").alias("hi"), F.col("s").alias("y")), "hi").where(rule.may_link("x", "y"))
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        fresh = staged(pairs, "pairs")
-        if rounds > ROUNDS or not fresh.isEmpty():
+        fresh = kept(pairs, "pairs")
+        tried = fresh.select("lo", "hi") if tried is None else tried.union(fresh.select("lo", "hi"))
+        if not fresh.isEmpty():
             sized = fresh.join(fresh.groupBy("a").agg(F.count("*").alias("n")), "a")
-            linked = staged(verify(sized, docs, k, similarity), "links")
-            links = linked if links is None else links.union(linked)
-            tried = fresh.select("lo", "hi") if tried is None else tried.union(fresh.select("lo", "hi"))
+            links = links.union(kept(verify(sized, docs, k, similarity), "links"))
             state = connected_components(links)
-        if rounds > ROUNDS:
-            break
-    members = seen.select("id", "n", "set_a", "set_b").where("n > 0 and id is not null").join(first, ["n", "set_a", "set_b"])
-    found = members.join(state, members.rep == state.node, "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
+            made.append(state)
+    members = told.select("id", "n", "set_a", "set_b").join(first, ["n", "set_a", "set_b"])
     # A component's smallest id is among its representatives: each is the least of its copies.
+    component = F.col("rep") if state is None else F.coalesce("component", "rep")
+    found = (members if state is None else members.join(state, members.rep == state.node, "left")).select("id", "n", component.alias("c"))
     rest = seen.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
-    return found.union(rest).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    out = staged(found.union(rest), "classes")
+    drop_staged(*made)
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 #: Rounds of pivots before what is still apart is compared in full.
