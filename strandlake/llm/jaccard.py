@@ -9,9 +9,10 @@ meet one of the next band is indexed for both, there by the shorter prefix that
 table of frequent tokens nor a mistaken entry can lose a link.
 
 Equal sets are joined first, by a 128-bit digest of the set, and one of each goes on. Indexed places that hold several sets are
-joined in rounds: for ROUNDS rounds, linear in the places' rows, each set is compared with its place's pivot of the round, and
-exact links are joined into components. Then only sets of one place that still lie in different components meet, in slots of
-sizes that may link and in salts of at most SPLIT sets, and only pairs that pass the bounds below come out of that join.
+joined in rounds: for ROUNDS rounds, linear in the places' rows, each set is compared with its place's pivot of the round, the
+first by a hash, later the set nearest to earlier pivots, and exact links are joined into components. Places with one pivot are taken together as a star, so that sets that
+share many places meet once, not once a place. Then only sets of one star that still lie in different components meet, in slots of
+sizes that may link and in salts of about SPLIT sets, and only pairs that pass the bounds below come out of that join.
 
 Three bounds that every link meets prune pairs before any text is read: the sizes' ratio, and two bitmap filters, a narrow one of
 NARROW bits and a wide one of one to four bits for each token. Each bit is the parity of the tokens that fall there, so two sets
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.bits import bit_filter
 from strandlake.llm.components import connected_components
 from strandlake.llm.stage import drop_staged, staged
 from strandlake.llm.text import WordHasher, blocks, distinct_by_text, mix, shingles_by_text, texts_of, words_by_text
@@ -40,10 +42,8 @@ FREQUENT, LEAST = 1 << 17, 8
 RANGES, FLUSH = 256, 2_000_000
 #: Bits of the narrow sketch, and the least and most of the wide one.
 NARROW, WIDE = 256, (256, 1 << 16)
-#: Sets of a place that one task compares with the others of their sizes.
+#: Sets of a star that one task compares with the others of their sizes.
 SPLIT = 4096
-#: Least and most bits of the fixed-size filter of the ids whose texts are compared.
-FILTER_BITS = (1 << 20, 1 << 26)
 #: Pairs with a common pivot are verified in chunks of so many.
 CHUNK = 32
 
@@ -222,37 +222,17 @@ def describe(docs: DataFrame, k: int, similarity: str, frequent: np.ndarray) ->
     return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, bits array<long>, wide array<long>, keys array<long>")
 
 
-def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among wanted, so that other texts are not shuffled. The filter's size is bounded;
-    where it fills up, more texts pass."""
-    n = wanted.count()
-    size = min(max(FILTER_BITS[0], 1 << int(16 * n).bit_length()), FILTER_BITS[1])
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    words = wanted.select(slot("want").alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    table = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.uint64)
-            keep = (table.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.select(["id", "text"]).filter(pa.array(keep.astype(bool)))
-
-    return docs.select("id", "text", slot("id").alias("slot")).where("id is not null").mapInArrow(run, "id long, text string")
-
-
-def _similar(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of sorted distinct tokens link."""
+def _similarity(rule: Rule, a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of sorted distinct tokens, 0 if they do not link."""
     if not len(a) or not len(b):
-        return False
+        return 0.0
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
-    return both > 0 and rule.linked(both, len(a), len(b))
+    return both / (len(a) + len(b) - both) if both and rule.linked(both, len(a), len(b)) else 0.0
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFrame:
-    """The linked pairs (a, b) of distinct pairs (a, b), whole texts compared exactly.
+    """The linked pairs (a, b) of distinct pairs (a, b) with their similarity, whole texts compared exactly.
 
     A pivot a with many partners is read once a chunk of them. Rows meet by the hash of (a, chunk) and are sorted so that the
     pivot comes first; a task holds one pivot at a time. Of an id with several texts any one may link.
@@ -260,25 +240,27 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFr
     rule = Rule(similarity)
     keyed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk"))
     wanted = keyed.select(F.col("b").alias("want"), "a", "chunk", F.lit(1).alias("kind")).union(keyed.select(F.col("a").alias("want"), "a", "chunk", F.lit(0).alias("kind")).distinct())
-    rows = wanted.join(wanted_texts(docs, wanted.select("want").distinct()), F.col("want") == F.col("id")).select("a", "chunk", "kind", "want", "text")
+    texts = bit_filter(wanted.select("want").distinct(), "want").passing(docs.select("id", "text").where("id is not null"), "id")
+    rows = wanted.join(texts, F.col("want") == F.col("id")).select("a", "chunk", "kind", "want", "text")
     dealt = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         pivot, mine = None, []
         for batch in batches:
-            left, right = [], []
+            left, right, near = [], [], []
             owners, chunks, kinds, wants = (batch.column(i).to_pylist() for i in range(4))
             for i, tokens in enumerate(_sets(batch.column(4), k, hasher)):
                 if kinds[i] == 0:
                     mine = [*mine, tokens] if pivot == (owners[i], chunks[i]) else [tokens]
                     pivot = (owners[i], chunks[i])
-                elif pivot == (owners[i], chunks[i]) and any(_similar(rule, x, tokens) for x in mine):
+                elif pivot == (owners[i], chunks[i]) and (found := max(_similarity(rule, x, tokens) for x in mine)):
                     left.append(owners[i])
                     right.append(wants[i])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    near.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, similarity double")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,7 +294,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     places = kept(dealt.join(chosen, "key").select("key", "id"), "places")
     # A document with several texts joins their sets.
     several = told.groupBy("id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("low"), F.max(F.struct("n", "set_a", "set_b")).alias("high")).where("low <> high").select("id")
-    links = kept(told.join(several, "id", "left_semi").join(first, ["n", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+    links = kept(told.join(several, "id", "left_semi").join(first, ["n", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")), "links")
     state = None
     if not links.isEmpty():
         state = connected_components(links)
@@ -321,19 +303,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     for number in range(ROUNDS + 1):
         # Each place's sets with their components; a place of one component is settled.
         now = places.withColumn("c", F.col("id")) if state is None else places.join(state, places.id == state.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        turn = F.xxhash64("id", F.lit(number))
-        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(turn).alias("turn"), F.count("*").alias("m")).where("low < high")
-        here = now.join(spread.select("key", "turn", "m"), "key")
+        # The pivot: by hash at first, then the set nearest to most of the pivots before, which are spent. Any choice gives the same links.
+        spent = links.select(F.col("b").alias("id"), "similarity").union(links.select(F.col("a").alias("id"), F.lit(-1e9).alias("similarity")))
+        near = spent.groupBy("id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1023.0), F.sum("similarity"))).alias("near"))
+        turn = F.shiftleft(F.coalesce(F.col("near") * 1024, F.lit(0)).cast("long"), 43) + F.shiftrightunsigned(F.xxhash64("id", F.lit(number)), 21)
+        now = now.join(near, "id", "left").withColumn("mine", turn).drop("near")
+        spread = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("mine").alias("turn")).where("low < high")
+        # Places with the same pivot become one star: whoever shares a place shares a star, each set is in it once, and all are partners of its pivot.
+        stars = now.join(spread.select("key", "turn"), "key").select("turn", "id", "c", "mine").distinct()
         if number < ROUNDS:
-            pivots = here.where(F.col("turn") == turn).select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-            met = here.join(pivots, "key").where("c <> ca").select("a", F.col("id").alias("b"))
+            pivots = stars.where("turn = mine").select("turn", F.col("id").alias("a"), F.col("c").alias("ca"))
+            met = stars.join(pivots, "turn").where("c <> ca").select("a", F.col("id").alias("b"))
         else:
-            # The rest: sets of a place in different components, by neighbouring slots of size, the smaller set on the left.
-            salts = F.ceil(F.col("m") / SPLIT).cast("int")
-            rest = here.join(shapes, "id").withColumn("slot", F.expr(rule.slot("s.n")))
-            left = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(-1)), salts).cast("int"))
-            right = rest.withColumn("slot", F.explode(F.array("slot", F.col("slot") - 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-            meet = "x.key = y.key and x.slot = y.slot and x.salt = y.salt and x.c <> y.c and (x.s.n < y.s.n or x.s.n = y.s.n and x.id < y.id) and "
+            # The rest: sets of a star in different components, by neighbouring slots of size, the smaller set on the left.
+            sized = stars.join(stars.groupBy("turn").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "turn")
+            rest = sized.join(shapes, "id").withColumn("slot", F.expr(rule.slot("s.n")))
+            left = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("salts")).cast("int"))
+            right = rest.withColumn("slot", F.explode(F.array("slot", F.col("slot") - 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            meet = "x.turn = y.turn and x.slot = y.slot and x.salt = y.salt and x.c <> y.c and (x.s.n < y.s.n or x.s.n = y.s.n and x.id < y.id) and "
             met = left.alias("x").join(right.alias("y"), F.expr(meet + rule.may_link("x.s", "y.s"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = met.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
         if number < ROUNDS:
