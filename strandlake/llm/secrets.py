@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.stage import staged
+from strandlake.llm.bits import bit_filter
+from strandlake.llm.stage import drop_staged, staged
 
 RULE_VERSION = "2024-1"
 BASE = ("assign", "access", "hex")
@@ -56,20 +57,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(paths, entries): every path with its blob and spans; the new ledger rows (blob, rule_version, spans).
 
-    ledger: earlier entries, of any rule version. Only hashes are dealt out to find unseen blobs; of each, one text is shuffled.
+    ledger: earlier entries, of any rule version. Only hashes are dealt out to find unseen blobs; texts are scanned where they
+    lie and never shuffled. A bit filter names one row of each unseen blob; a row it lets pass by mistake is scanned in vain.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     paths = docs.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"))
     unseen = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
-    texts = docs.select(F.col(path).alias("p"), F.sha2(body, 256).alias("b"), body.alias("body")).join(
-        unseen, F.col("p").eqNullSafe(F.col("path")) & (F.col("b") == F.col("blob")), "left_semi"
-    )
-    scanned = texts.select("b", "body").mapInArrow(_scan, SCHEMA).dropDuplicates(["blob"])
+    unseen = staged(unseen, "unseen")
+    texts = bit_filter(unseen, "blob", "path").passing(docs.select(F.sha2(body, 256).alias("blob"), body.alias("body"), F.col(path).alias("path")), "blob", "path")
+    scanned = texts.select("blob", "body").mapInArrow(_scan, SCHEMA).join(unseen.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
     entries = staged(scanned.select("blob", F.lit(version).alias("rule_version"), "spans"), "ledger")
+    drop_staged(unseen)
+    known = found_blobs(entries, ledger, version)
+    return paths.join(known, "blob", "left"), entries
+
+
+def found_blobs(entries: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
+    """blob, spans of every blob with findings under the rule version."""
     known = entries if ledger is None else ledger.where(F.col("rule_version") == version).dropDuplicates(["blob"]).unionByName(entries)
-    return paths.join(known.where(F.size("spans") > 0).select("blob", "spans"), "blob", "left"), entries
+    return known.where(F.size("spans") > 0).select("blob", "spans")
 
 
 def _of(kind: str):
@@ -89,24 +97,36 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of text replaced by [kind]; overlapping spans are replaced together by the first one's kind."""
+    """docs with every span of text replaced by [kind]; overlapping spans are replaced together by the first one's kind.
+
+    Only texts that may have findings are shuffled to meet them, all others stay where they lie. Columns of any name may stand beside the text.
+    """
     _, entries = scan_ledger(docs, ledger, path, text)
-    known = entries if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).unionByName(entries)
-    known = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    rows = docs.join(known, F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
+    known = found_blobs(entries, ledger, RULE_VERSION)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # names that cannot clash with those used here
+    body = f"c{names.index(text)}"
+    rows = docs.toDF(*inner)
+    blob = F.sha2(F.coalesce(F.col(body), F.lit("")), 256)
+    found = bit_filter(known, "blob")
+    clean = found.passing(rows, blob, negate=True)
+    rows = found.passing(rows, blob).withColumn("blob", blob).join(known, "blob", "left")
     state = "struct(0 as at, '' as out)"
-    body = f"`{text}`"
     # Pieces before each span and its mark; what an earlier span has covered is left out.
     fold = (
-        f"aggregate(_spans, {state}, (a, s) -> if(s.end <= a.at, a, struct(s.end as at, concat(a.out, if(s.start >= a.at, concat(substr({body}, a.at + 1, s.start - a.at), '[', s.kind, ']'), '')) as out)),"
+        f"aggregate(spans, {state}, (a, s) -> if(s.end <= a.at, a, struct(s.end as at, concat(a.out, if(s.start >= a.at, concat(substr({body}, a.at + 1, s.start - a.at), '[', s.kind, ']'), '')) as out)),"
         f" a -> concat(a.out, substr({body}, a.at + 1)))"
     )
-    return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.expr(fold))).drop("_blob", "_spans")
+    dirty = rows.withColumn(body, F.when(F.col("spans").isNull(), F.col(body)).otherwise(F.expr(fold))).select(*inner)
+    return clean.union(dirty).toDF(*names)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(scan_ledger(docs)[0])
+    _, ledger = scan_ledger(docs)
+    # The same texts again, as a later version of the corpus would hold most of them: all are in the ledger, none is scanned.
+    rows, _ = scan_ledger(docs, ledger)
+    return digest(rows)
 
 
 def plain_digest(text: str | None) -> str:
