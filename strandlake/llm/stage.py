@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a single machine (local master), and one in
+    the warehouse, which all machines share, on a cluster; never a machine's own folder there."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strandlake.stage.dir", None)
     if not found:
-        found = spark.conf.get("strandlake.stage.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        if spark.sparkContext.master.startswith("local["):
+            found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/strandlake-stage"
         spark.conf.set("strandlake.stage.dir", found)
     return found.rstrip("/")
 
