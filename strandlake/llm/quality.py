@@ -3,8 +3,9 @@
 Filters of WIDTH bytes slide over the UTF-8 bytes of the whole text; overlapping chunks of CHUNK bytes take each filter's
 maximum; a logistic layer gives each chunk a logit, and the mean logit over all chunks of the text gives one probability.
 
-The network is fitted on the driver on a bounded sample: at most TRAIN_ROWS labelled texts of each class, those least by a
-hash of their id, of each at most SLICES slices of CHUNK bytes. Classes are weighted by their counts over all usable labels.
+The network is fitted on the driver on a bounded sample of labelled texts: at most TRAIN_ROWS of each class, those least by a
+hash of their id, and of these in that order as many as hold TRAIN_BYTES bytes; a longer text is passed over, never cut. It learns
+from all chunks of each text. Classes are weighted by their counts over all usable labels.
 Scoring reads every byte of every text.
 
 Defined cases: a null or empty text is scored as one chunk of padding; null ids are scored and held out by no fold (held_out
@@ -20,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandlake.llm.text import blocks, texts_of
 
 WIDTH, FILTERS, STEP = 6, 12, 64
 #: A chunk is CHUNK // STEP segments; the next begins STEP bytes before it ends.
 CHUNK = 512
-TRAIN_ROWS, SLICES, EPOCHS, BATCH, RATE = 1024, 4, 30, 64, 0.01
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 1024, 1 << 23, 18, 64, 0.01
 THRESHOLD = 0.3
 BLOCK = 1 << 19
 #: A filter value below all others, for places past the end of a text.
@@ -56,8 +58,8 @@ class Network:
         self.top = rng.normal(0, 0.3, FILTERS).astype(np.float32)
         self.shift = np.float32(0)
 
-    def fit(self, slices: np.ndarray, size: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
-        """slices: (n, CHUNK + WIDTH - 1) bytes, of which size count; owner: text of each; label and weight of each text. Adam on the log loss."""
+    def fit(self, chunks: np.ndarray, size: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
+        """chunks: (n, CHUNK + WIDTH - 1) bytes, at the first size of which filters begin; owner: text of each; label and weight of each text. Adam on the log loss."""
         rng = np.random.default_rng(seed)
         params = [self.tables, self.bias, self.top]
         slope, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -70,7 +72,7 @@ class Network:
                 texts = order[at : at + BATCH]
                 rows = np.concatenate([by_text[i] for i in texts])
                 local = np.repeat(np.arange(len(texts)), [len(by_text[i]) for i in texts])
-                data = slices[rows]
+                data = chunks[rows]
                 values = np.take(self.tables[0], data[:, :CHUNK], axis=0)
                 for k in range(1, WIDTH):
                     values += np.take(self.tables[k], data[:, k : k + CHUNK], axis=0)
@@ -137,28 +139,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
     chosen = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
-    # Slices are cut on the executors: what comes to the driver is bounded by rows x SLICES x CHUNK.
-    size = F.length("text")
-    cuts = [F.substring("text", F.greatest(F.lit(1), F.floor((size - CHUNK) * i / (SLICES - 1)).cast("int") + 1), F.lit(CHUNK)) for i in range(SLICES)]
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "quality", F.array_distinct(F.array(*cuts)).alias("cuts")).collect()
-    found.sort(key=lambda r: (r.doc_id, r.quality, r.cuts))
-    found = [r for r in found if any(r.cuts)]
+    # Whole texts of the chosen rows, each under the bound, then as many as fit into it: what comes to the driver is bounded.
+    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text").between(1, TRAIN_BYTES))
+    found = bodies.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("turn"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("turn", "doc_id", "quality", "text").rowsBetween(Window.unboundedPreceding, 0))
+    found = sorted(found.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).collect(), key=lambda r: (r.doc_id, r.quality, r.text))
     if len({r.quality for r in found}) < 2:
         return counts.get(1, 0) / sum(counts.values())
     parts, owner, size = [], [], []
     for i, r in enumerate(found):
-        for cut in r.cuts:
-            size.append(min(CHUNK, max(1, len(cut.encode()))))
-            parts.append(np.frombuffer(cut.encode()[: CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0"), np.uint8))
-            owner.append(i)
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        cut, inside = chunks_of(data)
+        parts.append(cut)
+        size.append(inside)
+        owner.append(np.full(len(cut), i))
     label = np.array([r.quality for r in found], np.float32)
     share = np.array([counts[q] / sum(counts.values()) / (label == q).mean() for q in (0, 1)], np.float32)
-    return Network().fit(np.stack(parts), np.array(size), np.array(owner), label, share[label.astype(int)])
+    return Network().fit(np.concatenate(parts), np.concatenate(size), np.concatenate(owner), label, share[label.astype(int)])
 
 
-def scored(docs: DataFrame, model: Network | float, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs, or its columns keep, with a column score, from whole texts only. A column score of docs gives way."""
-    fields = [f for f in docs.schema.fieldNames() if f != "score"]
+def chunks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of a text as score lays them out, each with the bytes that filters at its end reach, and at how many of its bytes filters begin."""
+    segments = -(-(len(data) + WIDTH - 1) // STEP)
+    hop = CHUNK // STEP - 1
+    begin = np.arange(max(1, -(-(segments - 1) // hop))) * hop * STEP
+    padded = np.zeros(int(begin[-1]) + CHUNK + WIDTH - 1, np.uint8)
+    padded[: len(data)] = data
+    return padded[begin[:, None] + np.arange(CHUNK + WIDTH - 1)], np.clip(len(data) - begin, 1, CHUNK)
+
+
+def scored(docs: DataFrame, model: Network | float, text: str = "text", keep: tuple[str, ...] | None = None, score: str = "score") -> DataFrame:
+    """docs, or its columns keep, with a column score, from whole texts only. A column of that name in docs gives way."""
+    fields = [f for f in docs.schema.fieldNames() if f != score]
     docs = docs.select(*fields)
     at = fields.index(text)
     kept = [fields.index(f) for f in keep or fields]
@@ -169,9 +181,9 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text", keep: tu
             out = np.empty(batch.num_rows)
             for i, j in blocks(offsets, BLOCK):
                 out[i:j] = model if isinstance(model, float) else model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out)], names=[*[fields[k] for k in kept], "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out)], names=[*[fields[k] for k in kept], score])
 
-    return docs.mapInArrow(run, docs.select(*[fields[k] for k in kept], F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(run, docs.select(*[fields[k] for k in kept], F.lit(0.0).alias(score)).schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
