@@ -26,8 +26,8 @@ from strandlake.llm.stage import staged
 from strandlake.llm.text import LONG, MASK, SPACE, SpanHasher, blocks, eights, texts_of
 
 SEQUENCE, END_ID = 2048, 1
-#: Ranks are counted apart in so many buckets, so that a common length is no single task's work.
-BUCKETS = 64
+#: Ranks of a length are counted apart in buckets of about so many pieces, so that a common length is no single task's work.
+BUCKET = 1 << 17
 #: Places of the table of units met before, and ids and bytes kept for them before it is emptied.
 SLOT_BITS = 19
 SLOTS, POOL = 1 << SLOT_BITS, 1 << 24
@@ -293,23 +293,23 @@ def slots(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int,
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read more than once; give a written table."""
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect()  # at most sequence x BUCKETS rows
+    # At most as many rows as a sequence has ids.
     histogram = np.zeros(sequence + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
+        histogram[r.length] = r.n
+    buckets = -(-histogram // BUCKET)
+    # The plan and the buckets have a row for each length of a sequence at most, so their size is bounded.
+    dealt = spark.createDataFrame([(int(n), int(buckets[n])) for n in np.flatnonzero(histogram)], "length long, _buckets long")
+    keyed = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_buckets")).cast("int")).drop("_buckets")
     by_length: dict[int, dict[int, int]] = {}
-    for r in counts:
-        histogram[r.length] += r.n
+    for r in keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect():  # at most pieces / BUCKET rows and one for each length
         by_length.setdefault(r.length, {})[r._bucket] = r.n
     rows = []
     for length, places in slots(plan(histogram, sequence)).items():
-        rank, bases = 0, [0] * BUCKETS
-        for k in range(BUCKETS):
-            bases[k] = rank
-            rank += by_length[length].get(k, 0)
-        rows.append((length, bases, places))
+        held = [by_length[length].get(k, 0) for k in range(int(buckets[length]))]
+        rows.append((length, [0, *np.cumsum(held).tolist()], places))
     table = spark.createDataFrame(rows, "length long, bases array<long>, places array<struct<a:long,b:long,base:long,offset:long>>")
     local = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "start", "ids_crc32")) - 1
-    # The plan has a row for each length of a sequence at most, so its size is bounded.
     placed = keyed.withColumn("_local", local).join(F.broadcast(table), "length")
     placed = placed.withColumn("_rank", F.element_at("bases", F.col("_bucket") + 1) + F.col("_local"))
     placed = placed.withColumn("_place", F.filter("places", lambda p: (F.col("_rank") >= p["a"]) & (F.col("_rank") < p["b"]))[0])
