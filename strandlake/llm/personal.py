@@ -88,4 +88,5 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
