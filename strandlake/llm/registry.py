@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import chat, cosine, decontaminate, html, jaccard, licences, packing, personal, quality, secrets
+from strandlake.llm import chat, cosine, decontaminate, html, jaccard, licences, oracles, packing, personal, quality, secrets
 
 QUERIES = {
     f.__name__: f
@@ -19,4 +19,4 @@ QUERIES = {
         html.op10_main_text,
     )
 }
-ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL, "op2_secret_scan": oracles.OP2_SQL, "op4_cover_tree": oracles.OP4_SQL, "op6_ngram_jaccard": oracles.OP6_SQL}
