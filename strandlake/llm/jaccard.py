@@ -39,7 +39,7 @@ from strandlake.llm.text import WordHasher, blocks, distinct_by_text, mix, shing
 #: Most frequent tokens in the broadcast table (8 bytes each), and the least count in it.
 FREQUENT, LEAST = 1 << 17, 8
 #: Tokens are counted in so many ranges of their hash, FLUSH tokens of a task at a time.
-RANGES, FLUSH = 256, 2_000_000
+RANGES, FLUSH = 256, 1 << 20
 #: Bits of the narrow sketch, and the least and most of the wide one.
 NARROW, WIDE = 256, (256, 1 << 16)
 #: Sets of a star that one task compares with the others of their sizes.
@@ -55,17 +55,19 @@ def frequent_counts(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        held: list[np.ndarray] = []
-        kept = 0
+        held, kept = np.empty(FLUSH, np.uint64), 0
 
         def out() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            value, n = value[n > 1], n[n > 1]
-            part = (value >> np.uint64(32)).astype(np.int64)  # value holds 40 bits, its top 8 pick the range
-            edge = np.searchsorted(part, np.arange(RANGES + 1))
+            mine = held[:kept]
+            mine.sort()
+            # Where runs of equal values of two or more begin and end.
+            same = np.zeros(kept + 1, bool)
+            np.equal(mine[1:], mine[:-1], out=same[1:kept])
+            first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+            value, n = mine[first], last - first + 1
+            edge = np.searchsorted(value >> np.uint64(32), np.arange(RANGES + 1, dtype=np.uint64))  # value holds 40 bits, its top 8 pick the range
             rows = [r for r in range(RANGES) if edge[r + 1] > edge[r]]
-            low = value.astype("<u4")
-            count = n.astype("<u4")
+            low, count = value.astype("<u4"), n.astype("<u4")
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int32()), *[pa.array([x[edge[r] : edge[r + 1]].tobytes() for r in rows], pa.binary()) for x in (low, count)]], names=["part", "value", "n"]
             )
@@ -75,11 +77,13 @@ def frequent_counts(docs: DataFrame, k: int) -> DataFrame:
             for i, j in blocks(offsets):
                 h, _, _, first = words_by_text(hasher, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 _, token = distinct_by_text(*shingles_by_text(h, first, k))
-                held.append(token >> np.uint64(24))
-                kept += len(token)
-                if kept > FLUSH:
-                    yield out()
-                    held, kept = [], 0
+                for at in range(0, len(token), FLUSH // 2):
+                    part = token[at : at + FLUSH // 2]
+                    if kept + len(part) > FLUSH:
+                        yield out()
+                        kept = 0
+                    held[kept : kept + len(part)] = part >> np.uint64(24)
+                    kept += len(part)
         if kept:
             yield out()
 
@@ -206,8 +210,8 @@ def describe(docs: DataFrame, k: int, similarity: str, frequent: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, often = WordHasher(), table.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 n, a, b, bits, wide, keys = [], [], [], [], [], []
                 for tokens in _sets(part.column(1), k, hasher):
                     n.append(len(tokens))
