@@ -11,6 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.text import lean
+
 #: Least and most bits of a filter.
 BITS = (1 << 20, 1 << 26)
 
@@ -35,7 +37,7 @@ class BitFilter:
                 keep = ((table.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~keep if negate else keep))
 
-        return rows.select("*", self.slot(*key).alias("_slot_of_filter")).mapInArrow(run, fields)
+        return rows.select("*", self.slot(*key).alias("_slot_of_filter")).mapInArrow(lean(run), fields)
 
 
 def bit_filter(wanted: DataFrame, *key: Column | str) -> BitFilter:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.text import PLACE, WordHasher, blocks, mix, texts_of, words_by_text
+from strandlake.llm.text import PLACE, WordHasher, blocks, lean, mix, texts_of, words_by_text
 
 EDITS, GRAM, SMALL = 0.2, 3, 6
 #: Most items broadcast together, and most rows of finds that are held at a time.
@@ -203,7 +203,7 @@ def _search(docs: DataFrame, table) -> DataFrame:
                 rows += [(batch.column(0)[i + t].as_py(), item, edits, a + int(at[t]), b + int(at[t])) for t, item, edits, a, b in found]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=kinds)
 
-    return docs.mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
+    return docs.mapInArrow(lean(run), ", ".join(f"{k} long" for k in kinds))
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.text import lean
+
 #: Fixed values of HTML: elements that start a new block, that have no content, and whose content is not text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main"
@@ -333,7 +335,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(x.as_py(), tree) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return source.mapInArrow(run, source.select(*keep, F.col("_html").cast("string").alias("text")).schema)
+    return source.mapInArrow(lean(run), source.select(*keep, F.col("_html").cast("string").alias("text")).schema)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

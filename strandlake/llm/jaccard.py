@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.bits import bit_filter
 from strandlake.llm.components import connected_components
 from strandlake.llm.stage import drop_staged, staged
-from strandlake.llm.text import WordHasher, blocks, distinct_by_text, mix, shingles_by_text, texts_of, words_by_text
+from strandlake.llm.text import WordHasher, blocks, distinct_by_text, lean, mix, shingles_by_text, texts_of, words_by_text
 
 #: Most frequent tokens in the broadcast table (8 bytes each), and the least count in it.
 FREQUENT, LEAST = 1 << 17, 8
@@ -98,7 +98,7 @@ def frequent_counts(docs: DataFrame, k: int) -> DataFrame:
         token = value[at][keep][best].astype(np.int64) | (key[0].as_py() << 32)
         return pa.table({"token": pa.array(token), "n": pa.array(n[keep][best])})
 
-    parts = docs.select("text").mapInArrow(run, "part int, value binary, n binary")
+    parts = docs.select("text").mapInArrow(lean(run), "part int, value binary, n binary")
     return parts.groupBy("part").applyInArrow(total, "token long, n long")
 
 
@@ -223,7 +223,7 @@ def describe(docs: DataFrame, k: int, similarity: str, frequent: np.ndarray) ->
                 columns = [part.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], *[pa.array(x, longs) for x in (bits, wide, keys)]]
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, bits array<long>, wide array<long>, keys array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, set_a long, set_b long, bits array<long>, wide array<long>, keys array<long>")
 
 
 def _similarity(rule: Rule, a: np.ndarray, b: np.ndarray) -> float:
@@ -264,7 +264,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: str) -> DataFr
                     near.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
 
-    return dealt.mapInArrow(run, "a long, b long, similarity double")
+    return dealt.mapInArrow(lean(run), "a long, b long, similarity double")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_column: str = "doc_id", text: str = "text") -> DataFrame:

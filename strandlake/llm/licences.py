@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.licence_texts import TEMPLATES
-from strandlake.llm.text import PLACE, WordHasher, blocks, mix, texts_of
+from strandlake.llm.text import PLACE, WordHasher, blocks, lean, mix, texts_of
 
 DICE = 0.8
 MAP_BITS = 20
@@ -108,7 +108,7 @@ def find_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                     rows.append((ids[i + t], name, d, a + shift, b + shift))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "licence", "dice", "first_byte", "end_byte"])
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, licence string, dice double, first_byte long, end_byte long")
+    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(lean(run), "doc_id long, licence string, dice double, first_byte long, end_byte long")
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.llm.stage import staged
-from strandlake.llm.text import LONG, MASK, SPACE, SpanHasher, blocks, eights, texts_of
+from strandlake.llm.text import LONG, MASK, SPACE, SpanHasher, blocks, eights, lean, texts_of
 
 SEQUENCE, END_ID = 2048, 1
 #: Ranks of a length are counted apart in buckets of about so many pieces, so that a common length is no single task's work.
 BUCKET = 1 << 17
 #: Places of the table of units met before, and ids and bytes kept for them before it is emptied.
 SLOT_BITS = 19
-SLOTS, POOL = 1 << SLOT_BITS, 1 << 24
+SLOTS, POOL = 1 << SLOT_BITS, 1 << 23
 #: The tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -82,7 +82,7 @@ class Encoder:
 
     def _clear(self) -> None:
         #: By place: where its ids begin in pool and how many they are, where its bytes begin in kept and how many.
-        self.place, self.count, self.begin, self.size = (np.zeros(SLOTS, np.int64) for _ in range(4))
+        self.place, self.count, self.begin, self.size = (np.zeros(SLOTS, np.int32) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.kept, self.filled = np.zeros(1 << 20, np.uint8), 0
 
@@ -196,7 +196,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENC
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, sequence: int = SEQUENCE) -> list[tuple[int, ...]]:

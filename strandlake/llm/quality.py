@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.text import blocks, texts_of
+from strandlake.llm.text import blocks, lean, texts_of
 
 WIDTH, FILTERS, STEP = 6, 12, 64
 #: A chunk is CHUNK // STEP segments; the next begins STEP bytes before it ends.
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text", keep: tu
                 out[i:j] = model if isinstance(model, float) else model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out)], names=[*[fields[k] for k in kept], score])
 
-    return docs.mapInArrow(run, docs.select(*[fields[k] for k in kept], F.lit(0.0).alias(score)).schema)
+    return docs.mapInArrow(lean(run), docs.select(*[fields[k] for k in kept], F.lit(0.0).alias(score)).schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.bits import bit_filter
 from strandlake.llm.stage import drop_staged, staged
+from strandlake.llm.text import lean
 
 RULE_VERSION = "2024-1"
 BASE = ("assign", "access", "hex")
@@ -67,7 +68,7 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, path: str = "d
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     unseen = staged(unseen, "unseen")
     texts = bit_filter(unseen, "blob", "path").passing(docs.select(F.sha2(body, 256).alias("blob"), body.alias("body"), F.col(path).alias("path")), "blob", "path")
-    scanned = texts.select("blob", "body").mapInArrow(_scan, SCHEMA).join(unseen.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
+    scanned = texts.select("blob", "body").mapInArrow(lean(_scan), SCHEMA).join(unseen.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
     entries = staged(scanned.select("blob", F.lit(version).alias("rule_version"), "spans"), "ledger")
     drop_staged(unseen)
     known = found_blobs(entries, ledger, version)

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the worker gives freed memory back: workers live on from stage to stage, and what one has
+    freed but kept would stand beside what the next one needs."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: Bytes with A-Z as a-z.
 LOWER = np.arange(256, dtype=np.uint8)
