@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions import columns as C
+from strandlake.operators.select import range_join
 
 
 def fixmate(reads: DataFrame, add_score: bool = True) -> DataFrame:
@@ -17,7 +18,7 @@ def fixmate(reads: DataFrame, add_score: bool = True) -> DataFrame:
     mate = lambda c: F.when(F.col("_k") == 1, F.max(F.when((F.col("_k") == 2), c)).over(w)).otherwise(F.max(F.when(F.col("_k") == 1, c)).over(w))
     rows = reads.withColumn("_primary", primary).withColumn("_n", F.sum(F.col("_primary").cast("long")).over(w))
     rows = rows.withColumn("_k", F.when(F.col("_primary"), F.row_number().over(Window.partitionBy("src", "qname", "_primary").orderBy("ord"))).otherwise(0))
-    rows = rows.withColumn("_score", C.quality_sum(F.col("qual"))).withColumn("_end", F.col("pos") + C.ref_span(F.col("cigar")))
+    rows = rows.withColumn("_score", C.quality_sum(F.col("qual"), length=F.length("seq"))).withColumn("_end", F.col("pos") + C.ref_span(F.col("cigar")))
     for c in ("rid", "pos", "flag", "mapq", "cigar", "_score", "_end"):
         rows = rows.withColumn(f"_m{c}", mate(F.col(c)))
     pair = F.col("_primary") & (F.col("_n") == 2)
@@ -49,36 +50,44 @@ def unclipped_five(flag, pos, cigar):
     return F.when(C.has(flag, C.REVERSE), pos + F.greatest(C.ref_span(cigar), F.lit(1)) + C.trail_clip(cigar)).otherwise(pos - C.lead_clip(cigar) + 1)
 
 
-def markdup(reads: DataFrame) -> DataFrame:
+def markdup(reads: DataFrame, include_fails: bool = False, clear: bool = False, remove: bool = False) -> DataFrame:
     """reads with the bit for duplicates, set-based: pairs compete by both 5' ends and strands, single reads by their own.
 
-    Rows that are secondary, supplementary, unmapped or failed pass unexamined. Of equal templates the one with the higher sum of
-    qualities stays, then the smaller name; a single read loses to any paired read of its place.
+    Rows that are secondary, supplementary or unmapped, and failed ones unless include_fails, pass unexamined. Of equal templates
+    a passing one stays before a failed one, then the one with the higher sum of qualities, then the smaller name; a single read loses
+    to any paired read of its place. clear: bits from before are taken off first; remove: duplicates are left out.
+    Only narrow rows of examined reads are shuffled to find the losers, which then meet the reads.
     """
     flag = F.col("flag")
-    examined = ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY | C.UNMAP | C.QCFAIL)
+    if clear:
+        reads = reads.withColumn("flag", flag.bitwiseAND(F.lit(0xFFFF & ~C.DUP)))
+    skipped = C.SECONDARY | C.SUPPLEMENTARY | C.UNMAP | (0 if include_fails else C.QCFAIL)
     mated = C.has(flag, C.PAIRED) & ~C.has(flag, C.MUNMAP) & (F.col("mpos") >= 0) & (F.col("mcigar") != "*")
     rev, mrev = C.has(flag, C.REVERSE), C.has(flag, C.MREVERSE)
-    five = unclipped_five(flag, F.col("pos"), F.col("cigar"))
     mflag = F.when(mrev, C.REVERSE).otherwise(0).cast("long")
-    mfive = unclipped_five(mflag, F.col("mpos"), F.col("mcigar"))
-    rows = reads.withColumns({"_x": examined, "_m": examined & mated, "_rev": rev, "_five": five, "_mfive": mfive, "_mrev": mrev, "_score": C.quality_sum(F.col("qual"))})
-    total = F.sum("_score").over(Window.partitionBy("src", "qname", "_m"))
-    rows = rows.withColumn("_total", total)
-    single = Window.partitionBy("_x", "rid", "_five", "_rev")
-    pair = Window.partitionBy("_m", "rid", "_five", "_rev", "mrid", "_mfive", "_mrev")
-    rows = rows.withColumn("_paired_here", F.max(F.col("_m").cast("int")).over(single))
-    rows = rows.withColumn("_rank1", F.row_number().over(single.orderBy(F.col("_m").cast("int"), F.desc("_score"), "src", "ord")))
-    rows = rows.withColumn("_rank2", F.row_number().over(pair.orderBy(F.desc("_total"), "qname", "src", "ord")))
-    lost = F.when(F.col("_m"), F.col("_rank2") > 1).when(F.col("_x"), (F.col("_paired_here") == 1) | (F.col("_rank1") > 1)).otherwise(F.lit(False))
-    return rows.withColumn("flag", flag.bitwiseOR(F.when(lost, C.DUP).otherwise(0))).select(*reads.columns)
+    rows = reads.where(~C.has(flag, skipped)).select(
+        "src", "ord", "qname", "rid", unclipped_five(flag, F.col("pos"), F.col("cigar")).alias("five"), rev.alias("rev"), "mrid", unclipped_five(mflag, F.col("mpos"), F.col("mcigar")).alias("mfive"), mrev.alias("mrev"),
+        mated.alias("mated"), C.quality_sum(F.col("qual"), length=F.length("seq")).alias("score"), C.has(flag, C.QCFAIL).alias("fail"),
+    )
+    pairs = rows.where("mated").withColumn("total", F.sum("score").over(Window.partitionBy("src", "qname")))
+    best = Window.partitionBy("rid", "five", "rev", "mrid", "mfive", "mrev").orderBy("fail", F.desc("total"), "qname", "src", "ord")
+    lost = pairs.withColumn("k", F.row_number().over(best)).where("k > 1").select("src", "ord")
+    # A place is one task's rows: single reads and, of the pairs there, one row.
+    taken = rows.where("mated").select("rid", "five", "rev").distinct().withColumns({"src": F.lit(-1).cast("long"), "ord": F.lit(-1).cast("long"), "fail": F.lit(False), "score": F.lit(2**62)})
+    singles = rows.where("not mated").select(*taken.columns).unionByName(taken)
+    one = Window.partitionBy("rid", "five", "rev").orderBy("fail", F.desc("score"), "src", "ord")
+    lost = lost.unionByName(singles.withColumn("k", F.row_number().over(one)).where("k > 1 and ord >= 0").select("src", "ord"))
+    out = reads.join(lost.withColumn("_lost", F.lit(C.DUP)), ["src", "ord"], "left")
+    if remove:
+        return out.where(F.col("_lost").isNull() & ~C.has(flag, C.DUP)).select(*reads.columns)
+    return out.withColumn("flag", flag.bitwiseOR(F.coalesce("_lost", F.lit(0)))).select(*reads.columns)
 
 
 def bed6(reads: DataFrame, names: DataFrame, split: bool = False) -> DataFrame:
     """chrom, start, end, name, score, strand of each mapped row, or of each of its blocks between skips (N)."""
     flag = F.col("flag")
     suffix = F.when(C.has(flag, C.READ1), "/1").when(C.has(flag, C.READ2), "/2").otherwise("")
-    rows = reads.where("rid >= 0").join(F.broadcast(names.select("rid", F.col("name").alias("chrom"))), "rid")
+    rows = reads.where((F.col("rid") >= 0) & ~C.has(flag, C.UNMAP)).join(names.select("rid", F.col("name").alias("chrom")), "rid")
     if split:
         ops = C.walk(F.col("cigar"))
         cuts = F.filter(ops, lambda o: o["op"] == "N")
@@ -93,10 +102,11 @@ def bed6(reads: DataFrame, names: DataFrame, split: bool = False) -> DataFrame:
 def bedpe(reads: DataFrame, names: DataFrame) -> DataFrame:
     """Both ends of each pair of primary rows in one row, the end that comes first by chromosome and start first; score is the lower MAPQ."""
     flag = F.col("flag")
-    rows = reads.where(C.has(flag, C.PAIRED) & ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY)).join(F.broadcast(names.select("rid", F.col("name").alias("chrom"))), "rid", "left")
+    rows = reads.where(C.has(flag, C.PAIRED) & ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY)).join(names.select("rid", F.col("name").alias("chrom")), "rid", "left")
+    off = C.has(flag, C.UNMAP) | (F.col("rid") < 0)
     end = F.struct(
-        F.coalesce("chrom", F.lit(".")).alias("chrom"), F.when(F.col("rid") < 0, -1).otherwise(F.col("pos")).cast("long").alias("start"), F.when(F.col("rid") < 0, -1).otherwise(F.col("pos") + C.ref_span(F.col("cigar"))).cast("long").alias("end"),
-        F.when(F.col("rid") < 0, ".").when(C.has(flag, C.REVERSE), "-").otherwise("+").alias("strand"), "mapq",
+        F.when(off, ".").otherwise(F.coalesce("chrom", F.lit("."))).alias("chrom"), F.when(off, -1).otherwise(F.col("pos")).cast("long").alias("start"), F.when(off, -1).otherwise(F.col("pos") + C.ref_span(F.col("cigar"))).cast("long").alias("end"),
+        F.when(off, ".").when(C.has(flag, C.REVERSE), "-").otherwise("+").alias("strand"), "mapq",
     )
     both = rows.groupBy("src", "qname").agg(F.max(F.when(C.has(flag, C.READ1), end)).alias("a"), F.max(F.when(C.has(flag, C.READ2), end)).alias("b")).where("a is not null and b is not null")
     later = (F.col("a.chrom") == ".") | (F.col("b.chrom") != ".") & (F.struct("a.chrom", "a.start") > F.struct("b.chrom", "b.start"))
@@ -106,16 +116,67 @@ def bedpe(reads: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def clip_primers(reads: DataFrame, primers: DataFrame, tolerance: int = 5) -> DataFrame:
-    """src, ord, clip, primer, pos: how many reference bases the primer (rid, start, end, strand, line) at a read's 5' end takes; the largest clip wins, then the first primer. Reads are not rewritten.
+    """src, ord, clip, primer, pos: how many reference bases the primer (rid, start, end, strand, line) at a read's 5' end takes; the largest clip wins, then the first primer.
 
-    Primers are a panel: a small table by nature. Spark broadcasts it only under its own size limit, and joins on rid otherwise.
+    The 5' end meets primers by bins of places, widened by the tolerance; a read is no more than one place here, so rows grow with matches only.
     """
     flag = F.col("flag")
-    mapped = reads.where(~C.has(flag, C.UNMAP) & (F.col("rid") >= 0)).withColumn("_end", F.col("pos") + C.ref_span(F.col("cigar"))).withColumn("_rev", C.has(flag, C.REVERSE))
-    p = primers.select(F.col("rid").alias("_rid"), "line", F.col("start").alias("_a"), F.col("end").alias("_b"), (F.col("strand") == "-").alias("_back"))
-    forward = ~F.col("_rev") & ~F.col("_back") & (F.col("pos") >= F.col("_a") - tolerance) & (F.col("pos") < F.col("_b"))
-    backward = F.col("_rev") & F.col("_back") & (F.col("_end") <= F.col("_b") + tolerance) & (F.col("_end") > F.col("_a"))
-    met = mapped.join(p, (F.col("rid") == F.col("_rid")) & (forward | backward))
-    size = F.when(F.col("_rev"), F.col("_end") - F.col("_a")).otherwise(F.col("_b") - F.col("pos"))
-    best = met.groupBy("src", "ord").agg(F.max(F.struct(size.alias("clip"), (-F.col("line")).alias("_l"), "_rev", "pos")).alias("m"))
+    mapped = reads.where(~C.has(flag, C.UNMAP) & (F.col("rid") >= 0)).select("src", "ord", "rid", F.col("pos").alias("_first"), (F.col("pos") + C.ref_span(F.col("cigar"))).alias("_end"), C.has(flag, C.REVERSE).alias("_rev"))
+    placed = mapped.withColumn("pos", F.when(F.col("_rev"), F.col("_end") - 1).otherwise(F.col("_first"))).withColumn("end", F.col("pos") + 1)
+    back = F.col("strand") == "-"
+    wide = primers.select("line", "rid", F.when(back, F.col("start")).otherwise(F.greatest(F.lit(0), F.col("start") - tolerance)).alias("start"), F.when(back, F.col("end") + tolerance).otherwise(F.col("end")).alias("end"))
+    met = range_join(placed, wide).join(primers.select("line", F.col("start").alias("_a"), F.col("end").alias("_b"), back.alias("_back")), "line").where("_rev = _back")
+    size = F.when(F.col("_rev"), F.col("_end") - F.col("_a")).otherwise(F.col("_b") - F.col("_first"))
+    best = met.groupBy("src", "ord").agg(F.max(F.struct(size.alias("clip"), (-F.col("line")).alias("_l"), "_rev", F.col("_first").alias("pos"))).alias("m"))
     return best.select("src", "ord", F.col("m.clip").alias("clip"), (-F.col("m._l")).alias("primer"), F.when(F.col("m._rev"), F.col("m.pos")).otherwise(F.col("m.pos") + F.col("m.clip")).alias("pos"))
+
+
+def clip_reads(reads: DataFrame, primers: DataFrame, tolerance: int = 5, hard: bool = False, fail_length: int | None = None, filter_length: int | None = None) -> DataFrame:
+    """reads whose primer bases are clipped: CIGAR, place, and with hard clips SEQ and QUAL are rewritten, as long as a base is left on the reference.
+
+    The clip covers clip reference bases from the 5' end; operations in it become one clip of their query bases, and insertions,
+    deletions and skips that the cut would leave at the edge go with it. fail_length: reads of at most so many aligned and inserted
+    bases are marked failed; filter_length: they are left out.
+    """
+    found = clip_primers(reads, primers, tolerance).select("src", "ord", "clip")
+    rows = reads.join(found, ["src", "ord"], "left").withColumn("_clip", F.coalesce("clip", F.lit(0).cast("long"))).withColumn("_back", C.has(F.col("flag"), C.REVERSE))
+    ops = C.cigar_ops(F.col("cigar"))
+    rows = rows.withColumn("_ops", F.when(F.col("_back"), F.reverse(ops)).otherwise(ops)).withColumn("_span", C.total(F.col("_ops"), "MDN=X"))
+    rows = rows.withColumn("_clip", F.when((F.col("_clip") > 0) & (F.col("_span") > 0), F.least("_clip", "_span")).otherwise(0).cast("long"))
+    state = F.expr("struct(0L as cut, 0L as hard, 0L as soft, 0L as moved, false as done, cast(array() as array<struct<n:bigint,op:string>>) as kept)")
+
+    def step(a: Column, o: Column) -> Column:
+        refs, query = F.lit("MDN=X").contains(o["op"]), F.lit("MIS=X").contains(o["op"])
+        left = F.col("_clip") - a["cut"]
+        taken = F.when(refs, F.least(o["n"], left)).otherwise(0)  # reference bases of this operation that are cut
+        both = refs & query
+        whole = ~a["done"] & (F.lit("HS").contains(o["op"]) & (F.size(a["kept"]) == 0) | (left > 0) & ~refs | refs & (taken == o["n"]) | ~both & (left <= 0))
+        part = ~a["done"] & ~whole & both
+        rest = F.when(part, o["n"] - taken).otherwise(o["n"])
+        return F.struct(
+            (a["cut"] + F.when(whole | part, taken).otherwise(0)).alias("cut"),
+            (a["hard"] + F.when(whole & (o["op"] == "H"), o["n"]).otherwise(0)).alias("hard"),
+            (a["soft"] + F.when(whole & query, o["n"]).when(part, taken).otherwise(0)).alias("soft"),
+            (a["moved"] + F.when(whole & refs, o["n"]).when(part, taken).otherwise(0)).alias("moved"),
+            (a["done"] | ~whole).alias("done"),
+            F.when(whole, a["kept"]).otherwise(F.concat(a["kept"], F.array(F.struct(rest.alias("n"), o["op"].alias("op"))))).alias("kept"),
+        )
+
+    rows = rows.withColumn("_c", F.aggregate("_ops", state, step))
+    cut = F.col("_clip") > 0
+    op = lambda n, letter: F.struct(n.alias("n"), F.lit(letter).alias("op"))
+    ends = F.array(op(F.col("_c.hard") + F.col("_c.soft"), "H")) if hard else F.array(op(F.col("_c.hard"), "H"), op(F.col("_c.soft"), "S"))
+    new = F.concat(ends, F.col("_c.kept"))
+    new = F.when(F.col("_back"), F.reverse(new)).otherwise(new)
+    # A read that is primer to its end keeps its clips only, without a place on the reference.
+    rows = rows.withColumns({"cigar": F.when(cut, C.render_cigar(new)).otherwise(F.col("cigar")), "pos": F.when(cut & ~F.col("_back"), F.col("pos") + F.col("_c.moved")).otherwise(F.col("pos"))})
+    if hard:
+        n = F.col("_c.soft").cast("int")
+        trim = lambda c: F.when(cut, F.when(F.col("_back"), F.substr(c, F.lit(1), F.length(c) - n)).otherwise(F.substr(c, n + 1))).otherwise(F.col(c))
+        rows = rows.withColumns({"seq": trim("seq"), "qual": trim("qual")})
+    length = C.total(C.cigar_ops(F.col("cigar")), "MI=X")
+    if fail_length is not None:
+        rows = rows.withColumn("flag", F.when(length <= fail_length, F.col("flag").bitwiseOR(F.lit(C.QCFAIL))).otherwise(F.col("flag")))
+    if filter_length is not None:
+        rows = rows.where(length > filter_length)
+    return rows.select(*reads.columns)

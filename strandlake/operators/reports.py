@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions import columns as C
-from strandlake.operators.select import DEFAULT, ReadFilter, range_join
+from strandlake.operators.select import DEFAULT, ReadFilter, coalesced, range_join
 
 
 def flagstat(reads: DataFrame) -> DataFrame:
@@ -23,7 +23,21 @@ def flagstat(reads: DataFrame) -> DataFrame:
         "duplicates": on(C.DUP), "primary_duplicates": primary & on(C.DUP), "paired": paired, "read1": paired & on(C.READ1), "read2": paired & on(C.READ2), "proper": paired & on(C.PROPER) & ~on(C.UNMAP),
         "both_mapped": both, "singletons": paired & ~on(C.UNMAP) & on(C.MUNMAP), "far": far, "far_mapq5": far & (F.col("mapq") >= 5) & (F.col("mapq") != 255),
     }
-    return reads.groupBy(F.when(on(C.QCFAIL), "fail").otherwise("pass").alias("category")).agg(*[F.count_if(c).alias(k) for k, c in counters.items()])
+    fail = on(C.QCFAIL)
+    both_rows = reads.agg(*[F.count_if(c & which).alias(f"{name}_{k}") for name, which in (("pass", ~fail), ("fail", fail)) for k, c in counters.items()])
+    rows = [F.struct(F.lit(name).alias("category"), *[F.col(f"{name}_{k}").alias(k) for k in counters]) for name in ("pass", "fail")]
+    return both_rows.select(F.inline(F.array(*rows)))
+
+
+def flagstat_text(counts: DataFrame) -> DataFrame:
+    """line, text: the lines of the printed report, passed and failed reads side by side, shares as per cent or N/A."""
+    one = counts.agg(*[F.max(F.when(F.col("category") == name, F.col(k))).alias(f"{name}_{k}") for name in ("pass", "fail") for k in counts.columns if k != "category"])
+    share = lambda name, a, b: F.when(F.col(f"{name}_{b}") == 0, "N/A").otherwise(F.format_string("%.2f%%", F.col(f"{name}_{a}") * 100.0 / F.col(f"{name}_{b}")))
+    plain = {"total": "in total (QC-passed reads + QC-failed reads)", "primary_reads": "primary", "secondary": "secondary", "supplementary": "supplementary", "duplicates": "duplicates", "primary_duplicates": "primary duplicates"}
+    lines = [(k, t, None) for k, t in plain.items()] + [("mapped", "mapped", "total"), ("primary_mapped", "primary mapped", "primary_reads"), ("paired", "paired in sequencing", None), ("read1", "read1", None), ("read2", "read2", None)]
+    lines += [("proper", "properly paired", "paired"), ("both_mapped", "with itself and mate mapped", None), ("singletons", "singletons", "paired"), ("far", "with mate mapped to a different chr", None), ("far_mapq5", "with mate mapped to a different chr (mapQ>=5)", None)]
+    text = [F.concat_ws(" ", F.concat_ws(" + ", F.col(f"pass_{k}").cast("string"), F.col(f"fail_{k}").cast("string")), F.lit(t), *([F.concat(F.lit("("), share("pass", k, of), F.lit(" : "), share("fail", k, of), F.lit(")"))] if of else [])) for k, t, of in lines]
+    return one.select(F.posexplode(F.array(*text)).alias("line", "text"))
 
 
 def idxstats(reads: DataFrame, refs: DataFrame) -> DataFrame:
@@ -45,21 +59,66 @@ def aligned_runs(reads: DataFrame, kinds: str = "M=X") -> DataFrame:
 TILE = 1 << 14
 
 
-def depth(reads: DataFrame, rule: ReadFilter = DEFAULT) -> DataFrame:
+def _swept(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, p, q, depth, spans of marks(keys, start, end, d, s): what d and s sum to between one change and the next.
+
+    Marks are cut at tiles; in each, starts and ends are summed and swept, so rows are made for changes, never for bases.
+    """
+    tiles = marks.where("start < end").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE))))
+    cut = tiles.select(*keys, "tile", F.greatest("start", F.col("tile") * TILE).alias("a"), F.least("end", (F.col("tile") + 1) * TILE).alias("b"), "d", "s")
+    events = cut.select(*keys, "tile", F.explode(F.array(F.struct(F.col("a").alias("p"), "d", "s"), F.struct(F.col("b").alias("p"), (-F.col("d")).alias("d"), (-F.col("s")).alias("s")))).alias("e"))
+    steps = events.groupBy(*keys, "tile", F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d"), F.sum("e.s").alias("s"))
+    w = Window.partitionBy(*keys, "tile").orderBy("p")
+    return steps.select(*keys, "p", F.sum("d").over(w).alias("depth"), F.sum("s").over(w).alias("spans"), F.lead("p").over(w).alias("q"))
+
+
+def _after_mate(rows: DataFrame) -> DataFrame:
+    """rows with _from, the place from which a read counts if bases under both mates count once: behind the end of the mate that came before it."""
+    end = F.col("pos") + C.ref_span(F.col("cigar"))
+    able = C.has(F.col("flag"), C.PAIRED) & ~C.has(F.col("flag"), C.MUNMAP)
+    w = Window.partitionBy("src", "qname").orderBy("ord")
+    rows = rows.withColumn("_able", able).withColumn("_k", F.when(able, F.sum(able.cast("int")).over(w)).otherwise(0))
+    kept = F.when(F.col("_able") & ((F.col("mpos") < 0) | (F.col("mrid") == F.col("rid")) & (F.col("mpos") <= end)), end)
+    before = F.max(F.when(F.col("_k") == 1, F.struct("rid", kept.alias("end")))).over(w)
+    return rows.withColumn("_from", F.when((F.col("_k") == 2) & (before["rid"] == F.col("rid")), before["end"])).drop("_able", "_k")
+
+
+def depth(
+    reads: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 0, min_aligned: int = 0, deletions: bool = False, once: bool = False, references: DataFrame | None = None, everywhere: str | None = None, regions: DataFrame | None = None
+) -> DataFrame:
     """src, rid, pos, depth at every position inside the span of an accepted read, deletions and skips counting nothing.
 
-    Runs and spans are cut at tiles; in each, starts and ends are summed and swept, so rows are made for events and for the
-    positions printed, never for bases.
+    min_baseq: bases below it do not count, bases without a quality do; min_aligned: least number of bases on the reference;
+    deletions: deleted positions count, by the quality of the next base; once: bases under both mates count once; everywhere:
+    "covered" for all positions of the references with data, "all" for those of all references; regions: only their positions.
     """
     mapped = reads.where(rule.condition() & (F.col("rid") >= 0) & ~C.has(F.col("flag"), C.UNMAP))
-    runs = aligned_runs(mapped).select("src", "rid", "start", "end", F.lit(1).alias("d"), F.lit(0).alias("s"))
-    spans = mapped.select("src", "rid", F.col("pos").alias("start"), (F.col("pos") + C.ref_span(F.col("cigar"))).alias("end"), F.lit(0).alias("d"), F.lit(1).alias("s")).where("start < end")
-    tiles = runs.unionByName(spans).withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE))))
-    cut = tiles.select("src", "rid", "tile", F.greatest("start", F.col("tile") * TILE).alias("a"), F.least("end", (F.col("tile") + 1) * TILE).alias("b"), "d", "s")
-    events = cut.select("src", "rid", "tile", F.explode(F.array(F.struct(F.col("a").alias("p"), "d", "s"), F.struct(F.col("b").alias("p"), (-F.col("d")).alias("d"), (-F.col("s")).alias("s")))).alias("e"))
-    steps = events.groupBy("src", "rid", "tile", F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d"), F.sum("e.s").alias("s"))
-    w = Window.partitionBy("src", "rid", "tile").orderBy("p")
-    swept = steps.select("src", "rid", "p", F.sum("d").over(w).alias("depth"), F.sum("s").over(w).alias("spans"), F.lead("p").over(w).alias("q")).where("spans > 0")
+    if min_aligned:
+        mapped = mapped.where(C.total(C.cigar_ops(F.col("cigar")), "MI=X") >= min_aligned)
+    first = F.col("start")
+    if once:
+        mapped = _after_mate(mapped)
+        first = F.greatest("start", F.coalesce("_from", "start"))
+    one = lambda d, s: (F.lit(d).cast("long").alias("d"), F.lit(s).cast("long").alias("s"))
+    counted = aligned_runs(mapped, "M=XD" if deletions else "M=X")
+    runs = counted.select("src", "rid", first.alias("start"), "end", *one(1, 0))
+    if min_baseq:
+        low = lambda at: F.coalesce(F.ascii(F.substr("qual", (at + 1).cast("int"), F.lit(1))) - 33, F.lit(255)) < min_baseq
+        bases = counted.where("op <> 'D'").withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: low(F.col("qoff") + i))))
+        lost = bases.withColumn("start", F.col("start") + F.col("_i")).withColumn("end", F.col("start") + 1).where(first == F.col("start")).select("src", "rid", "start", "end", *one(-1, 0))
+        runs = runs.unionByName(lost)
+        if deletions:
+            runs = runs.unionByName(counted.where(F.col("op") == "D").where(low(F.col("qoff"))).select("src", "rid", first.alias("start"), "end", *one(-1, 0)))
+    spans = mapped.select("src", "rid", F.col("pos").alias("start"), (F.col("pos") + C.ref_span(F.col("cigar"))).alias("end"), *one(0, 1))
+    marks = runs.unionByName(spans)
+    if everywhere:
+        whole = references.select("rid", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), *one(0, 1))
+        with_data = mapped.select("src", "rid").distinct()
+        marks = marks.unionByName(whole.join(with_data, "rid") if everywhere == "covered" else whole.withColumn("src", F.lit(0).cast("long")))
+    swept = _swept(marks, ["src", "rid"]).where("spans > 0")
+    if regions is not None:
+        inside = coalesced(regions).withColumn("line", F.monotonically_increasing_id())
+        swept = range_join(swept.withColumnsRenamed({"p": "pos", "q": "end"}), inside).select("src", "rid", F.greatest("pos", "r_start").alias("p"), F.least("end", "r_end").alias("q"), "depth")
     return swept.select("src", "rid", F.explode(F.sequence(F.col("p"), F.col("q") - 1)).alias("pos"), "depth")
 
 
@@ -69,19 +128,33 @@ def depth_table(reads: DataFrame, inputs: list[int], rule: ReadFilter = DEFAULT)
     return depth(reads, rule).groupBy("rid", "pos").agg(*columns)
 
 
-def pileup(reads: DataFrame, rule: ReadFilter = DEFAULT) -> DataFrame:
-    """A row for each aligned base (M, = or X): src, ord, rid, p, base, bq, qpos, flag, mapq."""
-    runs = aligned_runs(reads.where(rule.condition() & (F.col("rid") >= 0)))
-    rows = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = (F.col("qoff") + F.col("_i") + 1).cast("int")
-    return rows.select("src", "ord", "rid", (F.col("start") + F.col("_i")).alias("p"), F.substr("seq", at, F.lit(1)).alias("base"), (F.ascii(F.substr("qual", at, F.lit(1))) - 33).cast("long").alias("bq"), (F.col("qoff") + F.col("_i")).alias("qpos"), "flag", "mapq")
+#: Bases are made in tiles of so many positions: runs are dealt out by tile, so bases are grouped where they are made and never shuffled.
+PILE = 1 << 10
+
+
+def _tiled(runs: DataFrame) -> DataFrame:
+    """runs(rid, start, end, ...) cut at tiles and dealt out by (rid, tile): cut_a, cut_b is the part in the tile."""
+    tiles = runs.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / PILE), F.floor((F.col("end") - 1) / PILE))))
+    cut = tiles.withColumn("cut_a", F.greatest("start", F.col("tile") * PILE)).withColumn("cut_b", F.least("end", (F.col("tile") + 1) * PILE))
+    return cut.repartition("rid", "tile")
+
+
+def pileup(reads: DataFrame, rule: ReadFilter = DEFAULT, kinds: str = "M=X") -> DataFrame:
+    """A row for each aligned base (M, = or X): src, ord, rid, tile, p, base, bq, qpos, flag, mapq. An absent quality is 255; a deleted base (kinds with D) is *."""
+    runs = aligned_runs(reads.where(rule.condition() & (F.col("rid") >= 0)), kinds).where("n > 0")
+    text = lambda c: F.substr(c, (F.col("qoff") + 1).cast("int"), F.col("n").cast("int"))
+    narrow = runs.select("src", "ord", "rid", "start", "end", "qoff", "op", F.when(F.col("op") != "D", text("seq")).alias("bases"), F.when(F.col("op") != "D", text("qual")).alias("quals"), "flag", "mapq")
+    rows = _tiled(narrow).withColumn("p", F.explode(F.sequence(F.col("cut_a"), F.col("cut_b") - 1)))
+    at = (F.col("p") - F.col("start") + 1).cast("int")
+    bq = F.coalesce((F.ascii(F.substr("quals", at, F.lit(1))) - 33).cast("long"), F.lit(255).cast("long"))
+    return rows.select("src", "ord", "rid", "tile", "p", F.when(F.col("op") == "D", "*").otherwise(F.substr("bases", at, F.lit(1))).alias("base"), bq.alias("bq"), (F.col("qoff") + F.col("p") - F.col("start")).alias("qpos"), "flag", "mapq")
 
 
 def coverage(reads: DataFrame, refs: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 0, min_depth: int = 1) -> DataFrame:
     """Nine columns a reference; empty ones are reported too."""
     accepted = reads.where(rule.condition() & (F.col("rid") >= 0))
     by_read = accepted.groupBy("rid").agg(F.count("*").alias("numreads"), F.sum("mapq").alias("mapqs"))
-    at = pileup(reads, rule).where(F.col("bq") >= min_baseq).groupBy("rid", "p").agg(F.count("*").alias("d"), F.sum("bq").alias("q")).where(F.col("d") >= min_depth)
+    at = pileup(reads, rule).where(F.col("bq") >= min_baseq).groupBy("rid", "tile", "p").agg(F.count("*").alias("d"), F.sum("bq").alias("q")).where(F.col("d") >= min_depth)
     by_place = at.groupBy("rid").agg(F.count("*").alias("covbases"), F.sum("d").alias("bases"), F.sum("q").alias("quals"))
     some = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     mean = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0)).cast("double"), 4)
@@ -92,17 +165,45 @@ def coverage(reads: DataFrame, refs: DataFrame, rule: ReadFilter = DEFAULT, min_
     )
 
 
-def bedcov(reads: DataFrame, regions: DataFrame, rule: ReadFilter = DEFAULT, skip_gaps: bool = False) -> DataFrame:
-    """line, rid, start, end, cov, reads: depth summed over each region, and reads that overlap it; no base is exploded."""
+def bedcov(reads: DataFrame, regions: DataFrame, rule: ReadFilter = DEFAULT, skip_gaps: bool = False, at_least: int | None = None) -> DataFrame:
+    """line, rid, start, end, cov, reads: depth summed over each region, and reads that overlap it; no base is exploded and no read meets a region.
+
+    The sum of depths below a place x is x times the pieces open there, less the starts and plus the ends of pieces up to x. Running sums
+    of these over starts and ends, by tile and then within a tile, are read at both ends of a region. Reads that overlap it
+    are those that start before its end less those that end up to its start.
+    at_least: a further column bases, how many positions of the region have that depth; gaps are left out then.
+    """
     accepted = reads.where(rule.condition() & (F.col("rid") >= 0))
-    kinds = "M=X" if skip_gaps else "MDN=X"
-    spans = accepted.select("src", "ord", "rid", "pos", (F.col("pos") + C.ref_span(F.col("cigar"))).alias("end"))
-    pieces = aligned_runs(accepted, kinds).select("rid", F.col("start").alias("pos"), "end")
-    share = F.least("end", "r_end") - F.greatest("pos", "r_start")
-    sums = range_join(pieces.where("pos < end"), regions).groupBy("line").agg(F.sum(share).alias("cov"))
-    heads = range_join(spans.where("pos < end"), regions).groupBy("line").agg(F.count("*").alias("reads"))
+    kinds = "M=X" if skip_gaps or at_least is not None else "MDN=X"
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    mark = lambda p, rank, d, s, e: F.struct(p.alias("p"), F.lit(rank).alias("rank"), d.alias("d"), s.alias("s"), e.alias("e"))
+    pieces = aligned_runs(accepted, kinds).where("start < end").select("rid", F.explode(F.array(mark(F.col("start"), 2, one, zero, zero), mark(F.col("end"), 0, -one, zero, zero))).alias("m"))
+    spans = accepted.select("rid", F.col("pos"), (F.col("pos") + C.ref_span(F.col("cigar"))).alias("end")).where("pos < end")
+    heads = spans.select("rid", F.explode(F.array(mark(F.col("pos"), 2, zero, one, zero), mark(F.col("end"), 0, zero, zero, one))).alias("m"))
+    tile = F.floor(F.col("p") / TILE)
+    events = pieces.unionByName(heads).select("rid", "m.*").groupBy("rid", tile.alias("tile"), "p", "rank").agg(*[F.sum(c).alias(c) for c in "dse"], F.sum(F.col("d") * F.col("p")).alias("dp"))
+    asked = regions.where("start < end").select("rid", "line", F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(False).alias("last")), F.struct(F.col("end").alias("p"), F.lit(True).alias("last")))).alias("x")).select("rid", "line", "x.*")
+    # Ends come before what is asked at a place, starts behind it.
+    both = events.withColumns({"line": F.lit(None).cast("long"), "last": F.lit(None).cast("boolean")}).unionByName(asked.withColumns({"tile": tile, "rank": F.lit(1), **{c: zero for c in ("d", "s", "e", "dp")}}))
+    inside = Window.partitionBy("rid", "tile").orderBy("p", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.select("rid", "tile", "line", "last", "p", *[F.sum(c).over(inside).alias(c) for c in ("d", "s", "e", "dp")]).where("line is not null")
+    # A row a tile: as many as a reference has tiles.
+    sums = events.groupBy("rid", "tile").agg(*[F.sum(c).alias(f"{c}_t") for c in ("d", "s", "e", "dp")])
+    wanted = sums.join(asked.select("rid", tile.alias("tile")).distinct(), ["rid", "tile"], "full").na.fill(0)
+    before = Window.partitionBy("rid").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.select("rid", "tile", *[F.coalesce(F.sum(f"{c}_t").over(before), zero).alias(f"{c}_b") for c in ("d", "s", "e", "dp")])
+    full = local.join(carried, ["rid", "tile"]).withColumns({c: F.col(c) + F.col(f"{c}_b") for c in ("d", "s", "e", "dp")})
+    under = F.col("d") * F.col("p") - F.col("dp")
+    sign = F.when(F.col("last"), 1).otherwise(-1)
+    out = full.groupBy("line").agg(F.sum(sign * under).alias("cov"), F.sum(F.when(F.col("last"), F.col("s")).otherwise(-F.col("e"))).alias("reads"))
     some = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return regions.join(sums, "line", "left").join(heads, "line", "left").select("line", "rid", "start", "end", some("cov"), some("reads"))
+    result = regions.join(out, "line", "left").select("line", "rid", "start", "end", some("cov"), some("reads"))
+    if at_least is None:
+        return result
+    runs = aligned_runs(accepted, "M=X").select("rid", "start", "end", one.alias("d"), zero.alias("s"))
+    deep = _swept(runs, ["rid"]).where((F.col("depth") >= at_least) & F.col("q").isNotNull()).select("rid", F.col("p").alias("pos"), F.col("q").alias("end"))
+    counted = range_join(deep, regions).groupBy("line").agg(F.sum(F.least("end", "r_end") - F.greatest("pos", "r_start")).alias("bases"))
+    return result.join(counted, "line", "left").withColumn("bases", F.coalesce("bases", zero))
 
 
 def samples(reads: DataFrame) -> DataFrame:
@@ -111,6 +212,8 @@ def samples(reads: DataFrame) -> DataFrame:
 
 
 MODULUS = 2**31 - 1
+#: Rows folded into one at a time.
+FAN_IN = 4096
 
 
 def product_fold(values: Column) -> Column:
@@ -119,98 +222,238 @@ def product_fold(values: Column) -> Column:
     return F.aggregate(F.collect_list(F.when((v == 0) | (v == MODULUS), 1).otherwise(v).cast("long")), F.lit(1).cast("long"), lambda a, x: a * x % MODULUS)
 
 
-def checksum(reads: DataFrame, value: Column | None = None, rule: ReadFilter = ReadFilter(exclude_any=0x900), mask: int = 0xC1) -> DataFrame:
+def checksum(reads: DataFrame, value: Column | None = None, rule: ReadFilter = ReadFilter(exclude_any=0x900), mask: int = 0xC1, places: bool = False, passed: bool = False) -> DataFrame:
     """group, count, seq, name, qual: CRC-32 of each row on its own strand, folded by products, for all rows and each read group.
 
-    Other columns, rows of passed and failed reads and merging are not built, see the README.
-    value replaces the CRCs, for engines that have none. Products are folded in 256 parts first, so no group is one task's list.
+    places: columns pos, cigar and mate too, over our own text of these fields; passed: rows for passed (qc) and failed reads. Tags are not summed, see the README.
+    value replaces the CRCs, for engines that have none. Products are folded in levels of about FAN_IN rows, as many as the input needs, so no list grows with it.
     """
     strand = C.has(F.col("flag"), C.REVERSE)
     seq = F.when(strand, C.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     qual = F.when(strand, F.reverse("qual")).otherwise(F.col("qual"))
     head = F.unhex(F.lpad(F.hex(F.col("flag").bitwiseAND(F.lit(mask))), 2, "0"))
-    text = lambda c: F.encode(c, "UTF-8")
+    text = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
     kinds = {"seq": F.concat(head, text(seq)), "name": F.concat(text(F.col("qname")), F.unhex(F.lit("00")), head, text(seq)), "qual": F.concat(head, text(seq), text(qual))}
-    rows = reads.where(rule.condition()).select("rg", F.pmod(F.xxhash64("src", "ord"), F.lit(256)).alias("part"), *[(F.crc32(b) if value is None else value).alias(k) for k, b in kinds.items()])
-    parts = rows.groupBy("rg", "part").agg(F.count("*").alias("n"), *[product_fold(F.col(k)).alias(k) for k in kinds])
-    groups = parts.groupBy("rg").agg(F.sum("n").alias("count"), *[product_fold(F.col(k)).alias(k) for k in kinds]).select(F.coalesce("rg", F.lit("-")).alias("group"), "count", *kinds)
-    everything = groups.agg(F.sum("count").alias("count"), *[product_fold(F.col(k)).alias(k) for k in kinds]).select(F.lit("all").alias("group"), F.coalesce("count", F.lit(0)).alias("count"), *kinds)
-    return groups.unionByName(everything)
-
-
-def stats(reads: DataFrame) -> DataFrame:
-    """section, key, value: summary counts and histograms of lengths, mapping qualities, GC content, first and last fragments' qualities by cycle, and depth.
-
-    Only SN (12 of its 39 lines), RL, MAPQ, GC, FFQ, LFQ and COV are built; the README lists the sections that are not.
+    extra = {}
+    if places:
+        # Further columns continue the first one: place, place with CIGAR and quality, and the mate's place.
+        mate = F.concat_ws(":", "mrid", "mpos", "tlen")
+        extra = {"pos": F.concat(kinds["seq"], text(F.concat_ws(":", "rid", "pos"))), "cigar": F.concat(kinds["seq"], text(F.concat_ws(":", "cigar", "mapq"))), "mate": F.concat(kinds["seq"], text(mate))}
+    kinds |= extra
+    accepted = reads.where(rule.condition())
+    columns = [(F.crc32(b) if value is None else value).alias(k) for k, b in kinds.items()]
+    parts = max(1, -(-accepted.count() // FAN_IN))
+    which = F.when(C.has(F.col("flag"), C.QCFAIL), "fail").otherwise("pass")
+    rows = accepted.select("rg", *([which.alias("qc")] if passed else []), F.pmod(F.xxhash64("src", "ord"), F.lit(parts)).alias("part"), F.lit(1).cast("long").alias("count"), *columns)
+    keys = ["rg", "qc"] if passed else ["rg"]
+    fold = lambda df, by: df.groupBy(*by).agg(F.sum("count").alias("count"), *[product_fold(F.col(k)).alias(k) for k in kinds])
+    folded = fold(rows, [*keys, "part"])
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        folded = fold(folded.withColumn("part", F.pmod("part", F.lit(parts))), [*keys, "part"])
+    groups = fold(folded, keys).withColumn("group", F.coalesce("rg", F.lit("-")))
+    if not passed:
+        everything = groups.agg(F.sum("count").alias("count"), *[product_fold(F.col(k)).alias(k) for k in kinds]).select(F.lit("all").alias("group"), F.coalesce("count", F.lit(0)).alias("count"), *kinds)
+        return groups.select("group", "count", *kinds).unionByName(everything)
+    # A row for passed reads, for failed ones and for both, of each group and of all.
+    out = groups.select("group", "qc", "count", *kinds)
+    out = out.unionByName(out.withColumn("qc", F.lit("all")))
+    out = out.unionByName(out.withColumn("group", F.lit("all")))
+    return fold(out, ["group", "qc"])
+
+
+def merge_checksums(*reports: DataFrame) -> DataFrame:
+    """One report of several inputs' reports with the same columns: counts are added and products multiplied group by group."""
+    kinds = [c for c in reports[0].columns if c not in ("group", "qc", "count")]
+    if any(set(r.columns) != set(reports[0].columns) for r in reports):
+        raise ValueError("the reports have different columns")
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    keys = [c for c in ("group", "qc") if c in out.columns]
+    return out.groupBy(*keys).agg(F.sum("count").alias("count"), *[product_fold(F.col(k)).alias(k) for k in kinds])
+
+
+def combined_checksum(report: DataFrame) -> DataFrame:
+    """The report with a column combined: the product of the count's halves and the columns, in which seq counts twice and qual not at all."""
+    kinds = [c for c in report.columns if c not in ("group", "qc", "count", "qual", "name")]
+    parts = [F.shiftright("count", 32), F.col("count").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("seq"), F.col("name"), *[F.col(k) for k in kinds]]
+    one = lambda v: F.when((v.bitwiseAND(F.lit(MODULUS)) == 0) | (v.bitwiseAND(F.lit(MODULUS)) == MODULUS), 1).otherwise(v.bitwiseAND(F.lit(MODULUS))).cast("long")
+    return report.withColumn("combined", F.aggregate(F.array(*[one(p) for p in parts]), F.lit(1).cast("long"), lambda a, x: a * x % MODULUS))
+
+
+def stats(reads: DataFrame, max_insert: int = 8000) -> DataFrame:
+    """section, key, value of the statistics report, in counts.
+
+    SN: summary numbers; FFQ, LFQ: qualities by cycle of first and last fragments (cycle:quality, 255 where there is none); GCF, GCL:
+    how many of each end have each GC content (bases of length); FBC, LBC: bases by cycle (cycle:base); IS: insert sizes by orientation (size:in, out
+    or other), each pair once; RL, FRL, LRL: lengths with hard clips; MAPQ; ID: indel lengths (I or D:length); IC: indels by cycle (cycle:I or D); COV: how many
+    positions have each depth. Secondary rows count in their own line only, supplementary ones in theirs and in ID, IC and COV.
     """
     flag = F.col("flag")
     on = lambda bits: C.has(flag, bits)
-    primary = reads.where(~on(C.SECONDARY))
-    first, last = ~on(C.PAIRED) | on(C.READ1), on(C.PAIRED) & on(C.READ2)
+    original = ~on(C.SECONDARY | C.SUPPLEMENTARY) & (F.length("seq") > 0)
+    paired = on(C.PAIRED)
+    first = ~paired | on(C.READ1) & ~on(C.READ2)
+    last = paired & on(C.READ2) & ~on(C.READ1)
+    mapped, both = ~on(C.UNMAP), ~on(C.UNMAP) & paired & ~on(C.MUNMAP)
     length = F.length("seq").cast("long")
-    counters = {
-        "sequences": F.count_if(~on(C.SECONDARY)), "non-primary": F.count_if(on(C.SECONDARY)), "1st fragments": F.count_if(~on(C.SECONDARY) & first), "last fragments": F.count_if(~on(C.SECONDARY) & last),
-        "reads mapped": F.count_if(~on(C.SECONDARY) & ~on(C.UNMAP)), "reads unmapped": F.count_if(~on(C.SECONDARY) & on(C.UNMAP)), "reads paired": F.count_if(~on(C.SECONDARY) & on(C.PAIRED)),
-        "reads duplicated": F.count_if(~on(C.SECONDARY) & on(C.DUP)), "reads QC failed": F.count_if(~on(C.SECONDARY) & on(C.QCFAIL)), "reads MQ0": F.count_if(~on(C.SECONDARY) & ~on(C.UNMAP) & (F.col("mapq") == 0)),
-        "total length": F.sum(F.when(~on(C.SECONDARY), length).otherwise(0)), "bases mapped": F.sum(F.when(~on(C.SECONDARY) & ~on(C.UNMAP), length).otherwise(0)),
+    ops = C.cigar_ops(F.col("cigar"))
+    sums = {
+        "sequences": original, "1st fragments": original & first, "last fragments": original & last, "reads mapped": original & mapped, "reads mapped and paired": original & both, "reads unmapped": original & ~mapped,
+        "reads properly paired": original & both & on(C.PROPER), "reads paired": original & paired, "reads duplicated": ~on(C.SECONDARY) & on(C.DUP), "reads MQ0": original & mapped & (F.col("mapq") == 0), "reads QC failed": original & on(C.QCFAIL),
+        "non-primary alignments": on(C.SECONDARY), "supplementary alignments": on(C.SUPPLEMENTARY) & ~on(C.SECONDARY), "pairs on different chromosomes": original & both & (F.col("rid") != F.col("mrid")),
+    }
+    lengths = {
+        "total length": (original, length), "total first fragment length": (original & first, length), "total last fragment length": (original & last, length), "bases mapped": (original & mapped, length),
+        "bases mapped (cigar)": (~on(C.SECONDARY) & mapped, C.total(ops, "MI=X")), "bases duplicated": (~on(C.SECONDARY) & on(C.DUP), length),
     }
-    one = reads.agg(*[c.alias(k) for k, c in counters.items()])
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias("value")) for k in counters]))
+    one = reads.agg(*[F.count_if(c).alias(k) for k, c in sums.items()], *[F.sum(F.when(c, n).otherwise(0)).alias(k) for k, (c, n) in lengths.items()], F.max(F.when(original, length)).alias("maximum length"))
+    names = [*sums, *lengths, "maximum length"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias("value")) for k in names]))
     out = one.select(F.lit("SN").alias("section"), pairs.alias("x")).select("section", "x.*")
 
-    def histogram(section: str, rows: DataFrame, key: Column) -> DataFrame:
-        return rows.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("value")).select(F.lit(section).alias("section"), "key", "value")
-
-    out = out.unionByName(histogram("RL", primary, length))
-    out = out.unionByName(histogram("MAPQ", reads.where(~on(C.UNMAP | C.SECONDARY | C.SUPPLEMENTARY | C.QCFAIL | C.DUP)), F.col("mapq")))
-    out = out.unionByName(histogram("GC", primary, F.length(F.regexp_replace("seq", "[^GC]", ""))))
-    strand = on(C.REVERSE)
-    cycles = primary.select(F.when(last, "LFQ").otherwise("FFQ").alias("s"), F.posexplode(F.split(F.when(strand, F.reverse("qual")).otherwise(F.col("qual")), "")).alias("c", "b"))
-    quals = cycles.groupBy("s", F.concat((F.col("c") + 1).cast("string"), F.lit(":"), (F.ascii("b") - 33).cast("string")).alias("key")).agg(F.count("*").alias("value"))
-    out = out.unionByName(quals.select(F.col("s").alias("section"), "key", "value"))
-    depths = aligned_runs(primary.where("rid >= 0")).select("rid", F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))).alias("e"))
-    steps = depths.groupBy("rid", F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy("rid").orderBy("p")
-    swept = steps.select(F.sum("d").over(w).alias("depth"), (F.lead("p").over(w) - F.col("p")).alias("n")).where("depth > 0")
-    return out.unionByName(swept.groupBy(F.col("depth").cast("string").alias("key")).agg(F.sum("n").alias("value")).select(F.lit("COV").alias("section"), "key", "value"))
-
-
-def mpileup(reads: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 13) -> DataFrame:
-    """rid, pos, depth, bases, quals: the text pileup without reference; anomalous pairs are left out. Entries keep input order."""
-    proper = ~(C.has(F.col("flag"), C.PAIRED) & ~C.has(F.col("flag"), C.PROPER))
-    rows = reads.where(rule.condition() & proper & (F.col("rid") >= 0))
-    ops = C.walk(F.col("cigar"))
-    last = F.col("pos") + C.ref_span(F.col("cigar"))
-    e = rows.select("*", last.alias("_last"), F.posexplode(ops).alias("_k", "_o"), ops.alias("_ops")).where("_o.op in ('M', '=', 'X', 'D', 'N')")
-    e = e.select("*", F.try_element_at("_ops", (F.col("_k") + 2).cast("int")).alias("_next"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_o.n") - 1)).alias("_i"))
+    # One pass over the reads gives a key for each histogram a read counts in.
+    full = length + C.total(ops, "H")
+    gc = F.length(F.regexp_replace("seq", "[^GCgc]", ""))
+    entry = lambda cond, section, key: F.when(cond, F.struct(F.lit(section).alias("section"), key.cast("string").alias("key")))
+    size = F.least(F.abs(F.col("tlen")), F.lit(max_insert))
+    step, far = F.when(on(C.READ1), 1).otherwise(-1), F.signum(F.col("mpos") - F.col("pos")).cast("int")
+    inward = F.when(on(C.REVERSE), -step).otherwise(step) > 0
+    kind = F.when(on(C.REVERSE) == on(C.MREVERSE), "other").when(step * far > 0, F.when(inward, "in").otherwise("out")).when(step * far < 0, F.when(inward, "out").otherwise("in")).otherwise("in")
+    insert = both & original & ~((size == 0) & (F.col("rid") != F.col("mrid")))
+    keys = F.array_compact(
+        F.array(
+            entry(original, "RL", full), entry(original & first, "FRL", full), entry(original & last, "LRL", full), entry(~on(C.UNMAP | C.SECONDARY | C.SUPPLEMENTARY | C.QCFAIL | C.DUP), "MAPQ", F.col("mapq")),
+            entry(original & first, "GCF", F.concat_ws(":", gc, length)), entry(original & last, "GCL", F.concat_ws(":", gc, length)), entry(insert, "IS", F.concat_ws(":", size, kind)),
+        )
+    )
+    histograms = reads.select(F.inline(keys)).groupBy("section", "key").agg(F.count("*").alias("value"))
+    out = out.unionByName(histograms.select("section", "key", F.when(F.col("section") == "IS", F.floor(F.col("value") / 2)).otherwise(F.col("value")).alias("value")))
+
+    # Cycles: equal pairs of strings are counted once and their bases together.
+    turned = reads.where(original & (first | last)).select(
+        F.when(last, "L").otherwise("F").alias("end"), F.when(on(C.REVERSE), F.reverse("qual")).otherwise(F.col("qual")).alias("q"), F.when(on(C.REVERSE), C.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("b")
+    )
+    cycles = turned.select("end", F.posexplode(F.arrays_zip(F.split(F.coalesce("q", F.expr("repeat(chr(0), length(b))")), "").alias("q"), F.split("b", "").alias("b"))).alias("c", "x"))
+    counted = cycles.groupBy("end", "c", F.when(F.ascii("x.q") == 0, 255).otherwise(F.ascii("x.q") - 33).alias("q"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))
+    both_kinds = counted.select("n", F.inline(F.array(F.struct(F.concat("end", F.lit("FQ")).alias("section"), F.concat_ws(":", F.col("c") + 1, "q").alias("key")), F.struct(F.concat("end", F.lit("BC")).alias("section"), F.concat_ws(":", F.col("c") + 1, "b").alias("key")))))
+    out = out.unionByName(both_kinds.groupBy("section", "key").agg(F.sum("n").alias("value")))
+
+    placed = reads.where(~on(C.SECONDARY) & mapped & (F.col("rid") >= 0))
+    gaps = aligned_runs(placed, "ID")
+    cycle = F.when(on(C.REVERSE), C.query_length(F.col("cigar")) - F.col("qoff") - F.when(F.col("op") == "I", F.col("n")).otherwise(0)).otherwise(F.col("qoff")) + F.when(F.col("op") == "I", 1).otherwise(0)
+    indels = gaps.select(F.inline(F.array(F.struct(F.lit("ID").alias("section"), F.concat_ws(":", "op", "n").alias("key")), F.struct(F.lit("IC").alias("section"), F.concat_ws(":", cycle, "op").alias("key")))))
+    out = out.unionByName(indels.groupBy("section", "key").agg(F.count("*").alias("value")))
+    marks = aligned_runs(placed).select("rid", "start", "end", F.lit(1).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
+    swept = _swept(marks, ["rid"]).where("depth > 0 and q is not null")
+    return out.unionByName(swept.groupBy(F.col("depth").cast("string").alias("key")).agg(F.sum(F.col("q") - F.col("p")).alias("value")).select(F.lit("COV").alias("section"), "key", "value"))
+
+
+def mpileup(
+    reads: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 13, anomalous: bool = False, max_depth: int = 8000, genome: DataFrame | None = None, everywhere: bool = False, references: DataFrame | None = None
+) -> DataFrame:
+    """rid, pos, ref, depth, bases, quals: the text pileup. Entries keep input order.
+
+    anomalous: pairs that are not proper count too; max_depth: of a position's entries the first so many; genome: (rid, chunk, seq) as
+    reference.chunks makes it, so that equal bases are . and , and deleted bases are named; everywhere: positions without reads, too.
+    Operations are cut out as narrow rows and dealt out by tile before bases are made.
+    """
+    flag = F.col("flag")
+    proper = F.lit(True) if anomalous else ~(C.has(flag, C.PAIRED) & ~C.has(flag, C.PROPER))
+    rows = reads.where(rule.condition() & proper & (F.col("rid") >= 0)).withColumn("_ops", C.walk(F.col("cigar"))).withColumn("_last", F.col("pos") + C.ref_span(F.col("cigar")))
+    e = rows.select("src", "ord", "rid", "pos", "_last", "mapq", "seq", "qual", "_ops", C.has(flag, C.REVERSE).alias("rev"), F.posexplode("_ops").alias("_k", "_o")).where("_o.op in ('M', '=', 'X', 'D', 'N') and _o.n > 0")
+    after = F.try_element_at("_ops", (F.col("_k") + 2).cast("int"))
     base = F.col("_o.op").isin("M", "=", "X")
-    q = F.col("_o.qoff") + F.when(base, F.col("_i")).otherwise(0)
-    e = e.withColumn("_p", F.col("pos") + F.col("_o.roff") + F.col("_i")).withColumn("_q", (q + 1).cast("int"))
-    bq = (F.ascii(F.substr("qual", "_q", F.lit(1))) - 33).cast("long")
-    rev = C.has(F.col("flag"), C.REVERSE)
-    case = lambda x: F.when(rev, F.lower(x)).otherwise(x)
-    shown = F.when(base, case(F.substr("seq", "_q", F.lit(1)))).when(F.col("_o.op") == "D", F.lit("*")).otherwise(F.when(rev, "<").otherwise(">"))
-    at_end = base & (F.col("_i") == F.col("_o.n") - 1)
-    indel = F.when(at_end & (F.col("_next.op") == "I"), F.concat(F.lit("+"), F.col("_next.n").cast("string"), case(F.substr("seq", (F.col("_next.qoff") + 1).cast("int"), F.col("_next.n").cast("int")))))
-    indel = indel.when(at_end & (F.col("_next.op") == "D"), F.concat(F.lit("-"), F.col("_next.n").cast("string"), F.when(rev, F.expr("repeat('n', cast(_next.n as int))")).otherwise(F.expr("repeat('N', cast(_next.n as int))"))))
-    head = F.when(F.col("_p") == F.col("pos"), F.concat(F.lit("^"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
-    tail = F.when(F.col("_p") == F.col("_last") - 1, "$").otherwise("")
-    e = e.select("rid", F.col("_p").alias("pos"), "src", "ord", bq.alias("bq"), F.concat(head, shown, F.coalesce(indel, F.lit("")), tail).alias("text"))
-    at = e.groupBy("rid", "pos").agg(F.array_sort(F.collect_list(F.when(F.col("bq") >= min_baseq, F.struct("src", "ord", "text", "bq")))).alias("es"))
+    cut = lambda c, at, n: F.substr(c, (at + 1).cast("int"), n.cast("int"))
+    n = F.when(base, F.col("_o.n")).otherwise(1)
+    narrow = e.select(
+        "src", "ord", "rid", "rev", F.least("mapq", F.lit(93)).alias("mapq"), (F.col("pos") + F.col("_o.roff")).alias("start"), (F.col("pos") + F.col("_o.roff") + F.col("_o.n")).alias("end"), "pos", "_last", F.col("_o.op").alias("op"),
+        cut("seq", F.col("_o.qoff"), n).alias("bases"), cut("qual", F.col("_o.qoff"), n).alias("quals"), F.when(base & (after["op"] == "I"), cut("seq", after["qoff"], after["n"])).alias("inserted"), F.when(base & (after["op"] == "D"), after["n"]).alias("deleted"),
+    )
+    tiles = _tiled(narrow).withColumn("p", F.explode(F.sequence(F.col("cut_a"), F.col("cut_b") - 1)))
+    aligned = F.col("op").isin("M", "=", "X")
+    at = F.when(aligned, F.col("p") - F.col("start") + 1).otherwise(1).cast("int")
+    bq = F.coalesce((F.ascii(F.substr("quals", at, F.lit(1))) - 33).cast("long"), F.lit(255).cast("long"))
+    case = lambda x: F.when(F.col("rev"), F.lower(x)).otherwise(x)
+    shown = F.when(aligned, F.substr("bases", at, F.lit(1))).when(F.col("op") == "D", F.lit("*")).otherwise(F.when(F.col("rev"), "<").otherwise(">"))
+    at_end = F.col("p") == F.col("end") - 1
+    grow = F.when(at_end & F.col("inserted").isNotNull(), F.concat(F.lit("+"), F.length("inserted").cast("string"), case(F.col("inserted")))).otherwise("")
+    head = F.when(F.col("p") == F.col("pos"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
+    tail = F.when(F.col("p") == F.col("_last") - 1, "$").otherwise("")
+    entry = F.struct("src", "ord", head.alias("head"), shown.alias("base"), F.col("op").alias("op"), F.col("rev").alias("rev"), grow.alias("grow"), F.when(at_end, F.col("deleted")).alias("deleted"), tail.alias("tail"), bq.alias("bq"))
+    grouped = tiles.groupBy("rid", "tile", "p").agg(F.collect_list(F.when(bq >= min_baseq, entry)).alias("es"))
+    grouped = grouped.select("rid", F.col("p").alias("pos"), F.slice(F.array_sort("es"), F.lit(1), F.lit(max_depth)).alias("es"))
+    if everywhere:
+        every = references.select("rid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("pos"))
+        grouped = every.join(grouped, ["rid", "pos"], "left").withColumn("es", F.coalesce("es", F.slice("es", 1, 0), F.expr("array()").cast(grouped.schema["es"].dataType)))
+    if genome is None:
+        grouped = grouped.withColumns({"ref": F.lit("N"), "_after": F.lit("")})
+    else:
+        from strandlake.operators.reference import CHUNK
+
+        g = genome.select(F.col("rid").alias("_rid"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"))
+        grouped = grouped.join(g, (F.col("rid") == F.col("_rid")) & (F.floor(F.col("pos") / CHUNK) == F.col("_chunk")), "left")
+        offset = (F.col("pos") % CHUNK).cast("int")
+        # Deletions are named as far as the chunk's halo reaches, with N behind it.
+        grouped = grouped.withColumns({"ref": F.upper(F.coalesce(F.nullif(F.substr("_seq", offset + 1, F.lit(1)), F.lit("")), F.lit("N"))), "_after": F.upper(F.coalesce(F.substr("_seq", offset + 2), F.lit("")))})
+    lower = lambda x, s: F.when(x["rev"], F.lower(s)).otherwise(s)
+    plain = lambda x: F.when(~x["op"].isin("M", "=", "X"), x["base"]).when((F.col("ref") != "N") & (F.upper(x["base"]) == F.col("ref")) | (x["base"] == "="), F.when(x["rev"], ",").otherwise(".")).otherwise(lower(x, x["base"]))
+    gone = lambda x: F.when(x["deleted"].isNull(), "").otherwise(F.concat(F.lit("-"), x["deleted"].cast("string"), lower(x, F.rpad(F.substr("_after", F.lit(1), x["deleted"].cast("int")), x["deleted"].cast("int"), F.lit("N")))))
     none = F.size("es") == 0
-    return at.select(
-        "rid", (F.col("pos") + 1).alias("pos"), F.size("es").cast("long").alias("depth"), F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: x["text"]), "")).alias("bases"),
-        F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: F.char(x["bq"] + 33)), "")).alias("quals"),
+    return grouped.select(
+        "rid", (F.col("pos") + 1).alias("pos"), "ref", F.size("es").cast("long").alias("depth"), F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: F.concat(x["head"], plain(x), x["grow"], gone(x), x["tail"])), "")).alias("bases"),
+        F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: F.char(F.least(x["bq"], F.lit(93)) + 33)), "")).alias("quals"),
     )
 
 
-def consensus(reads: DataFrame, rule: ReadFilter = DEFAULT, min_depth: int = 1, call_percent: int = 75) -> DataFrame:
-    """rid, pos, depth, call, qual of the simple vote: the commonest base if it has call_percent of all, else N. Ties fall to the earlier letter."""
-    counts = pileup(reads, rule).groupBy("rid", "p").agg(F.count("*").alias("depth"), *[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"])
-    best = F.greatest(*"ACGT")
-    letter = F.when(F.col("A") == best, "A").when(F.col("C") == best, "C").when(F.col("G") == best, "G").otherwise("T")
-    sure = (F.col("depth") >= min_depth) & (best * 100 >= F.col("depth") * call_percent) & (best > 0)
-    return counts.select("rid", (F.col("p") + 1).alias("pos"), "depth", F.when(sure, letter).otherwise("N").alias("call"), F.when(sure, F.floor(best * 100 / F.col("depth"))).otherwise(0).cast("long").alias("qual"))
+#: IUPAC letters by the bits of A, C, G and T in them (fixed values), and with a base and a gap.
+IUPAC, GAPPED = "NACMGRSVTWYHKDB", {1: "a", 2: "c", 4: "g", 8: "t"}
+
+
+def consensus(reads: DataFrame, rule: ReadFilter = DEFAULT, min_depth: int = 1, call_percent: int = 75, min_baseq: int = 0, use_quality: bool = False, ambiguous: bool = False, het_percent: int = 50) -> DataFrame:
+    """rid, pos, depth, call, qual of the simple vote over A, C, G, T and the gap.
+
+    A plain base votes 8 for itself, a letter for several bases shares its vote among them, a deleted base votes 8 for the gap, each times its quality with
+    use_quality. The best is called, with ambiguous also the second if it reaches het_percent of the best, where the called votes are
+    call_percent of all; else N, or * where the gap is best. Ties fall to the earlier one. qual is the called share of all votes.
+    """
+    seen = pileup(reads, rule, "M=XD").where(F.col("bq") >= min_baseq)
+    bits = F.lit(0)
+    for i, letter in enumerate(IUPAC[1:], 1):
+        bits = F.when(F.upper("base") == letter, i).otherwise(bits)
+    seen = seen.withColumn("_bits", F.when(F.col("base") == "*", 16).when(F.upper("base") == "N", 15).otherwise(bits))
+    of = F.bit_count(F.col("_bits"))
+    weight = F.when(of == 1, 8).when(of == 2, 4).when(of == 3, 2).otherwise(1) * (F.col("bq") if use_quality else F.lit(1))
+    vote = lambda i: F.coalesce(F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, weight)), F.lit(0)).cast("long").alias(f"v{i}")
+    votes = seen.groupBy("rid", "tile", "p").agg(F.count("*").alias("depth"), *[vote(i) for i in range(5)])
+    ranked = F.array_sort(F.filter(F.array(*[F.struct((-F.col(f"v{i}")).alias("v"), F.lit(1 << i).alias("bit")) for i in range(5)]), lambda x: x["v"] < 0))
+    votes = votes.withColumns({"_total": sum((F.col(f"v{i}") for i in range(1, 5)), F.col("v0")), "_1": F.get(ranked, F.lit(0)), "_2": F.get(ranked, F.lit(1))})
+    two = F.lit(ambiguous) & F.col("_2").isNotNull() & (F.col("_2.v") * 100 <= F.col("_1.v") * het_percent)
+    votes = votes.withColumns({"_bit": F.col("_1.bit") + F.when(two, F.col("_2.bit")).otherwise(0), "_got": -(F.col("_1.v") + F.when(two, F.col("_2.v")).otherwise(0))})
+    sure = (F.col("depth") >= min_depth) & (F.col("_got") * 100 >= F.col("_total") * call_percent)
+    called = F.when(sure, F.col("_bit")).when(F.col("_1.bit") == 16, 16).otherwise(0)
+    letter = F.when(called == 16, "*").when(called > 16, F.try_element_at(F.create_map(*[x for k, v in GAPPED.items() for x in (F.lit(16 + k), F.lit(v))]), called)).otherwise(F.substr(F.lit(IUPAC), called + 1, F.lit(1)))
+    called = F.coalesce(called, F.lit(0))
+    quality = F.when((called == 0) | (F.col("_total") == 0), 0).otherwise(F.least(F.lit(100), F.floor(F.col("_got") * 100 / F.col("_total"))))
+    return votes.select("rid", (F.col("p") + 1).alias("pos"), "depth", F.coalesce(letter, F.lit("N")).alias("call"), quality.cast("long").alias("qual"))
+
+
+def consensus_text(calls: DataFrame, references: DataFrame, show_gaps: bool = False, width: int = 70) -> DataFrame:
+    """name, line, text: the lines of each reference's called sequence, N where no read is, gaps left out unless shown.
+
+    Lines are made of letters numbered by running sums, tile by tile, so that no task holds a reference.
+    """
+    every = references.select("rid", "name", F.explode(F.sequence(F.lit(1).cast("long"), "length")).alias("pos"))
+    letters = every.join(calls.select("rid", "pos", "call"), ["rid", "pos"], "left").withColumn("call", F.coalesce("call", F.lit("N")))
+    if not show_gaps:
+        letters = letters.where("call <> '*'")
+    tiled = letters.withColumn("tile", F.floor(F.col("pos") / TILE))
+    before = tiled.groupBy("rid", "tile").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("rid").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = tiled.withColumn("k", F.row_number().over(Window.partitionBy("rid", "tile").orderBy("pos"))).join(before.select("rid", "tile", "base"), ["rid", "tile"])
+    at = F.col("k") + F.col("base") - 1
+    lines = numbered.groupBy("name", F.floor(at / width).alias("line")).agg(F.array_sort(F.collect_list(F.struct("pos", "call"))).alias("x"))
+    return lines.select("name", "line", F.array_join(F.transform("x", lambda x: x["call"]), "").alias("text"))
 
 
 def index_bins(reads: DataFrame) -> DataFrame:

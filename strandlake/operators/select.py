@@ -91,9 +91,30 @@ def sort_keys(order: str) -> list[Column]:
         return [C.natural_key(F.col("qname")), F.col("qname"), C.flag_rank(flag), F.col("src"), F.col("ord")]
     if order == "bytewise":
         return [F.col("qname"), C.flag_rank(flag), F.col("src"), F.col("ord")]
+    if order == "template":
+        return [*template_keys(), F.col("src"), F.col("ord")]
     raise ValueError(f"unknown order {order!r}")
 
 
+def template_keys() -> list[Column]:
+    """Both 5' ends of a template, soft clips counted as aligned, the earlier end first; then strands, cell and molecule tags, the name, and whether the row is the later end.
+
+    Needs the columns mrid, mpos, mcigar (the mate's CIGAR) and takes the tags CB, MI and the library where there are any.
+    """
+    flag = F.col("flag")
+
+    def end(rid: Column, pos: Column, cigar: Column, reverse: Column, off: Column) -> Column:
+        five = F.when(reverse, pos + C.ref_span(cigar) - 1 + C.soft_trail(cigar)).otherwise(pos - C.soft_lead(cigar))
+        last = F.lit(2**31 - 1).cast("long")
+        return F.struct(F.when(off | (rid < 0), last).otherwise(rid).alias("rid"), F.when(off | (rid < 0), last).otherwise(five).alias("five"), (~reverse).alias("strand"))
+
+    mine = end(F.col("rid"), F.col("pos"), F.col("cigar"), C.has(flag, C.REVERSE), C.has(flag, C.UNMAP))
+    none = ~C.has(flag, C.PAIRED) | C.has(flag, C.MUNMAP)
+    other = end(F.col("mrid"), F.col("mpos"), F.col("mcigar"), C.has(flag, C.MREVERSE), none)
+    low, high = F.least(mine, other), F.greatest(mine, other)
+    return [low["rid"], high["rid"], low["five"], high["five"], low["strand"], high["strand"], F.col("qname"), mine > other]
+
+
 def sort(reads: DataFrame, order: str = "coordinate") -> DataFrame:
     return reads.orderBy(*sort_keys(order))
 
@@ -104,22 +125,44 @@ def collate(reads: DataFrame) -> DataFrame:
 
 
 def merge(parts: list[tuple[DataFrame, DataFrame]], order: str = "coordinate") -> tuple[DataFrame, DataFrame]:
-    """(reads, references) of inputs with their own dictionaries: references are joined by name, ids translated."""
-    dictionaries = None
-    for i, (_, refs) in enumerate(parts):
+    """(reads, references) of inputs with their own dictionaries: references are joined by name, ids of reads and mates translated.
+
+    A name with two lengths is an error. Read groups of one id in two inputs stay apart: from the second input on, a taken id gets the input's number.
+    """
+    dictionaries, taken = None, None
+    for i, (reads, refs) in enumerate(parts):
         here = refs.select("name", "length", F.lit(i).alias("_input"), F.col("rid").alias("_rid"))
         dictionaries = here if dictionaries is None else dictionaries.unionByName(here)
-    first = dictionaries.groupBy("name").agg(F.min(F.struct("_input", "_rid", "length")).alias("m"))
+        groups = reads.where("rg is not null").select("rg", F.lit(i).alias("_input")).distinct()
+        taken = groups if taken is None else taken.unionByName(groups)
+    first = dictionaries.groupBy("name").agg(F.min(F.struct("_input", "_rid", "length")).alias("m"), F.max("length").alias("longest"), F.min("length").alias("shortest"))
+    checked = F.when(F.col("longest") == F.col("shortest"), F.col("m.length")).otherwise(F.raise_error(F.concat(F.lit("two lengths of "), "name")).cast("long"))
     # The dictionary is a header: as many rows as there are references.
-    merged = first.select("name", "m.*").withColumn("rid", F.row_number().over(Window.orderBy("_input", "_rid")).cast("long") - 1)
+    merged = first.select("name", "m._input", "m._rid", checked.alias("length")).withColumn("rid", F.row_number().over(Window.orderBy("_input", "_rid")).cast("long") - 1)
+    owner = taken.groupBy("rg").agg(F.min("_input").alias("_owner"))
     out = None
-    for reads, refs in parts:
+    for i, (reads, refs) in enumerate(parts):
         to = refs.join(merged.select("name", F.col("rid").alias("_to")), "name").select(F.col("rid").alias("_from"), "_to")
-        here = reads.join(F.broadcast(to), F.col("rid") == F.col("_from"), "left").withColumn("rid", F.coalesce("_to", F.lit(-1).cast("long"))).drop("_from", "_to")
+        here = reads
+        for c in ("rid", "mrid"):
+            if c in reads.columns:
+                here = here.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", F.lit(-1).cast("long"))).drop("_from", "_to")
+        here = here.join(owner.withColumnRenamed("rg", "_rg"), F.col("rg") == F.col("_rg"), "left").withColumn("rg", F.when(F.col("_owner") < i, F.concat("rg", F.lit(f".{i}"))).otherwise(F.col("rg"))).select(*reads.columns)
         out = here if out is None else out.unionByName(here)
     return sort(out, order), merged.select("rid", "name", "length")
 
 
+def check_order(reads: DataFrame, order: str = "coordinate") -> DataFrame:
+    """src, ord of each row that stands behind one that should follow it in its input. Rows are compared with the one before in tiles of ord."""
+    keys = F.struct(*sort_keys(order)[:-2])
+    tile = F.floor(F.col("ord") / (1 << 16))
+    rows = reads.select("src", "ord", keys.alias("k"), tile.alias("tile"))
+    # The last row of a tile is also the first of the next.
+    edges = rows.groupBy("src", "tile").agg(F.max(F.struct("ord", "k")).alias("m")).select("src", "m.ord", "m.k", (F.col("tile") + 1).alias("tile"))
+    w = Window.partitionBy("src", "tile").orderBy("ord")
+    return rows.unionByName(edges).withColumn("before", F.lag("k").over(w)).where("before > k").select("src", "ord")
+
+
 def head(reads: DataFrame, n: int) -> DataFrame:
     return reads.orderBy("src", "ord").limit(n)
 

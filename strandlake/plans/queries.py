@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
-from strandlake.operators import mates, reports, select
-from strandlake.operators.select import DEFAULT, ReadFilter
-from strandlake.sources.derived import ORACLE, reads, references, regions
+from strandlake.functions import sql
+from strandlake.operators import mates, reference, reports, select
+from strandlake.operators.select import ReadFilter
+from strandlake.sources.derived import ORACLE, genome, reads, references, regions
+from strandlake.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,7 @@ def short(df: DataFrame) -> DataFrame:
 OK = "(flag & 1796) = 0 AND rid >= 0"
 
 
-@query(f"SELECT {COLUMNS} FROM (SELECT * REPLACE ((flag | 1024) & 65527 AS flag), flag f FROM r) r WHERE (f & 1) = 1 AND (f & 512) = 0 AND (f & 48) <> 0 AND (f & 192) <> 192 AND (CASE WHEN mapq = 255 AND (f & 4) > 0 THEN 0 ELSE mapq END) >= 20 AND cigar <> '*' AND rg IN ('rg0', 'rg2')")
+@query(f"SELECT {COLUMNS} FROM (SELECT * REPLACE ((flag | 1024) & 65527 AS flag), flag f FROM r) r WHERE (f & 1) = 1 AND (f & 512) = 0 AND (f & 48) <> 0 AND (f & 192) <> 192 AND (CASE WHEN mapq = 255 AND (f & 4) > 0 THEN 0 ELSE mapq END) >= 20 AND cigar <> '*' AND (rg IS NULL OR rg IN ('rg0', 'rg2'))")
 def view_filter(spark: SparkSession, d: str) -> DataFrame:
     rule = ReadFilter(require_all=1, exclude_any=512, include_any=48, exclude_all=192, min_mapq=20, min_query_length=50, missing_mapq=True)
     return short(select.view(reads(spark, d), rule, ["rg0", "rg2"], add_flags=1024, remove_flags=8))
@@ -76,7 +78,7 @@ _FS = {
 }
 
 
-@query("SELECT CASE WHEN (flag & 512) > 0 THEN 'fail' ELSE 'pass' END AS category, " + ", ".join(f"count(*) FILTER ({c}) AS {k}" for k, c in _FS.items()) + " FROM r GROUP BY 1")
+@query("SELECT category, " + ", ".join(f"count(flag) FILTER ({c}) AS {k}" for k, c in _FS.items()) + " FROM (VALUES ('pass', 0), ('fail', 512)) c(category, bit) LEFT JOIN r ON (flag & 512) = bit GROUP BY 1")
 def flagstat(spark: SparkSession, d: str) -> DataFrame:
     return reports.flagstat(reads(spark, d))
 
@@ -126,34 +128,35 @@ def bedcov_no_gaps(spark: SparkSession, d: str) -> DataFrame:
     return reports.bedcov(reads(spark, d), regions(spark, d), skip_gaps=True)
 
 
-@query("SELECT DISTINCT src, rg AS sample FROM r")
+@query("SELECT DISTINCT src, coalesce(rg, '.') AS sample FROM r")
 def samples(spark: SparkSession, d: str) -> DataFrame:
     return reports.samples(reads(spark, d))
 
 
-def _ranked(df: DataFrame, order: str, group: str) -> DataFrame:
-    """The order made visible: each row's place among the rows of its group."""
+def _ranked(rows: DataFrame, group: str) -> DataFrame:
+    """The order of rows made visible: their ids increase from row to row and from part to part, so each row's place in its group is where it stands."""
     from pyspark.sql.window import Window
 
-    return df.select("src", "ord", F.row_number().over(Window.partitionBy(group).orderBy(*select.sort_keys(order))).cast("long").alias("place"))
+    stands = rows.withColumn("_at", F.monotonically_increasing_id())
+    return stands.select("src", "ord", F.row_number().over(Window.partitionBy(group).orderBy("_at")).cast("long").alias("place"))
 
 
 @query("SELECT src, ord, row_number() OVER (PARTITION BY rid ORDER BY pos, (flag & 16) > 0, src, ord) AS place FROM r")
 def sort_coordinate(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(select.sort(reads(spark, d)), "coordinate", "rid")
+    return _ranked(select.sort(reads(spark, d)), "rid")
 
 
 _RANK = "((flag & 192) << 8) + ((flag & 256) << 3) + ((flag & 2048) >> 3)"
 
 
-@query(f"SELECT src, ord, row_number() OVER (PARTITION BY rg ORDER BY CAST(split_part(substr(qname, 2), '_', 1) AS BIGINT), CAST(split_part(qname, '_', 2) AS BIGINT), {_RANK}, src, ord) AS place FROM r")
+@query(f"SELECT src, ord, row_number() OVER (PARTITION BY rid ORDER BY CAST(split_part(substr(qname, 2), '_', 1) AS BIGINT), CAST(split_part(qname, '_', 2) AS BIGINT), {_RANK}, src, ord) AS place FROM r")
 def sort_natural(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(select.sort(reads(spark, d), "natural"), "natural", "rg")
+    return _ranked(select.sort(reads(spark, d), "natural"), "rid")
 
 
-@query(f"SELECT src, ord, row_number() OVER (PARTITION BY rg ORDER BY qname, {_RANK}, src, ord) AS place FROM r")
+@query(f"SELECT src, ord, row_number() OVER (PARTITION BY rid ORDER BY qname, {_RANK}, src, ord) AS place FROM r")
 def sort_bytewise(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(select.sort(reads(spark, d), "bytewise"), "bytewise", "rg")
+    return _ranked(select.sort(reads(spark, d), "bytewise"), "rid")
 
 
 @query("SELECT qname, count(*) AS n, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY " + _RANK + ", src, ord) AS ords FROM r GROUP BY qname")
@@ -168,12 +171,12 @@ def cat(spark: SparkSession, d: str) -> DataFrame:
     return short(r.where("src = 0").unionByName(r.where("src = 1")))
 
 
-@query("SELECT src, ord, CASE WHEN src = 1 AND rid >= 0 THEN 4 - rid ELSE rid END AS rid FROM r")
+@query("SELECT src, ord, CASE WHEN src = 1 AND rid >= 0 THEN 4 - rid ELSE rid END AS rid, CASE WHEN src = 1 AND mrid >= 0 THEN 4 - mrid ELSE mrid END AS mrid, rg || CASE WHEN src = 1 THEN '.1' ELSE '' END AS rg FROM r")
 def merge(spark: SparkSession, d: str) -> DataFrame:
     """The second input numbers its references from the other end."""
     r, refs = reads(spark, d), references(spark)
     merged, _ = select.merge([(r.where("src = 0"), refs), (r.where("src = 1"), refs.withColumn("rid", 4 - F.col("rid")))])
-    return merged.select("src", "ord", "rid")
+    return merged.select("src", "ord", "rid", "mrid", "rg")
 
 
 @query(f"SELECT {COLUMNS} FROM r ORDER BY src, ord LIMIT 100")
@@ -183,7 +186,7 @@ def head(spark: SparkSession, d: str) -> DataFrame:
 
 _RC = "translate(reverse(seq), 'ACGTN', 'TGCAN')"
 _ENDS = f"""SELECT *, CASE WHEN (flag & 192) = 64 THEN '/1' WHEN (flag & 192) = 128 THEN '/2' ELSE '' END AS sfx, CASE WHEN (flag & 16) > 0 THEN {_RC} ELSE seq END AS s2, CASE WHEN (flag & 16) > 0 THEN reverse(qual) ELSE qual END AS q2,
- row_number() OVER (PARTITION BY src, qname, flag & 192 ORDER BY ord) AS k FROM r WHERE (flag & 2304) = 0"""
+ row_number() OVER (PARTITION BY src, qname, flag & 192 ORDER BY qual IS NULL, ord) AS k FROM r WHERE (flag & 2304) = 0"""
 
 
 @query(f"SELECT src, '>' || qname || sfx || chr(10) || s2 || chr(10) AS record FROM ({_ENDS}) WHERE k = 1")
@@ -191,7 +194,7 @@ def fasta(spark: SparkSession, d: str) -> DataFrame:
     return select.fasta(reads(spark, d))
 
 
-@query(f"SELECT src, '@' || qname || sfx || chr(10) || s2 || chr(10) || '+' || chr(10) || q2 || chr(10) AS record FROM ({_ENDS}) WHERE k = 1")
+@query(f"SELECT src, '@' || qname || sfx || chr(10) || s2 || chr(10) || '+' || chr(10) || coalesce(q2, repeat(chr(34), 50)) || chr(10) AS record FROM ({_ENDS}) WHERE k = 1")
 def fastq(spark: SparkSession, d: str) -> DataFrame:
     return select.fastq(reads(spark, d))
 
@@ -204,7 +207,7 @@ def reset(spark: SparkSession, d: str) -> DataFrame:
     return select.reset(reads(spark, d))
 
 
-@query("SELECT src, ord, CASE WHEN rg = 'rg1' THEN 'new' ELSE rg END AS rg FROM r")
+@query("SELECT src, ord, CASE WHEN rg = 'rg1' OR rg IS NULL THEN 'new' ELSE rg END AS rg FROM r")
 def addreplacerg_orphans(spark: SparkSession, d: str) -> DataFrame:
     orphans = reads(spark, d).withColumn("rg", F.when(F.col("rg") != "rg1", F.col("rg")))
     return select.set_read_group(orphans, "new", "orphan_only").select("src", "ord", "rg")
@@ -218,14 +221,14 @@ def addreplacerg_all(spark: SparkSession, d: str) -> DataFrame:
 _BED = "qname || CASE WHEN (flag & 64) > 0 THEN '/1' WHEN (flag & 128) > 0 THEN '/2' ELSE '' END AS name, mapq AS score, CASE WHEN (flag & 16) > 0 THEN '-' ELSE '+' END AS strand"
 
 
-@query(f"SELECT ref.name AS chrom, pos AS start, pos + span AS \"end\", b.name, b.score, b.strand FROM (SELECT *, {_BED} FROM r JOIN cg USING (cigar)) b JOIN ref USING (rid)")
+@query(f"SELECT ref.name AS chrom, pos AS start, pos + span AS \"end\", b.name, b.score, b.strand FROM (SELECT *, {_BED} FROM r JOIN cg USING (cigar) WHERE (flag & 4) = 0) b JOIN ref USING (rid)")
 def to_bed(spark: SparkSession, d: str) -> DataFrame:
     return mates.bed6(reads(spark, d), references(spark))
 
 
 @query(
-    f"""SELECT ref.name AS chrom, pos + a AS start, pos + z AS "end", b.name, b.score, b.strand FROM (SELECT *, {_BED} FROM (SELECT *, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN cigar = '20M10N30M' THEN 20 ELSE span END AS BIGINT) AS z FROM r JOIN cg USING (cigar)
-    UNION ALL SELECT *, 30, 60 FROM r JOIN cg USING (cigar) WHERE cigar = '20M10N30M')) b JOIN ref USING (rid)"""
+    f"""SELECT ref.name AS chrom, pos + a AS start, pos + z AS "end", b.name, b.score, b.strand FROM (SELECT *, {_BED} FROM (SELECT *, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN cigar = '20M10N30M' THEN 20 ELSE span END AS BIGINT) AS z FROM r JOIN cg USING (cigar) WHERE (flag & 4) = 0
+    UNION ALL SELECT *, 30, 60 FROM r JOIN cg USING (cigar) WHERE cigar = '20M10N30M' AND (flag & 4) = 0)) b JOIN ref USING (rid)"""
 )
 def to_bed_split(spark: SparkSession, d: str) -> DataFrame:
     return mates.bed6(reads(spark, d), references(spark), split=True)
@@ -235,16 +238,16 @@ def to_bed_split(spark: SparkSession, d: str) -> DataFrame:
     """SELECT CASE WHEN sw THEN c2 ELSE c1 END AS chrom1, CASE WHEN sw THEN s2 ELSE s1 END AS start1, CASE WHEN sw THEN e2 ELSE e1 END AS end1, CASE WHEN sw THEN c1 ELSE c2 END AS chrom2, CASE WHEN sw THEN s1 ELSE s2 END AS start2,
     CASE WHEN sw THEN e1 ELSE e2 END AS end2, qname AS name, score, CASE WHEN sw THEN t2 ELSE t1 END AS strand1, CASE WHEN sw THEN t1 ELSE t2 END AS strand2
     FROM (SELECT *, c1 = '.' OR (c2 <> '.' AND (c1 > c2 OR (c1 = c2 AND s1 > s2))) AS sw FROM (
-      SELECT a.qname, coalesce(ra.name, '.') AS c1, a.pos AS s1, CASE WHEN a.rid < 0 THEN -1 ELSE a.pos + ga.span END AS e1, CASE WHEN a.rid < 0 THEN '.' WHEN (a.flag & 16) > 0 THEN '-' ELSE '+' END AS t1,
-        coalesce(rb.name, '.') AS c2, b.pos AS s2, CASE WHEN b.rid < 0 THEN -1 ELSE b.pos + gb.span END AS e2, CASE WHEN b.rid < 0 THEN '.' WHEN (b.flag & 16) > 0 THEN '-' ELSE '+' END AS t2, least(a.mapq, b.mapq) AS score
-      FROM r a JOIN r b ON a.src = b.src AND a.qname = b.qname AND (a.flag & 64) > 0 AND (b.flag & 128) > 0 AND ((a.flag | b.flag) & 2304) = 0 JOIN cg ga ON ga.cigar = a.cigar JOIN cg gb ON gb.cigar = b.cigar
-      LEFT JOIN ref ra ON ra.rid = a.rid LEFT JOIN ref rb ON rb.rid = b.rid)) WHERE c1 <> '.' OR c2 <> '.'"""
+      SELECT a.qname, coalesce(ra.name, '.') AS c1, CASE WHEN a.off THEN -1 ELSE a.pos END AS s1, CASE WHEN a.off THEN -1 ELSE a.pos + ga.span END AS e1, CASE WHEN a.off THEN '.' WHEN (a.flag & 16) > 0 THEN '-' ELSE '+' END AS t1,
+        coalesce(rb.name, '.') AS c2, CASE WHEN b.off THEN -1 ELSE b.pos END AS s2, CASE WHEN b.off THEN -1 ELSE b.pos + gb.span END AS e2, CASE WHEN b.off THEN '.' WHEN (b.flag & 16) > 0 THEN '-' ELSE '+' END AS t2, least(a.mapq, b.mapq) AS score
+      FROM (SELECT *, (flag & 4) > 0 AS off FROM r) a JOIN (SELECT *, (flag & 4) > 0 AS off FROM r) b ON a.src = b.src AND a.qname = b.qname AND (a.flag & 64) > 0 AND (b.flag & 128) > 0 AND ((a.flag | b.flag) & 2304) = 0 JOIN cg ga ON ga.cigar = a.cigar JOIN cg gb ON gb.cigar = b.cigar
+      LEFT JOIN ref ra ON ra.rid = a.rid AND NOT a.off LEFT JOIN ref rb ON rb.rid = b.rid AND NOT b.off)) WHERE c1 <> '.' OR c2 <> '.'"""
 )
 def to_bedpe(spark: SparkSession, d: str) -> DataFrame:
     return mates.bedpe(reads(spark, d), references(spark))
 
 
-@query("SELECT rg AS label, count(*) AS n, min(ord) AS first, CAST(sum(ord) AS BIGINT) AS total FROM r GROUP BY rg")
+@query("SELECT coalesce(rg, 'unaccounted') AS label, count(*) AS n, min(ord) AS first, CAST(sum(ord) AS BIGINT) AS total FROM r GROUP BY 1")
 def split_read_group(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).groupBy(select.split_label("read_group").alias("label")).agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.sum("ord").alias("total"))
 
@@ -254,9 +257,6 @@ def split_mates(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("src", "ord", select.split_label("mates").alias("label"))
 
 
-_Z1 = "(ord + 1)::HUGEINT * 11400714819323198485 % 18446744073709551616"
-
-
 @query()
 def split_parts(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("src", "ord", select.split_label("parts", 4).alias("label"))
@@ -282,7 +282,7 @@ _FOLD = "CAST(list_reduce(list_prepend(CAST(1 AS BIGINT), list({0})), lambda a,
 
 
 @query(
-    "SELECT rg AS \"group\", count(*) AS count, {f} AS seq, {f} AS name, {f} AS qual FROM v GROUP BY rg UNION ALL SELECT 'all', count(*), {f}, {f}, {f} FROM v".format(f=_FOLD.format("x")).replace(
+    "SELECT coalesce(rg, '-') AS \"group\", count(*) AS count, {f} AS seq, {f} AS name, {f} AS qual FROM v GROUP BY rg UNION ALL SELECT 'all', count(*), {f}, {f}, {f} FROM v".format(f=_FOLD.format("x")).replace(
         "FROM v", "FROM (SELECT rg, CASE WHEN v IN (0, 2147483647) THEN 1 ELSE v END AS x FROM (SELECT rg, (ord * 48271 + pos * 69621 + flag) & 2147483647 AS v FROM r WHERE (flag & 2304) = 0))"
     )
 )
@@ -296,24 +296,48 @@ def checksum(spark: SparkSession, d: str) -> DataFrame:
     return reports.checksum(reads(spark, d))
 
 
-_S = "(flag & 256) = 0"
+_O = "(flag & 2304) = 0"
+_F1, _L1 = "((flag & 1) = 0 OR (flag & 192) = 64)", "((flag & 1) = 1 AND (flag & 192) = 128)"
+_BOTH_ON = "(flag & 13) = 1"
 _SN = {
-    "sequences": f"count(*) FILTER ({_S})", "non-primary": "count(*) FILTER ((flag & 256) > 0)", "1st fragments": f"count(*) FILTER ({_S} AND (flag & 129) <> 129)", "last fragments": f"count(*) FILTER ({_S} AND (flag & 129) = 129)",
-    "reads mapped": f"count(*) FILTER ({_S} AND (flag & 4) = 0)", "reads unmapped": f"count(*) FILTER ({_S} AND (flag & 4) > 0)", "reads paired": f"count(*) FILTER ({_S} AND (flag & 1) > 0)",
-    "reads duplicated": f"count(*) FILTER ({_S} AND (flag & 1024) > 0)", "reads QC failed": f"count(*) FILTER ({_S} AND (flag & 512) > 0)", "reads MQ0": f"count(*) FILTER ({_S} AND (flag & 4) = 0 AND mapq = 0)",
-    "total length": f"50 * count(*) FILTER ({_S})", "bases mapped": f"50 * count(*) FILTER ({_S} AND (flag & 4) = 0)",
+    "sequences": _O, "1st fragments": f"{_O} AND {_F1}", "last fragments": f"{_O} AND {_L1}", "reads mapped": f"{_O} AND (flag & 4) = 0", "reads mapped and paired": f"{_O} AND {_BOTH_ON}", "reads unmapped": f"{_O} AND (flag & 4) > 0",
+    "reads properly paired": f"{_O} AND {_BOTH_ON} AND (flag & 2) > 0", "reads paired": f"{_O} AND (flag & 1) > 0", "reads duplicated": "(flag & 1280) = 1024", "reads MQ0": f"{_O} AND (flag & 4) = 0 AND mapq = 0",
+    "reads QC failed": f"{_O} AND (flag & 512) > 0", "non-primary alignments": "(flag & 256) > 0", "supplementary alignments": "(flag & 2304) = 2048", "pairs on different chromosomes": f"{_O} AND {_BOTH_ON} AND rid <> mrid",
 }
+_SL = {
+    "total length": (_O, "50"), "total first fragment length": (f"{_O} AND {_F1}", "50"), "total last fragment length": (f"{_O} AND {_L1}", "50"), "bases mapped": (f"{_O} AND (flag & 4) = 0", "50"),
+    "bases mapped (cigar)": ("(flag & 260) = 0", "CASE WHEN cigar = '20M5I25M' OR cigar = '10M2I10M3D28M' THEN 50 ELSE aligned END"), "bases duplicated": ("(flag & 1280) = 1024", "50"),
+}
+_LEN = "CASE WHEN cigar = '3H50M' THEN '53' ELSE '50' END"
+_GC = "CAST(length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS VARCHAR) || ':50'"
+_ST = "CASE WHEN (flag & 64) > 0 THEN 1 ELSE -1 END"
+_DIR = "CASE WHEN (flag & 16) > 0 THEN -1 ELSE 1 END"
+_KIND = f"CASE WHEN ((flag & 16) > 0) = ((flag & 32) > 0) THEN 'other' WHEN {_ST} * (mpos - pos) > 0 THEN CASE WHEN {_ST} * {_DIR} > 0 THEN 'in' ELSE 'out' END WHEN {_ST} * (mpos - pos) < 0 THEN CASE WHEN {_ST} * {_DIR} > 0 THEN 'out' ELSE 'in' END ELSE 'in' END"
+_TURNED = f"""SELECT CASE WHEN {_L1} THEN 'L' ELSE 'F' END AS e, i + 1 AS c, coalesce(ascii(substr(CASE WHEN (flag & 16) > 0 THEN reverse(qual) ELSE qual END, CAST(i + 1 AS INT), 1)) - 33, 255) AS q,
+  substr(CASE WHEN (flag & 16) > 0 THEN translate(reverse(seq), 'ACGTN', 'TGCAN') ELSE seq END, CAST(i + 1 AS INT), 1) AS b FROM r, range(50) t(i) WHERE {_O} AND ({_F1} OR {_L1})"""
+_PLACED = "(flag & 260) = 0 AND rid >= 0"
+_INDELS = f"""SELECT CASE WHEN (flag & 16) > 0 THEN 50 - q - CASE WHEN op = 'I' THEN n ELSE 0 END ELSE q END + CASE WHEN op = 'I' THEN 1 ELSE 0 END AS c, op, n FROM r
+  JOIN (VALUES ('20M5D30M', 'D', 5, 20), ('20M5I25M', 'I', 5, 20), ('10M2I10M3D28M', 'I', 2, 10), ('10M2I10M3D28M', 'D', 3, 22)) g(cigar, op, n, q) USING (cigar) WHERE {_PLACED}"""
 
 
 @query(
     " UNION ALL ".join(
-        [f"SELECT 'SN' AS section, '{k}' AS key, CAST({c} AS BIGINT) AS value FROM r" for k, c in _SN.items()]
+        [f"SELECT 'SN' AS section, '{k}' AS key, count(*) FILTER ({c}) AS value FROM r" for k, c in _SN.items()]
+        + [f"SELECT 'SN', '{k}', CAST(coalesce(sum({n}) FILTER ({c}), 0) AS BIGINT) FROM r JOIN cg USING (cigar)" for k, (c, n) in _SL.items()]
         + [
-            f"SELECT 'RL', CAST(length(seq) AS VARCHAR), count(*) FROM r WHERE {_S} GROUP BY 2",
+            "SELECT 'SN', 'maximum length', CAST(50 AS BIGINT)",
+            f"SELECT 'RL', {_LEN}, count(*) FROM r WHERE {_O} GROUP BY 2",
+            f"SELECT 'FRL', {_LEN}, count(*) FROM r WHERE {_O} AND {_F1} GROUP BY 2",
+            f"SELECT 'LRL', {_LEN}, count(*) FROM r WHERE {_O} AND {_L1} GROUP BY 2",
             "SELECT 'MAPQ', CAST(mapq AS VARCHAR), count(*) FROM r WHERE (flag & 3844) = 0 GROUP BY 2",
-            f"SELECT 'GC', CAST(length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS VARCHAR), count(*) FROM r WHERE {_S} GROUP BY 2",
-            f"SELECT CASE WHEN (flag & 129) = 129 THEN 'LFQ' ELSE 'FFQ' END, CAST(i + 1 AS VARCHAR) || ':' || CAST(ascii(substr(CASE WHEN (flag & 16) > 0 THEN reverse(qual) ELSE qual END, CAST(i + 1 AS INT), 1)) - 33 AS VARCHAR), count(*) FROM r, range(50) t(i) WHERE {_S} GROUP BY 1, 2",
-            f"SELECT 'COV', CAST(d AS VARCHAR), count(*) FROM (SELECT rid, p, count(*) AS d FROM bases WHERE {_S} GROUP BY ALL) GROUP BY 2",
+            f"SELECT 'GCF', {_GC}, count(*) FROM r WHERE {_O} AND {_F1} GROUP BY 2",
+            f"SELECT 'GCL', {_GC}, count(*) FROM r WHERE {_O} AND {_L1} GROUP BY 2",
+            f"SELECT 'IS', CAST(least(abs(tlen), 8000) AS VARCHAR) || ':' || {_KIND}, count(*) // 2 FROM r WHERE {_O} AND {_BOTH_ON} AND NOT (tlen = 0 AND rid <> mrid) GROUP BY 2",
+            f"SELECT e || 'FQ', CAST(c AS VARCHAR) || ':' || CAST(q AS VARCHAR), count(*) FROM ({_TURNED}) GROUP BY 1, 2",
+            f"SELECT e || 'BC', CAST(c AS VARCHAR) || ':' || b, count(*) FROM ({_TURNED}) GROUP BY 1, 2",
+            f"SELECT 'ID', op || ':' || CAST(n AS VARCHAR), count(*) FROM ({_INDELS}) GROUP BY 2",
+            f"SELECT 'IC', CAST(c AS VARCHAR) || ':' || op, count(*) FROM ({_INDELS}) GROUP BY 2",
+            f"SELECT 'COV', CAST(d AS VARCHAR), count(*) FROM (SELECT rid, p, count(*) AS d FROM bases WHERE {_PLACED} GROUP BY ALL) GROUP BY 2",
         ]
     )
 )
@@ -325,23 +349,45 @@ _PROPER = f"{OK} AND ((flag & 1) = 0 OR (flag & 2) > 0)"
 _CASE = "CASE WHEN (flag & 16) > 0 THEN lower({0}) ELSE {0} END"
 
 
-@query(
-    f"""SELECT rid, pos + 1 AS pos, count(*) FILTER (bq >= 13) AS depth, coalesce(string_agg(t, '' ORDER BY src, ord) FILTER (bq >= 13), '*') AS bases, coalesce(string_agg(chr(CAST(bq + 33 AS INT)), '' ORDER BY src, ord) FILTER (bq >= 13), '*') AS quals FROM (
-    SELECT b.rid, b.p AS pos, src, ord, bq, CASE WHEN b.p = b.pos THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END || {_CASE.format('base')}
+def _mpileup_sql(base: str, gone: str, ref: str, join: str = "") -> str:
+    """The pileup's rows: base, how an aligned base is shown; gone, the letters of a deletion of {n} bases behind {p}; ref, the column ref."""
+    d3, d5 = gone.format(n=3, p="b.p"), gone.format(n=5, p="b.p")
+    return f"""SELECT rid, pos + 1 AS pos, {ref} AS ref, count(*) FILTER (bq >= 13) AS depth, coalesce(string_agg(t, '' ORDER BY src, ord) FILTER (bq >= 13), '*') AS bases, coalesce(string_agg(chr(CAST(least(bq, 93) + 33 AS INT)), '' ORDER BY src, ord) FILTER (bq >= 13), '*') AS quals FROM (
+    SELECT b.rid, b.p AS pos, src, ord, bq, CASE WHEN b.p = b.pos THEN '^' || chr(CAST(least(mapq, 93) + 33 AS INT)) ELSE '' END || {base}
       || CASE WHEN cigar = '20M5I25M' AND q = 19 THEN '+5' || {_CASE.format('substr(seq, 21, 5)')} WHEN cigar = '10M2I10M3D28M' AND q = 9 THEN '+2' || {_CASE.format('substr(seq, 11, 2)')}
-         WHEN cigar = '10M2I10M3D28M' AND q = 21 THEN '-3' || {_CASE.format("'NNN'")} WHEN cigar = '20M5D30M' AND q = 19 THEN '-5' || {_CASE.format("'NNNNN'")} ELSE '' END
-      || CASE WHEN b.p = b.pos + span - 1 THEN '$' ELSE '' END AS t FROM bases b JOIN cg USING (cigar) WHERE {_PROPER}
-    UNION ALL SELECT rid, pos + roff + i, src, ord, ascii(substr(qual, CAST(qoff + 1 AS INT), 1)) - 33, CASE WHEN kind = 'D' THEN '*' WHEN (flag & 16) > 0 THEN '<' ELSE '>' END FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE {_PROPER}
-    ) GROUP BY rid, pos"""
-)
+         WHEN cigar = '10M2I10M3D28M' AND q = 21 THEN '-3' || {_CASE.format(d3)} WHEN cigar = '20M5D30M' AND q = 19 THEN '-5' || {_CASE.format(d5)} ELSE '' END
+      || CASE WHEN b.p = b.pos + span - 1 THEN '$' ELSE '' END AS t FROM bases b JOIN cg USING (cigar) {join} WHERE {_PROPER}
+    UNION ALL SELECT rid, pos + roff + i, src, ord, coalesce(ascii(substr(qual, CAST(qoff + 1 AS INT), 1)) - 33, 255), CASE WHEN kind = 'D' THEN '*' WHEN (flag & 16) > 0 THEN '<' ELSE '>' END FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE {_PROPER}
+    ) x"""
+
+
+@query(_mpileup_sql(_CASE.format("base"), "repeat('N', {n})", "'N'") + " GROUP BY rid, pos")
 def mpileup(spark: SparkSession, d: str) -> DataFrame:
     return reports.mpileup(reads(spark, d))
 
 
+_DOT = "CASE WHEN base = gb.g THEN CASE WHEN (flag & 16) > 0 THEN ',' ELSE '.' END ELSE " + _CASE.format("base") + " END"
+_GONE = "(SELECT string_agg(g, '' ORDER BY p) FROM gen y WHERE y.rid = b.rid AND y.p > {p} AND y.p <= {p} + {n})"
+
+
 @query(
-    f"""SELECT rid, p + 1 AS pos, depth, CASE WHEN top * 100 >= depth * 60 AND top > 0 THEN CASE top WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END ELSE 'N' END AS call,
-    CASE WHEN top * 100 >= depth * 60 AND top > 0 THEN top * 100 // depth ELSE 0 END AS qual FROM (SELECT *, greatest(a, c, g, t) AS top FROM (
-    SELECT rid, p, count(*) AS depth, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM bases WHERE {OK} GROUP BY ALL))"""
+    f"""SELECT gen.rid, gen.p + 1 AS pos, gen.g AS ref, coalesce(depth, 0) AS depth, coalesce(bases, '*') AS bases, coalesce(quals, '*') AS quals FROM gen LEFT JOIN ({_mpileup_sql(_DOT, _GONE, "'x'", "JOIN (SELECT rid AS grid, p AS gp, g FROM gen) gb ON gb.grid = b.rid AND gb.gp = b.p")}
+    GROUP BY rid, pos) m ON m.rid = gen.rid AND m.pos = gen.p + 1"""
+)
+def mpileup_reference(spark: SparkSession, d: str) -> DataFrame:
+    return reports.mpileup(reads(spark, d), genome=reference.chunks(genome(spark)), everywhere=True, references=references(spark))
+
+
+_V = {0: "A", 1: "C", 2: "G", 3: "T"}
+_VOTES = ", ".join(f"CAST(sum(CASE WHEN base = '{b}' THEN 8 WHEN base = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS v{i}" for i, b in _V.items())
+_TOP = "greatest(v0, v1, v2, v3, v4)"
+
+
+@query(
+    f"""SELECT rid, p + 1 AS pos, depth, CASE WHEN sure OR best = 4 THEN substr('ACGT*', best + 1, 1) ELSE 'N' END AS call, CASE WHEN sure OR best = 4 THEN least(100, top * 100 // total) ELSE 0 END AS qual FROM (
+    SELECT *, {_TOP} AS top, v0 + v1 + v2 + v3 + v4 AS total, {_TOP} * 100 >= 60 * (v0 + v1 + v2 + v3 + v4) AS sure, CASE {_TOP} WHEN v0 THEN 0 WHEN v1 THEN 1 WHEN v2 THEN 2 WHEN v3 THEN 3 ELSE 4 END AS best FROM (
+    SELECT rid, p, count(*) AS depth, {_VOTES}, CAST(sum(CASE WHEN base = '*' THEN 8 ELSE 0 END) AS BIGINT) AS v4 FROM (
+      SELECT rid, p, base FROM bases WHERE {OK} UNION ALL SELECT rid, pos + roff + i, '*' FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE kind = 'D' AND {OK}) GROUP BY ALL))"""
 )
 def consensus_simple(spark: SparkSession, d: str) -> DataFrame:
     return reports.consensus(reads(spark, d), call_percent=60)
@@ -355,7 +401,7 @@ def index_bins(spark: SparkSession, d: str) -> DataFrame:
     return reports.index_bins(reads(spark, d))
 
 
-_QS = "list_sum(list_transform(string_split(qual, ''), lambda c: CASE WHEN ascii(c) >= 48 THEN ascii(c) - 33 ELSE 0 END))"
+_QS = "coalesce(list_sum(list_transform(string_split(qual, ''), lambda c: CASE WHEN ascii(c) >= 48 THEN ascii(c) - 33 ELSE 0 END)), 255 * length(seq))"
 
 
 @query(
@@ -401,3 +447,99 @@ def _primers(spark: SparkSession) -> DataFrame:
 )
 def ampliconclip(spark: SparkSession, d: str) -> DataFrame:
     return mates.clip_primers(reads(spark, d), _primers(spark))
+
+
+@query(
+    f"""SELECT rid, pos, depth, 0 AS x FROM (SELECT src, rid, p AS pos, count(*) AS depth FROM bases WHERE false GROUP BY ALL) WHERE false UNION ALL
+    SELECT s.rid, s.pos, coalesce(n, 0), 0 FROM (SELECT DISTINCT rid, pos FROM ({_SPANS}) WHERE src = 0) s LEFT JOIN (SELECT rid, p AS pos, count(*) AS n FROM (
+      SELECT rid, p FROM bases WHERE {OK} AND src = 0 AND bq >= 20 UNION ALL SELECT rid, pos + roff + i FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE kind = 'D' AND {OK} AND src = 0
+        AND coalesce(ascii(substr(qual, CAST(qoff + 1 AS INT), 1)) - 33, 255) >= 20) GROUP BY ALL) USING (rid, pos)
+    WHERE EXISTS (SELECT 1 FROM reg g WHERE g.rid = s.rid AND g.start <= s.pos AND s.pos < g."end")"""
+)
+def depth_options(spark: SparkSession, d: str) -> DataFrame:
+    """Least base quality, deletions counted, positions of regions only."""
+    return reports.depth(reads(spark, d).where("src = 0"), min_baseq=20, deletions=True, regions=regions(spark, d)).select("rid", "pos", "depth", F.lit(0).alias("x"))
+
+
+@query(
+    f"""SELECT gen.rid, gen.p AS pos, coalesce(n, 0) AS depth FROM gen LEFT JOIN (SELECT rid, p, count(*) AS n FROM (
+      SELECT b.rid, b.p FROM bases b LEFT JOIN (SELECT DISTINCT ON (x.src, x.ord) x.src, x.ord, y.pos + g.span AS z FROM r x JOIN r y ON x.src = y.src AND x.qname = y.qname AND y.ord < x.ord AND ((x.flag | y.flag) & 1800) = 0 AND (x.flag & y.flag & 1) = 1 AND ((x.flag | y.flag) & 4) = 0
+          AND x.rid = y.rid AND y.mrid = y.rid JOIN cg g ON g.cigar = y.cigar WHERE y.mpos <= y.pos + g.span ORDER BY x.src, x.ord, y.ord) m ON m.src = b.src AND m.ord = b.ord
+      WHERE {OK} AND (m.z IS NULL OR b.p >= m.z)) GROUP BY ALL) c ON c.rid = gen.rid AND c.p = gen.p"""
+)
+def depth_once(spark: SparkSession, d: str) -> DataFrame:
+    """Bases under both mates counted once, at all positions of all references."""
+    rows = reports.depth(reads(spark, d), once=True, references=references(spark), everywhere="all")
+    return rows.groupBy("rid", "pos").agg(F.sum("depth").alias("depth"))
+
+
+@query(
+    f"""SELECT line, g.rid, g.start, g."end", CAST(coalesce((SELECT sum({_OVER}) FROM (SELECT rid, pos + roff AS s, pos + roff + len AS e FROM r JOIN blk USING (cigar) WHERE {OK}) a WHERE a.rid = g.rid), 0) AS BIGINT) AS cov,
+    (SELECT count(*) FROM (SELECT rid, pos AS s, pos + span AS e FROM r JOIN cg USING (cigar) WHERE {OK}) a WHERE a.rid = g.rid AND {_OVER} > 0) AS reads,
+    (SELECT count(*) FROM (SELECT rid, p, count(*) AS n FROM bases WHERE {OK} GROUP BY ALL) b WHERE b.rid = g.rid AND b.n >= 3 AND b.p >= g.start AND b.p < g."end") AS bases FROM reg g"""
+)
+def bedcov_at_least(spark: SparkSession, d: str) -> DataFrame:
+    return reports.bedcov(reads(spark, d), regions(spark, d), at_least=3)
+
+
+_EVENTS = f"""SELECT b.src, b.ord, b.p, b.q, 'X' AS kind, g.g AS text FROM bases b JOIN gen g ON g.rid = b.rid AND g.p = b.p WHERE base <> g.g AND (flag & 4) = 0
+  UNION ALL SELECT src, ord, pos + roff, qoff, 'D', '^' || (SELECT string_agg(g, '' ORDER BY p) FROM gen y WHERE y.rid = r.rid AND y.p >= r.pos + roff AND y.p < r.pos + roff + len) FROM r JOIN dels USING (cigar) WHERE kind = 'D' AND rid >= 0 AND (flag & 4) = 0"""
+_MD = f"""SELECT src, ord, string_agg(CAST(m - before - CASE WHEN bk = 'X' THEN 1 ELSE 0 END AS VARCHAR) || text, '' ORDER BY p) AS head, max(m + CASE WHEN kind = 'X' THEN 1 ELSE 0 END) AS done, CAST(sum(CASE WHEN kind = 'X' THEN 1 ELSE length(text) - 1 END) AS BIGINT) AS diff FROM (
+  SELECT *, coalesce(lag(m) OVER w, 0) AS before, lag(kind) OVER w AS bk FROM (SELECT e.*, (SELECT CAST(coalesce(sum(greatest(0, least(k.qoff + k.len, e.q) - k.qoff)), 0) AS BIGINT) FROM blk k WHERE k.cigar = e.cigar) AS m FROM (SELECT e.*, r.cigar FROM ({_EVENTS}) e JOIN r USING (src, ord)) e)
+  WINDOW w AS (PARTITION BY src, ord ORDER BY p)) GROUP BY src, ord"""
+
+
+@query(
+    f"""SELECT r.src, r.ord, CASE WHEN (flag & 4) = 0 AND rid >= 0 THEN coalesce(head, '') || CAST(aligned - coalesce(done, 0) - CASE WHEN cigar = '10M2I10M3D28M' THEN 2 ELSE 0 END AS VARCHAR) END AS md,
+    CASE WHEN (flag & 4) = 0 AND rid >= 0 THEN coalesce(diff, 0) + CASE cigar WHEN '20M5I25M' THEN 5 WHEN '10M2I10M3D28M' THEN 2 ELSE 0 END END AS nm FROM r JOIN cg USING (cigar) LEFT JOIN ({_MD}) m USING (src, ord)""".replace(
+        "aligned - coalesce(done, 0) - CASE WHEN cigar = '10M2I10M3D28M' THEN 2 ELSE 0 END", "CASE cigar WHEN '20M5I25M' THEN 45 WHEN '10M2I10M3D28M' THEN 48 ELSE aligned END - coalesce(done, 0)"
+    )
+)
+def calmd(spark: SparkSession, d: str) -> DataFrame:
+    return reference.calmd(reads(spark, d), reference.chunks(genome(spark))).select("src", "ord", "md", "nm")
+
+
+@query("SELECT DISTINCT gen.rid, gen.p AS pos, g AS base FROM gen JOIN (SELECT rid, p FROM bases WHERE (flag & 4) = 0 UNION SELECT rid, pos + roff + i FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE kind = 'D' AND rid >= 0 AND (flag & 4) = 0) x ON x.rid = gen.rid AND x.p = gen.p")
+def reference_from_md(spark: SparkSession, d: str) -> DataFrame:
+    """The bases under reads, told by the tags that calmd gives them."""
+    return reference.bases_from_md(reference.calmd(reads(spark, d), reference.chunks(genome(spark))))
+
+
+@query(
+    """SELECT src, ord, row_number() OVER (PARTITION BY src ORDER BY least(k1, k2).a, greatest(k1, k2).a, least(k1, k2).b, greatest(k1, k2).b, least(k1, k2).c, greatest(k1, k2).c, qname, k1 > k2, ord) AS place FROM (
+    SELECT r.*, {'a': CASE WHEN (flag & 4) > 0 OR rid < 0 THEN 2147483647 ELSE rid END, 'b': CASE WHEN (flag & 4) > 0 OR rid < 0 THEN 2147483647 WHEN (flag & 16) > 0 THEN pos + a.span - 1 + a.trail ELSE pos - CASE WHEN r.cigar = '3H50M' THEN 0 ELSE a.lead END END, 'c': (flag & 16) = 0} AS k1,
+      {'a': CASE WHEN (flag & 9) <> 1 OR mrid < 0 THEN 2147483647 ELSE mrid END, 'b': CASE WHEN (flag & 9) <> 1 OR mrid < 0 THEN 2147483647 WHEN (flag & 32) > 0 THEN mpos + b.span - 1 + b.trail ELSE mpos - CASE WHEN r.mcigar = '3H50M' THEN 0 ELSE b.lead END END, 'c': (flag & 32) = 0} AS k2
+    FROM r JOIN cg a ON a.cigar = r.cigar JOIN cg b ON b.cigar = r.mcigar)"""
+)
+def sort_template(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(select.sort(reads(spark, d), "template"), "src")
+
+
+@query(
+    """SELECT src, ord FROM (SELECT src, ord, a, b, c, lag({'a': a, 'b': b, 'c': c}) OVER (PARTITION BY src ORDER BY ord) AS k FROM (SELECT src, ord, CASE WHEN rid < 0 THEN 2147483647 ELSE rid END AS a, pos AS b, (flag & 16) > 0 AS c FROM r)) WHERE k > {'a': a, 'b': b, 'c': c}"""
+)
+def order_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that break the coordinate order of their input."""
+    return select.check_order(reads(spark, d))
+
+
+@query("SELECT flag, count(*) AS n, CAST(sum(span) AS BIGINT) AS span, CAST(sum(qlen) AS BIGINT) AS qlen FROM r JOIN cg USING (cigar) GROUP BY flag")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered SQL functions over the reads."""
+    sql.register(spark)
+    return spark.sql("SELECT flag, count(*) AS n, sum(ref_span(cigar)) AS span, sum(query_len(cigar)) AS qlen FROM {r} GROUP BY flag", r=reads(spark, d))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = streams.windowed_counts(spark.read.parquet(f"{d}/events.parquet"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query(
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k"""
+)
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = streams.sessions(spark.read.parquet(f"{d}/events.parquet"))
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
