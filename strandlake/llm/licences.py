@@ -22,6 +22,8 @@ from strandlake.llm.licence_texts import TEMPLATES
 from strandlake.llm.text import PLACE, WordHasher, blocks, lean, mix, texts_of
 
 DICE = 0.8
+#: Less than any difference of bounds over counts, more than their rounding errors: a coefficient of just DICE is one.
+TINY = 1e-6
 MAP_BITS = 20
 #: Bytes that are no part of a word become spaces.
 PLAIN = np.full(256, 0x20, np.uint8)
@@ -66,15 +68,15 @@ class Templates:
             is_mine = mine[np.minimum(at, len(mine) - 1)] == gram[near]
             places, owner = near[is_mine], text[is_mine]
             t = len(mine)
-            least, most = self.dice / (2 - self.dice) * t, (2 - self.dice) / self.dice * t
+            least, most = self.dice / (2 - self.dice) * t - TINY, (2 - self.dice) / self.dice * t + TINY
             # A stretch of at most that many distinct bigrams from each place on, repeated as in the template.
             end = np.minimum(np.searchsorted(places, places + int(most * self.repeats[k]), "right"), np.searchsorted(owner, owner, "right"))
             shared = np.minimum(end - np.arange(len(places)), t)
-            for i in np.flatnonzero(2 * shared >= self.dice * (t + shared)):
+            for i in np.flatnonzero(2 * shared >= self.dice * (t + shared) - TINY):
                 p, last = int(places[i]), int(end[i])
                 # A bigram is new in a stretch if it was last seen before it.
                 seen = np.cumsum(before[places[i:last]] < p)
-                if 2 * seen[-1] < self.dice * (t + seen[-1]):
+                if 2 * seen[-1] < self.dice * (t + seen[-1]) - TINY:
                     continue
                 m = np.cumsum(before[p : places[last - 1] + 1] < p)[places[i:last] - p]
                 d = np.where((least <= m) & (m <= most), 2 * seen / (t + m), 0.0)
