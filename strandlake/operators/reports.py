@@ -350,6 +350,21 @@ def stats(reads: DataFrame, max_insert: int = 8000) -> DataFrame:
     return out.unionByName(swept.groupBy(F.col("depth").cast("string").alias("key")).agg(F.sum(F.col("q") - F.col("p")).alias("value")).select(F.lit("COV").alias("section"), "key", "value"))
 
 
+def insert_summary(stats: DataFrame, bulk: float = 0.99) -> DataFrame:
+    """n, end, mean, deviation of the insert sizes in a statistics report: sizes are taken in order until more than the bulk of all pairs is reached.
+
+    The histogram has a row for each size up to the greatest one reported, so one task orders it.
+    """
+    sizes = stats.where("section = 'IS'").groupBy(F.split("key", ":")[0].cast("long").alias("size")).agg(F.sum("value").alias("n"))
+    w = Window.orderBy("size")
+    run = sizes.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    taken = run.where(F.coalesce(F.col("upto") - F.col("n") <= bulk * F.col("total"), F.lit(True)))
+    one = taken.agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("size") + 1)).alias("end"), (F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
+    both = taken.join(F.broadcast(one.select("mean", F.col("n").alias("_all"))), F.lit(True))  # one row
+    spread = both.where("size > 0").agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("size") - F.col("mean"), 2) / F.greatest("_all", F.lit(1)))).alias("deviation"))
+    return one.join(F.broadcast(spread), F.lit(True)).select(F.coalesce("n", F.lit(0)).alias("n"), "end", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"))
+
+
 def mpileup(
     reads: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 13, anomalous: bool = False, max_depth: int = 8000, genome: DataFrame | None = None, everywhere: bool = False, references: DataFrame | None = None
 ) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +54,38 @@ def view(reads: DataFrame, rule: ReadFilter, read_groups: list[str] | None = Non
     return out.withColumn("flag", F.col("flag").bitwiseOR(F.lit(add_flags)).bitwiseAND(F.lit(~remove_flags & 0xFFFF)))
 
 
+def of_library(reads: DataFrame, groups: DataFrame, library: str) -> DataFrame:
+    """Rows whose read group, by groups(rg, library), is of the library; rows without one are not."""
+    return reads.join(groups.where(F.col("library") == library).select("rg").distinct(), "rg", "left_semi").select(*reads.columns)
+
+
+def with_tags(reads: DataFrame, keep: list[str] | None = None, remove: list[str] | None = None) -> DataFrame:
+    """reads with only the tags to keep, or without those to remove; both at once is an error."""
+    if keep is not None and remove is not None:
+        raise ValueError("tags can be kept or removed, not both")
+    names = keep if keep is not None else remove or []
+    inside = lambda k: k.isin(names) if names else F.lit(False)
+    return reads.withColumn("tags", F.map_filter("tags", lambda k, v: inside(k) if keep is not None else ~inside(k)))
+
+
+def of_sample(reads: DataFrame, groups: DataFrame, value: str) -> DataFrame:
+    """Rows whose read group's id or sample, by groups(rg, sample), is the value."""
+    return reads.join(groups.where((F.col("rg") == value) | (F.col("sample") == value)).select("rg").distinct(), "rg", "left_semi").select(*reads.columns)
+
+
+def view_strings(reads: DataFrame, references: DataFrame, regions: list[str]) -> DataFrame:
+    """Rows that overlap each region string, in its order (line); * stands for rows without a place."""
+    spark = reads.sparkSession
+    parsed = [(i, *C.parse_region(r)) for i, r in enumerate(regions) if r != "*"]
+    table = spark.createDataFrame(parsed, "line long, name string, start long, end long").join(references.select("rid", "name", "length"), "name", "left")
+    checked = table.select("line", F.coalesce("rid", F.raise_error(F.concat(F.lit("unknown reference "), "name")).cast("long")).alias("rid"), "start", F.coalesce(F.least("end", "length"), "length").alias("end"))
+    out = view_regions(reads, checked).select(*reads.columns, "line")
+    for i, r in enumerate(regions):
+        if r == "*":
+            out = out.unionByName(reads.where("rid < 0").withColumn("line", F.lit(i).cast("long")))
+    return out
+
+
 def view_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Rows that overlap each region, once for each region: repeated and overlapping regions repeat rows.
 
@@ -167,6 +197,42 @@ def head(reads: DataFrame, n: int) -> DataFrame:
     return reads.orderBy("src", "ord").limit(n)
 
 
+def _part_sql(index: str, parts: int, seed: int) -> str:
+    """SplitMix64 of Steele, Lea and Flood modulo parts, in 64-bit arithmetic of halves, since products of longs must not overflow.
+
+    Its state is the seed plus a multiple of the golden gamma, so a part depends on the row's index alone.
+    """
+
+    def times(x: str, m: int) -> str:
+        # x * m modulo 2^64 from 32-bit halves: high * m_low + low * m_high matter in their low 32 bits only.
+        low, high = m & 0xFFFFFFFF, m >> 32
+        a, b = f"({x} & 4294967295L)", f"shiftrightunsigned({x}, 32)"
+        wide = lambda p, q: f"(cast({p} as decimal(20,0)) * {q}BD)"
+        whole = f"({wide(a, low)} + (({wide(a, high)} + {wide(b, low)}) % 4294967296BD) * 4294967296BD) % 18446744073709551616BD"
+        return _signed(whole)
+
+    def _signed(d: str) -> str:
+        return f"transform(array({d}), d -> cast(if(d >= 9223372036854775808BD, d - 18446744073709551616BD, d) as bigint))[0]"
+
+    def bind(value: str, body: str) -> str:
+        return f"transform(array({value}), x -> {body})[0]"
+
+    start = _signed(f"(cast({seed % 2**64} as decimal(20,0)) + (cast({index} as decimal(20,0)) + 1BD) * 11400714819323198485BD) % 18446744073709551616BD")
+    out = bind(start, times("(x ^ shiftrightunsigned(x, 30))", 0xBF58476D1CE4E5B9))
+    out = bind(out, times("(x ^ shiftrightunsigned(x, 27))", 0x94D049BB133111EB))
+    out = bind(out, "(x ^ shiftrightunsigned(x, 31))")
+    return bind(out, f"cast(if(x < 0, cast(x as decimal(20,0)) + 18446744073709551616BD, cast(x as decimal(20,0))) % {parts}BD as bigint)")
+
+
+def input_index(reads: DataFrame) -> DataFrame:
+    """reads with ord as the number of the row in its input, by tiles of ord: rows are counted a tile at a time, so no task holds an input."""
+    tile = F.floor(F.col("ord") / (1 << 20))
+    rows = reads.withColumn("_tile", tile)
+    base = rows.groupBy("src", "_tile").agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    placed = rows.join(base.select("src", "_tile", "_base"), ["src", "_tile"])
+    return placed.withColumn("ord", F.row_number().over(Window.partitionBy("src", "_tile").orderBy("ord")) + F.col("_base") - 1).select(*reads.columns)
+
+
 def split_label(mode: str, parts: int = 2, seed: int = 0) -> Column:
     """The output that a row goes to: its read group, its mate number, or one of parts by a counter-based generator over ord."""
     if mode == "read_group":
@@ -175,17 +241,7 @@ def split_label(mode: str, parts: int = 2, seed: int = 0) -> Column:
         flag = F.col("flag")
         return F.when(C.has(flag, C.UNMAP), "unmap").when(C.has(flag, C.READ1), "R1").when(C.has(flag, C.READ2), "R2").otherwise("R1")
     if mode == "parts":
-
-        @F.pandas_udf("long")
-        def part(at: pd.Series) -> pd.Series:
-            """SplitMix64 of Steele, Lea and Flood: its state is the seed plus a multiple of the golden gamma."""
-            with np.errstate(over="ignore"):
-                z = np.uint64(seed) + (at.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                return pd.Series(((z ^ (z >> np.uint64(31))) % np.uint64(parts)).astype(np.int64))
-
-        return part("ord").cast("string")
+        return F.expr(_part_sql("ord", parts, seed)).cast("string")
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -205,6 +261,27 @@ def coalesced(regions: DataFrame, gap: int = 0) -> DataFrame:
     return islands.groupBy("rid", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def intersected(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rid, start, end: the places in both of two sets of intervals, as disjoint intervals."""
+    left = coalesced(a).select("rid", F.col("start").alias("pos"), "end")
+    met = range_join(left, coalesced(b).withColumn("line", F.monotonically_increasing_id()))
+    return met.select("rid", F.greatest("pos", "r_start").alias("start"), F.least("end", "r_end").alias("end"))
+
+
+def subtracted(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rid, start, end: the places of the first set of intervals that are not in the second.
+
+    Each interval of the first is cut at those of the second that it meets; an interval that meets none stays whole.
+    """
+    left = coalesced(a).withColumn("_id", F.monotonically_increasing_id())
+    met = range_join(left.select("rid", F.col("start").alias("pos"), "end", "_id"), coalesced(b).withColumn("line", F.monotonically_increasing_id()))
+    w = Window.partitionBy("_id").orderBy("r_start")
+    gaps = met.select("_id", "rid", "pos", "end", "r_start", "r_end", F.coalesce(F.lag("r_end").over(w), "pos").alias("from"), F.lead("r_start").over(w).alias("next"))
+    # Before each cut, and behind the last one.
+    pieces = gaps.select("rid", F.inline(F.array(F.struct(F.col("from").alias("start"), F.col("r_start").alias("end")), F.when(F.col("next").isNull(), F.struct(F.col("r_end").alias("start"), F.col("end").alias("end")))))).where("start < end")
+    return pieces.unionByName(left.join(met.select("_id").distinct(), "_id", "left_anti").select("rid", "start", "end"))
+
+
 def reset(reads: DataFrame, keep_duplicates: bool = False) -> DataFrame:
     """Back to unaligned reads: primary rows, on their own strand, without places."""
     flag = F.col("flag")

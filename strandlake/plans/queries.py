@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import sql
-from strandlake.operators import mates, reference, reports, select
+from strandlake.operators import amplicons, mates, reference, reports, select
 from strandlake.operators.select import ReadFilter
 from strandlake.sources.derived import ORACLE, genome, reads, references, regions
 from strandlake.streaming import events as streams
@@ -257,9 +257,21 @@ def split_mates(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("src", "ord", select.split_label("mates").alias("label"))
 
 
-@query()
+_M64 = "% 18446744073709551616::HUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """The counter's output as DuckDB writes it, with products from 32-bit halves that fit 128 bits."""
+    times = lambda v, m: f"(({v} % 4294967296) * {m}::HUGEINT + (((({v}) // 4294967296) * {m & 0xFFFFFFFF}::HUGEINT) % 4294967296) * 4294967296) {_M64}".replace(f"* {m}::HUGEINT", f"* {m & 0xFFFFFFFF}::HUGEINT + ((({v} % 4294967296) * {m >> 32}::HUGEINT) % 4294967296) * 4294967296")
+    step = f"SELECT src, ord, CAST({x} AS HUGEINT) AS z FROM i"
+    for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        step = f"SELECT src, ord, {times('z', m)} AS z FROM (SELECT src, ord, xor(z, z // {1 << shift}) AS z FROM ({step}))"
+    return f"SELECT src, ord, xor(z, z // {1 << 31}) AS z FROM ({step})"
+
+
+@query(f", i AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY ord) - 1 AS ord FROM r) SELECT src, ord, CAST(CAST(z % 4 AS BIGINT) AS VARCHAR) AS label FROM ({_mixed('(CAST(ord + 1 AS HUGEINT) * 11400714819323198485::HUGEINT) ' + _M64)})")
 def split_parts(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).select("src", "ord", select.split_label("parts", 4).alias("label"))
+    return select.input_index(reads(spark, d)).select("src", "ord", select.split_label("parts", 4).alias("label"))
 
 
 @query(
@@ -543,3 +555,75 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = streams.sessions(spark.read.parquet(f"{d}/events.parquet"))
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT src, ord FROM r WHERE rg IN ('rg0', 'rg2')")
+def view_library(spark: SparkSession, d: str) -> DataFrame:
+    groups = spark.createDataFrame([("rg0", "one"), ("rg1", "two"), ("rg2", "one")], "rg string, library string")
+    return select.of_library(reads(spark, d), groups, "one").select("src", "ord")
+
+
+@query("SELECT CAST(n AS BIGINT) AS line, src, ord FROM r JOIN cg USING (cigar) JOIN (VALUES (0, 0, 99, 300), (2, 3, 0, 5400), (3, 1, 4999, 5400)) g(n, grid, a, z) ON rid = grid AND pos < z AND a < pos + greatest(span, 1) UNION ALL SELECT 1, src, ord FROM r WHERE rid < 0")
+def view_region_strings(spark: SparkSession, d: str) -> DataFrame:
+    return select.view_strings(reads(spark, d), references(spark), ["chr1:100-300", "*", "chr4", "chr2:5,000"]).select("line", "src", "ord")
+
+
+@query("SELECT src, ord, CASE WHEN pos % 2 = 0 THEN 'AA:' || CAST(pos AS VARCHAR) ELSE '' END AS kept, 'BB:' || cigar AS rest FROM r")
+def view_tags(spark: SparkSession, d: str) -> DataFrame:
+    tag = lambda t, v: F.struct(F.lit(t).alias("t"), v.cast("string").alias("v"))
+    tags = F.map_from_entries(F.array_compact(F.array(F.when(F.col("pos") % 2 == 0, F.struct(F.lit("AA"), tag("i", F.col("pos")))), F.struct(F.lit("BB"), tag("Z", F.col("cigar"))))))
+    rows = reads(spark, d).withColumn("tags", tags)
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"]["v"])), ",")
+    kept = select.with_tags(rows, keep=["AA"]).select("src", "ord", said("tags").alias("kept"))
+    return kept.join(select.with_tags(rows, remove=["AA"]).select("src", "ord", said("tags").alias("rest")), ["src", "ord"])
+
+
+_OTHER = """other AS (SELECT p_partkey AS line, p_partkey % 5 AS rid, (p_partkey * 71) % 5000 AS start, (p_partkey * 71) % 5000 + (p_partkey % 5) * 9 AS "end" FROM part),
+ina AS (SELECT DISTINCT rid, start + i AS p FROM reg, range(300) t(i) WHERE i < "end" - start), inb AS (SELECT DISTINCT rid, start + i AS p FROM other, range(300) t(i) WHERE i < "end" - start)"""
+
+
+def _others(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS line", "p_partkey % 5 AS rid", "(p_partkey * 71) % 5000 AS start", "(p_partkey * 71) % 5000 + (p_partkey % 5) * 9 AS end")
+
+
+@query(f", {_OTHER} SELECT rid, count(*) AS n, CAST(sum(p * p) AS BIGINT) AS squares FROM (SELECT * FROM ina INTERSECT SELECT * FROM inb) GROUP BY rid")
+def interval_intersection(spark: SparkSession, d: str) -> DataFrame:
+    rows = select.intersected(regions(spark, d), _others(spark, d))
+    return rows.select("rid", F.explode(F.sequence("start", F.col("end") - 1)).alias("p")).groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("p")).alias("squares"))
+
+
+@query(f", {_OTHER} SELECT rid, count(*) AS n, CAST(sum(p * p) AS BIGINT) AS squares FROM (SELECT * FROM ina EXCEPT SELECT * FROM inb) GROUP BY rid")
+def interval_difference(spark: SparkSession, d: str) -> DataFrame:
+    rows = select.subtracted(regions(spark, d), _others(spark, d))
+    return rows.select("rid", F.explode(F.sequence("start", F.col("end") - 1)).alias("p")).groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("p")).alias("squares"))
+
+
+_SIZES = f"SELECT least(abs(tlen), 8000) AS size, {_KIND} AS k, count(*) // 2 AS n FROM r WHERE {_O} AND {_BOTH_ON} AND NOT (tlen = 0 AND rid <> mrid) GROUP BY 1, 2"
+
+
+@query(
+    f""", h AS (SELECT size, CAST(sum(n) AS BIGINT) AS n FROM ({_SIZES}) GROUP BY 1), t AS (SELECT *, sum(n) OVER (ORDER BY size) AS upto, sum(n) OVER () AS total FROM h), k AS (SELECT * FROM t WHERE upto - n <= 0.99 * total),
+    m AS (SELECT CAST(sum(n) AS BIGINT) AS n, max(size + 1) FILTER (n > 0) AS "end", sum(size * n)::DOUBLE / greatest(sum(n), 1) AS mean FROM k)
+    SELECT m.n, m."end", round(m.mean, 4) AS mean, round((SELECT sqrt(sum(k.n * (k.size - m.mean) * (k.size - m.mean) / m.n)) FROM k WHERE size > 0), 4) AS deviation FROM m"""
+)
+def insert_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.insert_summary(reports.stats(reads(spark, d)))
+
+
+_AMPS = """amps AS (SELECT i AS line, i // 2 % 5 AS rid, i // 10 + 1 AS amp, i // 10 * 500 AS l, i // 10 * 500 + 20 AS le, i // 10 * 500 + 480 AS rs, i // 10 * 500 + 502 AS re FROM range(100) t(i) WHERE i % 2 = 0),
+acc AS (SELECT src, ord, r.rid, pos AS s, pos + span AS e, (flag & 16) > 0 AS back, (flag & 1) > 0 AS paired, tlen FROM r JOIN cg USING (cigar) WHERE r.rid >= 0 AND (flag & 2820) = 0 AND span > 0),
+ends AS (SELECT *, CASE WHEN back OR NOT paired THEN e - 1 ELSE s END AS own, CASE WHEN back OR NOT paired THEN 'R' ELSE 'L' END AS side, CASE WHEN NOT paired THEN s WHEN back THEN e + tlen ELSE s + tlen END AS far FROM acc),
+told AS (SELECT n.*, (SELECT max(amp) FROM amps a WHERE a.rid = n.rid AND CASE side WHEN 'L' THEN abs(a.l - own) ELSE abs(a.re - 1 - own) END <= 30) AS amp,
+  (SELECT max(amp) FROM amps a WHERE a.rid = n.rid AND (NOT paired OR (tlen <> 0 AND far > 0)) AND CASE WHEN paired AND NOT back THEN abs(a.re - 1 - (far - 1)) ELSE abs(a.l - far) END <= 30) AS other FROM ends n),
+full_ AS (SELECT t.*, CASE WHEN t.amp IS NULL OR other IS NULL THEN 2 WHEN t.amp = other THEN 0 ELSE 1 END AS status, greatest(s, a.le) AS x, least(e, a.rs) AS y, coalesce(least(e, a.rs) > greatest(s, a.le), false) AS ok FROM told t LEFT JOIN amps a ON a.rid = t.rid AND a.amp = t.amp)"""
+
+
+@query(
+    f""", {_AMPS} SELECT 'SS' AS section, rid, CAST(0 AS BIGINT) AS amp, 'sequences' AS key, count(*) AS value FROM r WHERE rid >= 0 GROUP BY rid
+    UNION ALL SELECT 'SS', rid, 0, 'filtered', count(*) FILTER ((flag & 2820) > 0) FROM r WHERE rid >= 0 GROUP BY rid UNION ALL SELECT 'SS', rid, 0, 'failed primer match', count(*) FILTER (NOT ok) FROM full_ GROUP BY rid
+    UNION ALL SELECT 'SS', rid, 0, 'matching', count(*) FILTER (ok) FROM full_ GROUP BY rid UNION ALL SELECT 'READS', rid, amp, 'n', count(*) FROM full_ WHERE ok GROUP BY rid, amp UNION ALL SELECT 'BASES', rid, amp, 'n', CAST(sum(y - x) AS BIGINT) FROM full_ WHERE ok GROUP BY rid, amp
+    UNION ALL SELECT 'AMP', rid, amp, CAST(status AS VARCHAR), count(*) FROM full_ WHERE amp IS NOT NULL AND (status = 2 OR s <= CASE WHEN paired THEN far ELSE e END) GROUP BY rid, amp, status
+    UNION ALL SELECT 'COVERED', rid, amp, 'n', count(*) FROM (SELECT DISTINCT rid, amp, x + i FROM full_, range(500) t(i) WHERE ok AND i < y - x) GROUP BY rid, amp UNION ALL SELECT 'LENGTH', rid, amp, 'n', rs - le FROM amps"""
+)
+def ampliconstats(spark: SparkSession, d: str) -> DataFrame:
+    return amplicons.ampliconstats(reads(spark, d), _primers(spark)).where("section <> 'DEPTH'")
