@@ -53,3 +53,28 @@ pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM g x JOIN g y ON x.shingl
 links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 {_SPREAD}
 SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.id = w.id JOIN classes ON node = w.id"""
+
+_LUHN = "list_sum(list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN c > '4' THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0"
+_DIGITS = "length(regexp_replace(m, '[^0-9]', '', 'g'))"
+_IBAN = "replace(m, ' ', '')"
+_MOD97 = (
+    f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END AS BIGINT))),"
+    " lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"
+)
+_PERSONAL = (
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true", 0.9, "mail|contact|write|courriel|correo"),
+    ("ip", "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0", 0.6, "\\bip\\b|address|host|server|adresse"),
+    ("card", "[0-9](?:[\\x20-]?[0-9])+", f"{_DIGITS} BETWEEN 14 AND 19 AND {_LUHN}", 0.8, "card|visa|credit|payment|carte|karte|tarjeta"),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", f"{_DIGITS} BETWEEN 10 AND 15", 0.6, "phone|call|tel|mobile|fax|anruf|appel"),
+    ("iban", "\\b[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?\\b", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}", 0.9, "iban|bank|account|konto|compte|cuenta"),
+)
+_NEAR = "lower(substr(body, CAST(greatest(1, start - 39) AS BIGINT), CAST(least(40, start) AS BIGINT)))"
+_SCORE = "CASE kind " + " ".join(f"WHEN '{k}' THEN CASE WHEN regexp_matches({_NEAR}, '{c}') THEN {p + 0.1:.2f} ELSE {p:.2f} END" for k, _, _, p, c in _PERSONAL) + " END"
+OP8_SQL = (
+    "WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS body FROM documents), f AS ("
+    + " UNION ALL ".join(_PLACES.format(rank=i, kind=k, pattern=p, test=t).replace("SELECT doc_id,", "SELECT row_id, doc_id,", 1).replace("FROM (\n  SELECT doc_id,", "FROM (\n  SELECT row_id, doc_id,", 1) for i, (k, p, t, _, _) in enumerate(_PERSONAL))
+    + ") SELECT d.doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))
+    + f", sha256({_SAID.format(only=' FILTER (rank < 4)')}) AS base_sha256, {_SAID.format(only=' FILTER (kind IS NOT NULL)')} AS spans"
+    + f", coalesce(string_agg(printf('%.2f', CAST({_SCORE} AS DOUBLE)), ',' ORDER BY start, rank) FILTER (kind IS NOT NULL), '') AS scores FROM d LEFT JOIN f USING (row_id) GROUP BY d.row_id, d.doc_id"
+)

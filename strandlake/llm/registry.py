@@ -19,4 +19,4 @@ QUERIES = {
         html.op10_main_text,
     )
 }
-ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL, "op2_secret_scan": oracles.OP2_SQL, "op4_cover_tree": oracles.OP4_SQL, "op6_ngram_jaccard": oracles.OP6_SQL}
+ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL, "op2_secret_scan": oracles.OP2_SQL, "op4_cover_tree": oracles.OP4_SQL, "op6_ngram_jaccard": oracles.OP6_SQL, "op8_personal_data": oracles.OP8_SQL}

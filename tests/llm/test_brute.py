@@ -24,7 +24,7 @@ def thue_morse(n):
     return s[:n]
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_cover_tree", "op6_ngram_jaccard"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_cover_tree", "op6_ngram_jaccard", "op8_personal_data"])
 def test_query_equals_sql(spark, name):
     assert compare.difference(registry.QUERIES[name](spark, SMALL), compare.connect(SMALL), registry.ORACLE_SQL[name]) is None
 
