@@ -68,7 +68,7 @@ def ampliconstats(reads: DataFrame, primers: DataFrame, rule: ReadFilter = DEFAU
     amps = amplicons(primers)
     told = assigned(reads, amps, rule, margin).join(amps.select("amp", "rid", "max_left", "min_right"), ["rid", "amp"], "left")
     a, b = F.greatest("start", "max_left"), F.least("end", "min_right")
-    told = told.withColumns({"a": a, "b": b, "inside": F.coalesce(b > a, F.lit(False))})
+    told = told.withColumns({"a": a, "b": b, "inside": F.col("amp").isNotNull() & (b > a)})
     row = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("long").alias("value"))
     placed = reads.where("rid >= 0")
     totals = placed.groupBy("rid").agg(F.count("*").alias("all"), F.count_if(~rule.condition()).alias("out")).join(told.groupBy("rid").agg(F.count_if(F.col("inside")).alias("in"), F.count_if(~F.col("inside")).alias("failed")), "rid", "left").na.fill(0)

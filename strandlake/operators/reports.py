@@ -140,14 +140,14 @@ def _tiled(runs: DataFrame) -> DataFrame:
 
 
 def pileup(reads: DataFrame, rule: ReadFilter = DEFAULT, kinds: str = "M=X") -> DataFrame:
-    """A row for each aligned base (M, = or X): src, ord, rid, tile, p, base, bq, qpos, flag, mapq. An absent quality is 255; a deleted base (kinds with D) is *."""
+    """A row for each aligned base (M, = or X): src, ord, rid, tile, p, base, bq, qpos, flag, mapq. An absent quality is 255; a deleted base (kinds with D) is *, a skipped one (with N) >."""
     runs = aligned_runs(reads.where(rule.condition() & (F.col("rid") >= 0)), kinds).where("n > 0")
     text = lambda c: F.substr(c, (F.col("qoff") + 1).cast("int"), F.col("n").cast("int"))
     narrow = runs.select("src", "ord", "rid", "start", "end", "qoff", "op", F.when(F.col("op") != "D", text("seq")).alias("bases"), F.when(F.col("op") != "D", text("qual")).alias("quals"), "flag", "mapq")
     rows = _tiled(narrow).withColumn("p", F.explode(F.sequence(F.col("cut_a"), F.col("cut_b") - 1)))
     at = (F.col("p") - F.col("start") + 1).cast("int")
     bq = F.coalesce((F.ascii(F.substr("quals", at, F.lit(1))) - 33).cast("long"), F.lit(255).cast("long"))
-    return rows.select("src", "ord", "rid", "tile", "p", F.when(F.col("op") == "D", "*").otherwise(F.substr("bases", at, F.lit(1))).alias("base"), bq.alias("bq"), (F.col("qoff") + F.col("p") - F.col("start")).alias("qpos"), "flag", "mapq")
+    return rows.select("src", "ord", "rid", "tile", "p", F.when(F.col("op") == "D", "*").when(F.col("op") == "N", ">").otherwise(F.substr("bases", at, F.lit(1))).alias("base"), bq.alias("bq"), (F.col("qoff") + F.col("p") - F.col("start")).alias("qpos"), "flag", "mapq")
 
 
 def coverage(reads: DataFrame, refs: DataFrame, rule: ReadFilter = DEFAULT, min_baseq: int = 0, min_depth: int = 1) -> DataFrame:

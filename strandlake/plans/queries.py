@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import sql
-from strandlake.operators import amplicons, mates, reference, reports, select
+from strandlake.operators import amplicons, genotypes, mates, reference, reports, select, viewer
 from strandlake.operators.select import ReadFilter
 from strandlake.sources.derived import ORACLE, genome, reads, references, regions
 from strandlake.streaming import events as streams
@@ -615,7 +615,7 @@ acc AS (SELECT src, ord, r.rid, pos AS s, pos + span AS e, (flag & 16) > 0 AS ba
 ends AS (SELECT *, CASE WHEN back OR NOT paired THEN e - 1 ELSE s END AS own, CASE WHEN back OR NOT paired THEN 'R' ELSE 'L' END AS side, CASE WHEN NOT paired THEN s WHEN back THEN e + tlen ELSE s + tlen END AS far FROM acc),
 told AS (SELECT n.*, (SELECT max(amp) FROM amps a WHERE a.rid = n.rid AND CASE side WHEN 'L' THEN abs(a.l - own) ELSE abs(a.re - 1 - own) END <= 30) AS amp,
   (SELECT max(amp) FROM amps a WHERE a.rid = n.rid AND (NOT paired OR (tlen <> 0 AND far > 0)) AND CASE WHEN paired AND NOT back THEN abs(a.re - 1 - (far - 1)) ELSE abs(a.l - far) END <= 30) AS other FROM ends n),
-full_ AS (SELECT t.*, CASE WHEN t.amp IS NULL OR other IS NULL THEN 2 WHEN t.amp = other THEN 0 ELSE 1 END AS status, greatest(s, a.le) AS x, least(e, a.rs) AS y, coalesce(least(e, a.rs) > greatest(s, a.le), false) AS ok FROM told t LEFT JOIN amps a ON a.rid = t.rid AND a.amp = t.amp)"""
+full_ AS (SELECT t.*, CASE WHEN t.amp IS NULL OR other IS NULL THEN 2 WHEN t.amp = other THEN 0 ELSE 1 END AS status, greatest(s, a.le) AS x, least(e, a.rs) AS y, t.amp IS NOT NULL AND least(e, a.rs) > greatest(s, a.le) AS ok FROM told t LEFT JOIN amps a ON a.rid = t.rid AND a.amp = t.amp)"""
 
 
 @query(
@@ -627,3 +627,35 @@ full_ AS (SELECT t.*, CASE WHEN t.amp IS NULL OR other IS NULL THEN 2 WHEN t.amp
 )
 def ampliconstats(spark: SparkSession, d: str) -> DataFrame:
     return amplicons.ampliconstats(reads(spark, d), _primers(spark)).where("section <> 'DEPTH'")
+
+
+def _ln(a: str, b: str) -> str:
+    """A genotype's summand for one base."""
+    return "CASE WHEN b = '{0}' THEN ln(1 - e) ELSE ln(e / 4) END".format(a) if a == b else "CASE WHEN b IN ('{0}', '{1}') THEN ln((1 - e) / 2 + e / 8) ELSE ln(e / 4) END".format(a, b)
+
+
+_GT = [("ACGT*"[i], "ACGT*"[j]) for i in range(5) for j in range(i, 5)]
+_PRIOR = [("ln(0.001)" if a != b else "0") + (" + ln(0.0002)" if "*" in (a, b) else "") for a, b in _GT]
+_SAID = ["*" if a == "*" else a.lower() if b == "*" else dict(zip("A C G T AC AG AT CG CT GT".split(), "ACGTMRWSYK", strict=True))[a if a == b else a + b] for a, b in _GT]
+
+
+@query(
+    f""", t AS (SELECT rid, p, base AS b, least(0.75, pow(10.0, -least(bq, 60) / 10.0)) AS e FROM bases WHERE {OK} AND base <> 'N' UNION ALL SELECT rid, pos + roff + i, '*', 0.01 FROM r JOIN dels USING (cigar) JOIN range(10) t(i) ON i < len WHERE kind = 'D' AND {OK}),
+    s AS (SELECT rid, p, count(*) AS depth, {', '.join(f'sum({_ln(a, b)}) + {_PRIOR[i]} AS g{i}' for i, (a, b) in enumerate(_GT))} FROM t GROUP BY rid, p),
+    m AS (SELECT *, greatest({', '.join(f'g{i}' for i in range(15))}) AS best FROM s)
+    SELECT rid, p + 1 AS pos, depth, CASE WHEN q >= 10 THEN letter ELSE 'N' END AS call, CASE WHEN q >= 10 THEN q ELSE 0 END AS qual FROM (
+      SELECT *, CAST(least(99, floor(-10 * log10(rest / (1 + rest)) + 1e-6)) AS BIGINT) AS q FROM (SELECT *, greatest(1e-10, {' + '.join(f'exp(g{i} - best)' for i in range(15))} - 1) AS rest,
+        CASE best {' '.join(f"WHEN g{i} THEN '{_SAID[i]}'" for i in range(15))} END AS letter FROM m))"""
+)
+def consensus_diploid(spark: SparkSession, d: str) -> DataFrame:
+    return genotypes.consensus_diploid(reads(spark, d))
+
+
+@query()
+def phase_sites(spark: SparkSession, d: str) -> DataFrame:
+    return genotypes.phase(reads(spark, d), min_lod=20)[0]
+
+
+@query()
+def tview(spark: SparkSession, d: str) -> DataFrame:
+    return viewer.grid(reads(spark, d), 1, 1000, 120, genome(spark))
