@@ -53,10 +53,14 @@ def calmd(reads: DataFrame, chunked: DataFrame, equals: bool = False) -> DataFra
         return F.when(same(q, r), count(a["run"] + 1, a["md"], a["nm"])).otherwise(count(F.lit(0).cast("long"), F.concat(a["md"], a["run"].cast("string"), r), a["nm"] + 1))
 
     def step(a: Column, o: Column) -> Column:
+        # A run of the reference's own letters, the usual case, is one step.
+        mine, theirs = F.upper(F.substr("seq", (o["qoff"] + 1).cast("int"), o["n"].cast("int"))), F.upper(F.substr("refseq", (o["roff"] + 1).cast("int"), o["n"].cast("int")))
+        plain = (mine == theirs) & ~mine.contains("N") & (F.length(theirs) == o["n"])
         bases = F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(o["n"], F.lit(1)) - 1), a, lambda b, i: one(b, base(o["qoff"] + i), ref(o["roff"] + i)))
         gone = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(o["n"], F.lit(1)) - 1), lambda i: ref(o["roff"] + i)), "")
         return (
-            F.when((o["n"] > 0) & o["op"].isin("M", "=", "X"), bases)
+            F.when((o["n"] > 0) & o["op"].isin("M", "=", "X") & plain, count(a["run"] + o["n"], a["md"], a["nm"]))
+            .when((o["n"] > 0) & o["op"].isin("M", "=", "X"), bases)
             .when((o["n"] > 0) & (o["op"] == "D"), count(F.lit(0).cast("long"), F.concat(a["md"], a["run"].cast("string"), F.lit("^"), gone), a["nm"] + o["n"]))
             .when(o["op"] == "I", count(a["run"], a["md"], a["nm"] + o["n"]))
             .otherwise(a)

@@ -331,7 +331,7 @@ def stats(reads: DataFrame, max_insert: int = 8000) -> DataFrame:
     histograms = reads.select(F.inline(keys)).groupBy("section", "key").agg(F.count("*").alias("value"))
     out = out.unionByName(histograms.select("section", "key", F.when(F.col("section") == "IS", F.floor(F.col("value") / 2)).otherwise(F.col("value")).alias("value")))
 
-    # Cycles: equal pairs of strings are counted once and their bases together.
+    # Cycles: qualities and bases come from the same rows, and both histograms are folded from their joint counts.
     turned = reads.where(original & (first | last)).select(
         F.when(last, "L").otherwise("F").alias("end"), F.when(on(C.REVERSE), F.reverse("qual")).otherwise(F.col("qual")).alias("q"), F.when(on(C.REVERSE), C.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("b")
     )
@@ -376,48 +376,52 @@ def mpileup(
     """
     flag = F.col("flag")
     proper = F.lit(True) if anomalous else ~(C.has(flag, C.PAIRED) & ~C.has(flag, C.PROPER))
-    rows = reads.where(rule.condition() & proper & (F.col("rid") >= 0)).withColumn("_ops", C.walk(F.col("cigar"))).withColumn("_last", F.col("pos") + C.ref_span(F.col("cigar")))
-    e = rows.select("src", "ord", "rid", "pos", "_last", "mapq", "seq", "qual", "_ops", C.has(flag, C.REVERSE).alias("rev"), F.posexplode("_ops").alias("_k", "_o")).where("_o.op in ('M', '=', 'X', 'D', 'N') and _o.n > 0")
+    kept = reads.where(rule.condition() & proper & (F.col("rid") >= 0))
+    if genome is not None:
+        from strandlake.operators.reference import CHUNK, with_reference
+
+        kept = with_reference(kept, genome).withColumn("refseq", F.upper(F.coalesce("refseq", F.lit(""))))
+    else:
+        kept = kept.withColumn("refseq", F.lit(""))
+    rows = kept.withColumn("_ops", C.walk(F.col("cigar"))).withColumn("_last", F.col("pos") + C.ref_span(F.col("cigar")))
+    e = rows.select("src", "ord", "rid", "pos", "_last", "mapq", "seq", "qual", "refseq", "_ops", C.has(flag, C.REVERSE).alias("rev"), F.posexplode("_ops").alias("_k", "_o")).where("_o.op in ('M', '=', 'X', 'D', 'N') and _o.n > 0")
     after = F.try_element_at("_ops", (F.col("_k") + 2).cast("int"))
     base = F.col("_o.op").isin("M", "=", "X")
     cut = lambda c, at, n: F.substr(c, (at + 1).cast("int"), n.cast("int"))
     n = F.when(base, F.col("_o.n")).otherwise(1)
+    case = lambda x: F.when(F.col("rev"), F.lower(x)).otherwise(x)
+    # What stands behind the last base of an operation: insertions with their bases, deletions with the reference's, N where it is not known.
+    gone = F.rpad(cut("refseq", after["roff"], after["n"]), after["n"].cast("int"), F.lit("N"))
+    grow = F.when(base & (after["op"] == "I"), F.concat(F.lit("+"), after["n"].cast("string"), case(cut("seq", after["qoff"], after["n"])))).when(base & (after["op"] == "D"), F.concat(F.lit("-"), after["n"].cast("string"), case(gone)))
     narrow = e.select(
-        "src", "ord", "rid", "rev", F.least("mapq", F.lit(93)).alias("mapq"), (F.col("pos") + F.col("_o.roff")).alias("start"), (F.col("pos") + F.col("_o.roff") + F.col("_o.n")).alias("end"), "pos", "_last", F.col("_o.op").alias("op"),
-        cut("seq", F.col("_o.qoff"), n).alias("bases"), cut("qual", F.col("_o.qoff"), n).alias("quals"), F.when(base & (after["op"] == "I"), cut("seq", after["qoff"], after["n"])).alias("inserted"), F.when(base & (after["op"] == "D"), after["n"]).alias("deleted"),
+        "src", "ord", "rid", "rev", F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33)).alias("head"), (F.col("pos") + F.col("_o.roff")).alias("start"), (F.col("pos") + F.col("_o.roff") + F.col("_o.n")).alias("end"), "pos", "_last",
+        F.col("_o.op").alias("op"), cut("seq", F.col("_o.qoff"), n).alias("bases"), cut("qual", F.col("_o.qoff"), n).alias("quals"), cut("refseq", F.col("_o.roff"), n).alias("refs"), F.coalesce(grow, F.lit("")).alias("grow"),
     )
     tiles = _tiled(narrow).withColumn("p", F.explode(F.sequence(F.col("cut_a"), F.col("cut_b") - 1)))
     aligned = F.col("op").isin("M", "=", "X")
     at = F.when(aligned, F.col("p") - F.col("start") + 1).otherwise(1).cast("int")
     bq = F.coalesce((F.ascii(F.substr("quals", at, F.lit(1))) - 33).cast("long"), F.lit(255).cast("long"))
-    case = lambda x: F.when(F.col("rev"), F.lower(x)).otherwise(x)
-    shown = F.when(aligned, F.substr("bases", at, F.lit(1))).when(F.col("op") == "D", F.lit("*")).otherwise(F.when(F.col("rev"), "<").otherwise(">"))
-    at_end = F.col("p") == F.col("end") - 1
-    grow = F.when(at_end & F.col("inserted").isNotNull(), F.concat(F.lit("+"), F.length("inserted").cast("string"), case(F.col("inserted")))).otherwise("")
-    head = F.when(F.col("p") == F.col("pos"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
+    letter, ref = F.substr("bases", at, F.lit(1)), F.substr("refs", at, F.lit(1))
+    like = (letter == "=") | (ref != "N") & (F.upper(letter) == ref)
+    shown = F.when(aligned, F.when(like, F.when(F.col("rev"), ",").otherwise(".")).otherwise(case(letter))).when(F.col("op") == "D", F.lit("*")).otherwise(F.when(F.col("rev"), "<").otherwise(">"))
+    head = F.when(F.col("p") == F.col("pos"), F.col("head")).otherwise("")
+    grown = F.when(F.col("p") == F.col("end") - 1, F.col("grow")).otherwise("")
     tail = F.when(F.col("p") == F.col("_last") - 1, "$").otherwise("")
-    entry = F.struct("src", "ord", head.alias("head"), shown.alias("base"), F.col("op").alias("op"), F.col("rev").alias("rev"), grow.alias("grow"), F.when(at_end, F.col("deleted")).alias("deleted"), tail.alias("tail"), bq.alias("bq"))
-    grouped = tiles.groupBy("rid", "tile", "p").agg(F.collect_list(F.when(bq >= min_baseq, entry)).alias("es"))
+    text = F.concat(head, shown, grown, tail)
+    grouped = tiles.groupBy("rid", "tile", "p").agg(F.collect_list(F.when(bq >= min_baseq, F.struct("src", "ord", text.alias("text"), bq.alias("bq")))).alias("es"))
     grouped = grouped.select("rid", F.col("p").alias("pos"), F.slice(F.array_sort("es"), F.lit(1), F.lit(max_depth)).alias("es"))
     if everywhere:
         every = references.select("rid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("pos"))
-        grouped = every.join(grouped, ["rid", "pos"], "left").withColumn("es", F.coalesce("es", F.slice("es", 1, 0), F.expr("array()").cast(grouped.schema["es"].dataType)))
+        grouped = every.join(grouped, ["rid", "pos"], "left").withColumn("es", F.coalesce("es", F.expr("array()").cast(grouped.schema["es"].dataType)))
     if genome is None:
-        grouped = grouped.withColumns({"ref": F.lit("N"), "_after": F.lit("")})
+        grouped = grouped.withColumn("ref", F.lit("N"))
     else:
-        from strandlake.operators.reference import CHUNK
-
         g = genome.select(F.col("rid").alias("_rid"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"))
         grouped = grouped.join(g, (F.col("rid") == F.col("_rid")) & (F.floor(F.col("pos") / CHUNK) == F.col("_chunk")), "left")
-        offset = (F.col("pos") % CHUNK).cast("int")
-        # Deletions are named as far as the chunk's halo reaches, with N behind it.
-        grouped = grouped.withColumns({"ref": F.upper(F.coalesce(F.nullif(F.substr("_seq", offset + 1, F.lit(1)), F.lit("")), F.lit("N"))), "_after": F.upper(F.coalesce(F.substr("_seq", offset + 2), F.lit("")))})
-    lower = lambda x, s: F.when(x["rev"], F.lower(s)).otherwise(s)
-    plain = lambda x: F.when(~x["op"].isin("M", "=", "X"), x["base"]).when((F.col("ref") != "N") & (F.upper(x["base"]) == F.col("ref")) | (x["base"] == "="), F.when(x["rev"], ",").otherwise(".")).otherwise(lower(x, x["base"]))
-    gone = lambda x: F.when(x["deleted"].isNull(), "").otherwise(F.concat(F.lit("-"), x["deleted"].cast("string"), lower(x, F.rpad(F.substr("_after", F.lit(1), x["deleted"].cast("int")), x["deleted"].cast("int"), F.lit("N")))))
+        grouped = grouped.withColumn("ref", F.upper(F.coalesce(F.nullif(F.substr("_seq", (F.col("pos") % CHUNK + 1).cast("int"), F.lit(1)), F.lit("")), F.lit("N"))))
     none = F.size("es") == 0
     return grouped.select(
-        "rid", (F.col("pos") + 1).alias("pos"), "ref", F.size("es").cast("long").alias("depth"), F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: F.concat(x["head"], plain(x), x["grow"], gone(x), x["tail"])), "")).alias("bases"),
+        "rid", (F.col("pos") + 1).alias("pos"), "ref", F.size("es").cast("long").alias("depth"), F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: x["text"]), "")).alias("bases"),
         F.when(none, "*").otherwise(F.array_join(F.transform("es", lambda x: F.char(F.least(x["bq"], F.lit(93)) + 33)), "")).alias("quals"),
     )
 
