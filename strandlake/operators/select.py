@@ -154,6 +154,10 @@ def collate(reads: DataFrame) -> DataFrame:
     return reads.repartition("qname").sortWithinPartitions(F.xxhash64("qname"), "qname", C.flag_rank(F.col("flag")), "src", "ord")
 
 
+#: Rows of a dictionary or of read groups up to which it is broadcast.
+SMALL_HEADER = 100_000
+
+
 def merge(parts: list[tuple[DataFrame, DataFrame]], order: str = "coordinate") -> tuple[DataFrame, DataFrame]:
     """(reads, references) of inputs with their own dictionaries: references are joined by name, ids of reads and mates translated.
 
@@ -170,14 +174,16 @@ def merge(parts: list[tuple[DataFrame, DataFrame]], order: str = "coordinate") -
     # The dictionary is a header: as many rows as there are references.
     merged = first.select("name", "m._input", "m._rid", checked.alias("length")).withColumn("rid", F.row_number().over(Window.orderBy("_input", "_rid")).cast("long") - 1)
     owner = taken.groupBy("rg").agg(F.min("_input").alias("_owner"))
+    # Headers are sent to every task where they are known to be small, and dealt out by key where they are not.
+    near = F.broadcast if dictionaries.count() <= SMALL_HEADER and owner.count() <= SMALL_HEADER else lambda df: df
     out = None
     for i, (reads, refs) in enumerate(parts):
         to = refs.join(merged.select("name", F.col("rid").alias("_to")), "name").select(F.col("rid").alias("_from"), "_to")
         here = reads
         for c in ("rid", "mrid"):
             if c in reads.columns:
-                here = here.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", F.lit(-1).cast("long"))).drop("_from", "_to")
-        here = here.join(owner.withColumnRenamed("rg", "_rg"), F.col("rg") == F.col("_rg"), "left").withColumn("rg", F.when(F.col("_owner") < i, F.concat("rg", F.lit(f".{i}"))).otherwise(F.col("rg"))).select(*reads.columns)
+                here = here.join(near(to), F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", F.lit(-1).cast("long"))).drop("_from", "_to")
+        here = here.join(near(owner.withColumnRenamed("rg", "_rg")), F.col("rg") == F.col("_rg"), "left").withColumn("rg", F.when(F.col("_owner") < i, F.concat("rg", F.lit(f".{i}"))).otherwise(F.col("rg"))).select(*reads.columns)
         out = here if out is None else out.unionByName(here)
     return sort(out, order), merged.select("rid", "name", "length")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import columns as C
 from strandlake.functions import sql
 from strandlake.operators import mates, reference, reports, select
-from strandlake.sources import sam, sequences
+from strandlake.sources import bam, sam, sequences
 from strandlake.streaming import events as streams
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
@@ -234,3 +234,21 @@ def _with_fan(module, fan, reads):
         return module.checksum(reads).cache()
     finally:
         module.FAN_IN = now
+
+
+def test_bam_there_and_back(spark, tmp_path, alignments):
+    reads, header = alignments
+    parts = bam.bam_parts(reads.orderBy("ord").coalesce(1), header).orderBy("part").collect()
+    data = b"".join(bytes(r.content) for r in parts)
+    (tmp_path / "x.bam").write_bytes(data)
+    again, head = bam.read_bam(spark, f"file://{tmp_path}/x.bam")
+    assert head.text() == header.text()
+    rows = lambda df: [(r.ord, r.qname, r.flag, r.rid, r.pos, r.mapq, r.cigar, r.mrid, r.mpos, r.tlen, r.seq, r.qual, r.rg, {k: tuple(v) for k, v in r.tags.items()}) for r in df.orderBy("ord").collect()]
+    assert rows(again) == rows(reads)
+    assert [bam.sniff(x) for x in (data, SAM.encode(), b"@r1\nAC\n", b">one\n", b"CRAM\3", b"one\t1\t5\n", b"\x1f\x8b\x08\0rest", b"")] == ["bam", "sam", "fastq", "fasta", "cram", "bed", "gzip", "unknown"]
+    (tmp_path / "cut.bam").write_bytes(data[:-40])
+    with pytest.raises(Exception):
+        bam.read_bam(spark, f"file://{tmp_path}/cut.bam")[0].collect()
+    long = dict(again.where("ord = 0").first().asDict(recursive=True), cigar="1M1I" * 40_000, seq="AC" * 40_000, qual=None)
+    back = bam._record(bam.encode(long)[4:])
+    assert back[5] == long["cigar"] and back[9] == long["seq"] and b"".join(bam.blocks(bam.packed(b"x" * 200_000))) == b"x" * 200_000
