@@ -10,38 +10,51 @@ from strandlake.functions import columns as C
 from strandlake.operators.select import range_join
 
 
-def fixmate(reads: DataFrame, add_score: bool = True) -> DataFrame:
-    """Templates of two primary rows get each other's place, strand, MQ, MC, template length and, with add_score, ms; a single primary row loses its mate."""
+def fixmate(reads: DataFrame, add_score: bool = True, check_proper: bool = True, remove: bool = False) -> DataFrame:
+    """Primary rows of a template get each other's place, strand, MQ, MC, template length and, with add_score, ms; a single primary row loses its mate.
+
+    Of more than two primary rows the first is paired with each other one in turn, so it keeps what the last gives it, and what any of
+    them marks or takes from its flags. Supplementary rows get their mate's place and tags from the last primary row of the other end. check_proper: pairs that do not face each
+    other on one reference are not proper; remove: secondary and unmapped rows are left out, with the bits that tell of them.
+    """
     flag = F.col("flag")
-    primary = ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY)
-    w = Window.partitionBy("src", "qname")
-    mate = lambda c: F.when(F.col("_k") == 1, F.max(F.when((F.col("_k") == 2), c)).over(w)).otherwise(F.max(F.when(F.col("_k") == 1, c)).over(w))
-    rows = reads.withColumn("_primary", primary).withColumn("_n", F.sum(F.col("_primary").cast("long")).over(w))
-    rows = rows.withColumn("_k", F.when(F.col("_primary"), F.row_number().over(Window.partitionBy("src", "qname", "_primary").orderBy("ord"))).otherwise(0))
-    rows = rows.withColumn("_score", C.quality_sum(F.col("qual"), length=F.length("seq"))).withColumn("_end", F.col("pos") + C.ref_span(F.col("cigar")))
-    for c in ("rid", "pos", "flag", "mapq", "cigar", "_score", "_end"):
-        rows = rows.withColumn(f"_m{c}", mate(F.col(c)))
-    pair = F.col("_primary") & (F.col("_n") == 2)
-    off, moff = C.has(flag, C.UNMAP), C.has(F.col("_mflag"), C.UNMAP)
-    rid = F.when(pair & off & ~moff, F.col("_mrid")).otherwise(F.col("rid"))
-    pos = F.when(pair & off & ~moff, F.col("_mpos")).otherwise(F.col("pos"))
-    mrid = F.when(moff & ~off, F.col("rid")).otherwise(F.col("_mrid"))
-    mpos = F.when(moff & ~off, F.col("pos")).otherwise(F.col("_mpos"))
-    five = lambda f, a, b: F.when(C.has(f, C.REVERSE), b).otherwise(a)
-    same = pair & ~off & ~moff & (F.col("rid") == F.col("_mrid"))
-    tlen = F.when(same, five(F.col("_mflag"), F.col("_mpos"), F.col("_m_end")) - five(flag, F.col("pos"), F.col("_end"))).otherwise(0)
-    facing = same & (C.has(flag, C.REVERSE) != C.has(F.col("_mflag"), C.REVERSE))
-    left = F.when(C.has(flag, C.REVERSE), five(F.col("_mflag"), F.col("_mpos"), F.col("_m_end"))).otherwise(F.col("pos"))
-    right = F.when(C.has(flag, C.REVERSE), F.col("_end")).otherwise(five(F.col("_mflag"), F.col("_mpos"), F.col("_m_end")))
-    keep = F.when(facing & (left < right), 0xFFFF).otherwise(0xFFFF & ~C.PROPER)
-    paired = flag.bitwiseOR(F.lit(C.PAIRED)).bitwiseAND(F.lit(0xFFFF & ~C.MREVERSE)).bitwiseOR(F.when(C.has(F.col("_mflag"), C.REVERSE), C.MREVERSE).otherwise(0)).bitwiseOR(F.when(moff, C.MUNMAP).otherwise(0)).bitwiseAND(keep)
+    rows = reads.withColumns({"_primary": ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY), "_score": C.quality_sum(F.col("qual"), length=F.length("seq")), "_end": F.col("pos") + C.ref_span(F.col("cigar")), "_off": C.has(flag, C.UNMAP)})
+    # One window a template: primary rows are numbered in input order, and the first, the last and the last of each end are looked up.
+    whole = Window.partitionBy("src", "qname")
+    rows = rows.withColumn("_k", F.when(F.col("_primary"), F.sum(F.col("_primary").cast("long")).over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))
+    one = F.struct(F.col("_k").alias("k"), "rid", "pos", "flag", "mapq", "cigar", F.col("_score").alias("score"), F.col("_end").alias("end"), F.col("_off").alias("off"))
+    among = lambda cond: F.max(F.when(F.col("_primary") & cond, one)).over(whole)
+    rows = rows.withColumns({"_n": F.max("_k").over(whole), "_first": among(F.col("_k") == 1), "_last": among(F.lit(True)), "_one": among(~C.has(flag, C.READ2)), "_two": among(C.has(flag, C.READ2))})
+    extra = C.has(flag, C.SUPPLEMENTARY) & C.has(flag, C.PAIRED) & (F.col("_n") >= 2)
+    second = C.has(flag, C.READ2)
+    source = F.when(F.col("_k") == 1, F.col("_last")).when(F.col("_k") > 1, F.col("_first")).when(extra & second, F.col("_one")).when(extra, F.col("_two"))
+    rows = rows.withColumns({"_m": source, "_own": F.when(second, F.col("_two")).otherwise(F.col("_one")), "_pair": F.col("_primary") & (F.col("_n") >= 2)}).withColumn("_told", F.col("_pair") | extra & F.col("_m").isNotNull())
+    pair, told, off, moff = F.col("_pair"), F.col("_told"), F.col("_off"), F.col("_m.off")
+    five = lambda f, start, end: F.when(C.has(f, C.REVERSE), end).otherwise(start)
+    mine, theirs = five(flag, F.col("pos"), F.col("_end")), five(F.col("_m.flag"), F.col("_m.pos"), F.col("_m.end"))
+    same = pair & ~off & ~moff & (F.col("rid") == F.col("_m.rid"))
+    back, mback = C.has(flag, C.REVERSE), C.has(F.col("_m.flag"), C.REVERSE)
+    left, right = F.when(back, theirs).otherwise(F.col("pos")), F.when(back, F.col("_end")).otherwise(theirs)
+    rows = rows.withColumn("_face", same & (back != mback) & (left < right))
+    others = lambda what: F.max(F.when(F.col("_k") > 1, what.cast("int"))).over(whole) == 1
+    rows = rows.withColumns({"_away": F.when(F.col("_k") == 1, others(~F.col("_face"))).otherwise(~F.col("_face")), "_gone": F.when(F.col("_k") == 1, others(off)).otherwise(moff)})
+    # An unmapped row stands where its mapped mate stands; a supplementary row's unmapped mate stands with the row's own end.
+    taken = pair & off & ~moff
+    mrid = F.when(pair & moff & ~off, F.col("rid")).when(extra & moff & ~F.col("_own.off"), F.col("_own.rid")).otherwise(F.col("_m.rid"))
+    mpos = F.when(pair & moff & ~off, F.col("pos")).when(extra & moff & ~F.col("_own.off"), F.col("_own.pos")).otherwise(F.col("_m.pos"))
     alone = F.col("_primary") & (F.col("_n") == 1)
-    new = F.when(pair, paired).when(alone, flag.bitwiseAND(F.lit(0xFFFF & ~(C.MREVERSE | C.PROPER)))).otherwise(flag)
-    some = lambda c: F.when(pair, c)
-    return rows.select(
-        "src", "ord", "qname", new.cast("long").alias("flag"), rid.alias("rid"), pos.alias("pos"), F.when(pair, mrid).when(alone, -1).otherwise(F.col("mrid")).cast("long").alias("mrid"),
-        F.when(pair, mpos).when(alone, -1).otherwise(F.col("mpos")).cast("long").alias("mpos"), tlen.cast("long").alias("tlen"), some(F.when(~moff, F.col("_mmapq"))).cast("long").alias("mq"),
-        some(F.when(~off | ~moff, F.col("_mcigar"))).alias("mc"), (some(F.col("_m_score")) if add_score else F.lit(None)).cast("long").alias("ms"),
+    new = flag.bitwiseAND(F.lit(0xFFFF & ~C.MREVERSE)).bitwiseOR(F.when(mback, C.MREVERSE).otherwise(0)).bitwiseOR(F.when(F.col("_gone"), C.MUNMAP).otherwise(0))
+    new = new.bitwiseOR(F.when(pair, C.PAIRED).otherwise(0)).bitwiseAND(F.when(pair & F.lit(check_proper) & F.col("_away"), 0xFFFF & ~C.PROPER).otherwise(0xFFFF))
+    if remove:
+        new = new.bitwiseAND(F.when(pair & F.col("_gone"), 0xFFFF & ~(C.MREVERSE | C.PROPER)).otherwise(0xFFFF))
+    new = F.when(told, new).when(alone, flag.bitwiseAND(F.lit(0xFFFF & ~(C.MREVERSE | C.PROPER)))).otherwise(flag)
+    out = rows if not remove else rows.where(~C.has(flag, C.SECONDARY | C.UNMAP))
+    keep = lambda c: F.col(c) if c in reads.columns else F.lit(None)
+    return out.select(
+        "src", "ord", "qname", new.cast("long").alias("flag"), F.when(taken, F.col("_m.rid")).otherwise(F.col("rid")).alias("rid"), F.when(taken, F.col("_m.pos")).otherwise(F.col("pos")).alias("pos"),
+        F.when(told, mrid).when(alone, -1).otherwise(F.col("mrid")).cast("long").alias("mrid"), F.when(told, mpos).when(alone, -1).otherwise(F.col("mpos")).cast("long").alias("mpos"),
+        F.when(pair, F.when(same, theirs - mine).otherwise(0)).when(extra, F.coalesce(keep("tlen").cast("long"), F.lit(0))).otherwise(0).cast("long").alias("tlen"), F.when(told & ~moff, F.col("_m.mapq")).cast("long").alias("mq"),
+        F.when(told & (~off | ~moff), F.col("_m.cigar")).alias("mc"), (F.when(pair, F.col("_m.score")) if add_score else F.lit(None)).cast("long").alias("ms"),
     )
 
 

@@ -252,3 +252,22 @@ def test_bam_there_and_back(spark, tmp_path, alignments):
     long = dict(again.where("ord = 0").first().asDict(recursive=True), cigar="1M1I" * 40_000, seq="AC" * 40_000, qual=None)
     back = bam._record(bam.encode(long)[4:])
     assert back[5] == long["cigar"] and back[9] == long["seq"] and b"".join(bam.blocks(bam.packed(b"x" * 200_000))) == b"x" * 200_000
+
+
+def test_mates_of_larger_templates(spark):
+    """Three primary rows, supplementary rows of both ends, an unmapped mate, an orphan, two that do not face each other."""
+    rows = [
+        ("m", 67, 0, 100, 40, "10M"), ("m", 131, 0, 200, 41, "10M"), ("m", 145, 0, 300, 42, "10M"), ("m", 2113, 0, 510, 30, "5M5S"), ("m", 2177, 1, 7, 31, "10M"),
+        ("u", 73, 0, 400, 60, "10M"), ("u", 133, -1, -1, 0, "*"), ("o", 99, 0, 500, 60, "10M"), ("s", 99, 0, 600, 60, "8M2S"), ("s", 147, 0, 700, 50, "2S8M"), ("s", 355, 0, 610, 1, "10M"),
+    ]
+    reads = spark.createDataFrame([(0, i, q, f, r, p, m, c, 9, 9, 0, "A" * 10, chr(33 + 20 + i) * 10) for i, (q, f, r, p, m, c) in enumerate(rows)], "src long, ord long, qname string, flag long, rid long, pos long, mapq long, cigar string, mrid long, mpos long, tlen long, seq string, qual string")
+    got = {r.ord: (r.flag, r.rid, r.pos, r.mrid, r.mpos, r.tlen, r.mq, r.mc, r.ms) for r in mates.fixmate(reads).collect()}
+    # The first of three keeps what the last gives it; the pair with the second, on one strand, has taken its proper bit.
+    assert got[0] == (65 | 32, 0, 100, 0, 300, 210, 42, "10M", 220)
+    assert got[1] == (129, 0, 200, 0, 100, -100, 40, "10M", 200) and got[2] == (145, 0, 300, 0, 100, -210, 40, "10M", 200)
+    assert got[3][3:] == (0, 300, 0, 42, "10M", None) and got[3][0] == 2113 | 32 and got[4][3:] == (0, 100, 0, 40, "10M", None)
+    assert got[5] == (73, 0, 400, 0, 400, 0, None, "*", 260) and got[6] == (133, 0, 400, 0, 400, 0, 60, "10M", 250)
+    assert got[7] == (65, 0, 500, -1, -1, 0, None, None, None) and got[10][:5] == (355, 0, 610, 9, 9)
+    assert got[8] == (99, 0, 600, 0, 700, 108, 50, "2S8M", 290) and got[9] == (147, 0, 700, 0, 600, -108, 60, "8M2S", 280)
+    left = {r.ord: r.flag for r in mates.fixmate(reads, remove=True).collect()}
+    assert set(left) == {0, 1, 2, 3, 4, 5, 7, 8, 9} and left[5] == 73
