@@ -206,9 +206,24 @@ def bedcov(reads: DataFrame, regions: DataFrame, rule: ReadFilter = DEFAULT, ski
     return result.join(counted, "line", "left").withColumn("bases", F.coalesce("bases", zero))
 
 
-def samples(reads: DataFrame) -> DataFrame:
-    """src, sample: distinct values of a tag in each input, . where there is none."""
-    return reads.select("src", F.coalesce("rg", F.lit(".")).alias("sample")).distinct()
+def samples(reads: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """src, sample: distinct read groups in each input, or with groups(rg, sample) their samples; . where there is none."""
+    if groups is None:
+        return reads.select("src", F.coalesce("rg", F.lit(".")).alias("sample")).distinct()
+    used = reads.select("src", "rg").distinct()
+    return used.join(groups.select("rg", "sample"), "rg", "left").select("src", F.coalesce("sample", F.lit(".")).alias("sample")).distinct()
+
+
+def matching_dictionary(references: DataFrame, known: DataFrame) -> DataFrame:
+    """name of each of known(label, name, length, rid) whose whole dictionary is that of references, the last label first."""
+    own = references.agg(F.array_sort(F.collect_list(F.struct("rid", "name", "length"))).alias("d"))  # a header: as many entries as there are references
+    theirs = known.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rid", "name", "length"))).alias("d"))
+    return theirs.join(own, "d").select("label").orderBy(F.desc("label"))
+
+
+def flagstat_json(counts: DataFrame) -> DataFrame:
+    """json: the counters of passed and failed reads as one object."""
+    return counts.groupBy().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct(*[c for c in counts.columns if c != "category"])))))).alias("json"))
 
 
 MODULUS = 2**31 - 1

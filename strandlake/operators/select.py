@@ -21,6 +21,8 @@ class ReadFilter:
     exclude_all: int = 0
     min_mapq: int = 0
     min_query_length: int = 0
+    #: Only reads of just so many bases, where given.
+    exact_length: int | None = None
     #: Whether the value 255 counts as missing: 255 for mapped rows and 0 for unmapped ones.
     missing_mapq: bool = False
 
@@ -38,6 +40,8 @@ class ReadFilter:
         if self.min_mapq:
             mapq = F.when((F.col("mapq") == 255) & C.has(flag, C.UNMAP), 0).otherwise(F.col("mapq")) if self.missing_mapq else F.col("mapq")
             out &= mapq >= self.min_mapq
+        if self.exact_length is not None:
+            out &= F.length("seq") == self.exact_length
         if self.min_query_length:
             out &= C.query_length(F.col("cigar")) >= self.min_query_length
         return out

@@ -1,12 +1,15 @@
 """Text formats, headers, sequences and the operators on them, by small inputs whose results are worked out by hand."""
 
+import struct
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import columns as C
 from strandlake.functions import sql
 from strandlake.operators import mates, reference, reports, select
-from strandlake.sources import bam, sam, sequences
+from strandlake.sources import bam, cram, sam, sequences
 from strandlake.streaming import events as streams
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
@@ -271,3 +274,43 @@ def test_mates_of_larger_templates(spark):
     assert got[8] == (99, 0, 600, 0, 700, 108, 50, "2S8M", 290) and got[9] == (147, 0, 700, 0, 600, -108, 60, "8M2S", 280)
     left = {r.ord: r.flag for r in mates.fixmate(reads, remove=True).collect()}
     assert set(left) == {0, 1, 2, 3, 4, 5, 7, 8, 9} and left[5] == 73
+
+
+def test_sizes_of_blocks(spark, tmp_path):
+    def number(n):
+        n &= 0xFFFFFFFF
+        return bytes([n]) if n < 0x80 else bytes([0x80 | n >> 8, n & 255]) if n < 0x4000 else bytes([0xF0 | n >> 28, n >> 20 & 255, n >> 12 & 255, n >> 4 & 255, n & 15])
+
+    for n in (0, 127, 128, 16383, 2**31 - 1, -1):
+        assert cram.itf8(number(n), 0) == (n, len(number(n)))
+    assert cram.ltf8(b"\xff" + (2**60).to_bytes(8, "big"), 0) == (2**60, 9) and cram.ltf8(b"\x81\x02", 0) == (258, 2)
+
+    def sealed(x):
+        return x + struct.pack("<I", zlib.crc32(x))
+
+    def block(method, kind, content, packed, unpacked):
+        return sealed(bytes([method, kind]) + number(content) + number(len(packed)) + number(unpacked) + packed)
+
+    def container(*inner):
+        body = b"".join(inner)
+        head = struct.pack("<i", len(body)) + number(-1) + number(1) + number(200) + number(3) + b"\0" + b"\0" + number(len(inner)) + number(1) + number(0)
+        return sealed(head) + body
+
+    data = b"CRAM\3\0" + b"n" * 20 + container(block(0, 0, 0, b"head", 4)) + container(block(1, 1, 0, b"x" * 300, 900), block(4, 4, 11, b"y" * 20, 100)) + container(block(4, 4, 11, b"z" * 5, 50))
+    (tmp_path / "x.cram").write_bytes(data)
+    got = sorted(map(tuple, cram.cram_size(spark, f"file://{tmp_path}/x.cram").collect()))
+    assert got == [("compression header", 0, "gzip", 1, 300, 900), ("external data", 11, "rans4x8", 2, 25, 150), ("file header", 0, "raw", 1, 4, 4)]
+    for bad in (data[:-3], data[:40] + b"?" + data[41:], b"CRAM\x09" + data[5:]):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            list(cram.block_sizes(bad))
+
+
+def test_samples_and_dictionaries(spark, alignments):
+    reads, header = alignments
+    groups = spark.createDataFrame([("g1", "s1")], "rg string, sample string")
+    assert {r.sample for r in reports.samples(reads, groups).collect()} == {"s1", "."}
+    refs = sam.references_frame(spark, header)
+    known = refs.withColumn("label", F.lit("a.fa")).unionByName(refs.withColumn("label", F.lit("b.fa"))).unionByName(refs.limit(1).withColumn("label", F.lit("c.fa")))
+    assert [r.label for r in reports.matching_dictionary(refs, known).collect()] == ["b.fa", "a.fa"]
+    assert '"fail":{"total":0' in reports.flagstat_json(reports.flagstat(reads)).first().json
+    assert select.view(reads, select.ReadFilter(exact_length=7)).count() == 1 and select.of_sample(reads, groups, "s1").count() == 2
