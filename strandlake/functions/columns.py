@@ -188,3 +188,9 @@ def general(value: Column, digits: int = 6) -> Column:
         fixed = F.when(power == digits - 1 - k, F.format_string(f"%.{k}f", value)).otherwise(fixed)
     scientific = F.concat(short(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
     return F.when(value == 0, "0").when((power < -4) | (power >= digits), scientific).otherwise(short(fixed))
+
+
+def little_endian(value: Column, size: int) -> Column:
+    """The lowest size bytes of a whole number, the least first."""
+    digits = F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * size))
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), ""))

@@ -237,26 +237,55 @@ def product_fold(values: Column) -> Column:
     return F.aggregate(F.collect_list(F.when((v == 0) | (v == MODULUS), 1).otherwise(v).cast("long")), F.lit(1).cast("long"), lambda a, x: a * x % MODULUS)
 
 
-def checksum(reads: DataFrame, value: Column | None = None, rule: ReadFilter = ReadFilter(exclude_any=0x900), mask: int = 0xC1, places: bool = False, passed: bool = False) -> DataFrame:
+#: Tags summed by default and letters of CIGAR operations by code (fixed values).
+SUMMED_TAGS, OP_CODES = ("BC", "FI", "QT", "RT", "TC"), "MIDNSHP=X"
+
+
+def tag_bytes(tags: Column, names: tuple[str, ...]) -> Column:
+    """The named tags a row has, in the order of names: name, type, value, whole numbers in the shortest type that holds them. Texts and whole numbers only."""
+
+    def one(name: str) -> Column:
+        tag = F.try_element_at(tags, F.lit(name))
+        kind, text = tag["t"], tag["v"]
+        n = text.try_cast("long")
+        ranges = (("C", 1, n.between(0, 255)), ("S", 2, n.between(0, 65535)), ("I", 4, n >= 0), ("c", 1, n >= -128), ("s", 2, n >= -32768))
+        short = F.concat(F.encode(F.lit("i"), "UTF-8"), C.little_endian(n, 4))
+        for letter, size, fits in reversed(ranges):
+            short = F.when(fits, F.concat(F.encode(F.lit(letter), "UTF-8"), C.little_endian(n, size))).otherwise(short)
+        end = F.when(kind.isin("Z", "H"), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+        value = F.when(kind.isin("c", "C", "s", "S", "i", "I"), short).when(kind.isin("Z", "H", "A"), F.concat(F.encode(kind, "UTF-8"), F.encode(text, "UTF-8"), end)).otherwise(F.raise_error(F.lit("only texts and whole numbers are summed")).cast("binary"))
+        return F.when(tag.isNull(), F.unhex(F.lit(""))).otherwise(F.concat(F.encode(F.lit(name), "UTF-8"), value))
+
+    return F.concat(*[one(n) for n in names])
+
+
+def checksum(
+    reads: DataFrame, value: Column | None = None, rule: ReadFilter = ReadFilter(exclude_any=0x900), mask: int = 0xC1, places: bool = False, passed: bool = False, tags: tuple[str, ...] | None = None, ordered: bool = False
+) -> DataFrame:
     """group, count, seq, name, qual: CRC-32 of each row on its own strand, folded by products, for all rows and each read group.
 
-    places: columns pos, cigar and mate too, over our own text of these fields; passed: rows for passed (qc) and failed reads. Tags are not summed, see the README.
+    places: columns pos, cigar (with the mapping quality) and mate too; tags: a column aux over the named tags of the column tags; passed: rows for passed (qc) and failed
+    reads; ordered: each sum is joined with the row's index ord in its input, so that another order gives another result. An absent quality is a blank for each base.
     value replaces the CRCs, for engines that have none. Products are folded in levels of about FAN_IN rows, as many as the input needs, so no list grows with it.
     """
     strand = C.has(F.col("flag"), C.REVERSE)
     seq = F.when(strand, C.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    qual = F.when(strand, F.reverse("qual")).otherwise(F.col("qual"))
+    blank = F.repeat(F.lit(" "), F.coalesce(F.length("seq"), F.lit(0)))
+    qual = F.coalesce(F.when(strand, F.reverse("qual")).otherwise(F.col("qual")), blank)
     head = F.unhex(F.lpad(F.hex(F.col("flag").bitwiseAND(F.lit(mask))), 2, "0"))
     text = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
+    number = C.little_endian
     kinds = {"seq": F.concat(head, text(seq)), "name": F.concat(text(F.col("qname")), F.unhex(F.lit("00")), head, text(seq)), "qual": F.concat(head, text(seq), text(qual))}
-    extra = {}
+    if tags is not None:
+        kinds["aux"] = F.concat(kinds["seq"], tag_bytes(F.col("tags"), tags))
     if places:
-        # Further columns continue the first one: place, place with CIGAR and quality, and the mate's place.
-        mate = F.concat_ws(":", "mrid", "mpos", "tlen")
-        extra = {"pos": F.concat(kinds["seq"], text(F.concat_ws(":", "rid", "pos"))), "cigar": F.concat(kinds["seq"], text(F.concat_ws(":", "cigar", "mapq"))), "mate": F.concat(kinds["seq"], text(mate))}
-    kinds |= extra
+        kinds["pos"] = F.concat(kinds["seq"], number(F.col("rid"), 4), number(F.col("pos"), 8))
+        words = F.transform(C.cigar_ops(F.col("cigar")), lambda o: F.hex(number(o["n"] * 16 + F.instr(F.lit(OP_CODES), o["op"]) - 1, 4)))
+        kinds["cigar"] = F.concat(kinds["seq"], number(F.col("mapq"), 4), F.unhex(F.array_join(words, "")))
+        kinds["mate"] = F.concat(kinds["seq"], number(F.col("mrid"), 4), number(F.col("mpos"), 8), number(F.col("tlen"), 8))
     accepted = reads.where(rule.condition())
-    columns = [(F.crc32(b) if value is None else value).alias(k) for k, b in kinds.items()]
+    mixed = lambda v: v.bitwiseXOR(F.crc32(number(F.col("ord"), 8))) if ordered else v
+    columns = [mixed(F.crc32(b) if value is None else value).alias(k) for k, b in kinds.items()]
     parts = max(1, -(-accepted.count() // FAN_IN))
     which = F.when(C.has(F.col("flag"), C.QCFAIL), "fail").otherwise("pass")
     rows = accepted.select("rg", *([which.alias("qc")] if passed else []), F.pmod(F.xxhash64("src", "ord"), F.lit(parts)).alias("part"), F.lit(1).cast("long").alias("count"), *columns)

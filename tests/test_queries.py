@@ -1,5 +1,7 @@
 """Every registered alignment query against its SQL, and the parts that SQL cannot state against plain Python."""
 
+import re
+import struct
 import zlib
 
 import compare
@@ -24,22 +26,39 @@ def test_query_equals_sql(spark, con, name):
     assert compare.difference(Q.QUERIES[name](spark, SMALL), con, Q.ORACLE_SQL[name]) is None
 
 
+def folded(rows, kinds):
+    out = {}
+    for group, values in rows:
+        row = out.setdefault(group, [0] + [1] * len(kinds))
+        row[0] += 1
+        for i, data in enumerate(values, 1):
+            v = (data if isinstance(data, int) else zlib.crc32(data)) & 0x7FFFFFFF
+            row[i] = row[i] * (v if v not in (0, 0x7FFFFFFF) else 1) % 0x7FFFFFFF
+    return out
+
+
 def test_checksum_equals_crc32(spark):
-    r = reads(spark, SMALL)
+    tag = "map('BC', struct('Z' AS t, qname AS v), 'FI', struct('i' AS t, cast(pos - 200 AS string) AS v), 'XX', struct('f' AS t, '1' AS v))"
+    r = reads(spark, SMALL).withColumn("tags", F.expr(tag))
     swap = str.maketrans("ACGTN", "TGCAN")
-    want = {}
-    for x in r.where("(flag & 2304) = 0").collect():
-        seq, qual = (x.seq[::-1].translate(swap), x.qual[::-1]) if x.flag & 16 else (x.seq, x.qual)
-        head = bytes([x.flag & 0xC1])
-        for group in (x.rg, "all"):
-            row = want.setdefault(group, [0, 1, 1, 1])
-            row[0] += 1
-            for i, data in enumerate((head + seq.encode(), x.qname.encode() + b"\0" + head + seq.encode(), head + seq.encode() + qual.encode()), 1):
-                v = zlib.crc32(data) & 0x7FFFFFFF
-                row[i] = row[i] * (v if v not in (0, 0x7FFFFFFF) else 1) % 0x7FFFFFFF
-    got = {x.group: [x["count"], x.seq, x.name, x.qual] for x in reports.checksum(r).collect()}
-    assert got == want
+    kinds = ("seq", "name", "qual", "aux", "pos", "cigar", "mate")
+
+    def sums(x):
+        seq, qual = (x.seq[::-1].translate(swap), (x.qual or " " * 50)[::-1]) if x.flag & 16 else (x.seq, x.qual or " " * 50)
+        head = bytes([x.flag & 0xC1]) + seq.encode()
+        n = x.pos - 200
+        form = next(f for f, low, high in (("B", 0, 255), ("H", 0, 65535), ("b", -128, -1), ("h", -32768, -1)) if low <= n <= high)
+        aux = b"BCZ" + x.qname.encode() + b"\0FI" + {"B": b"C", "H": b"S", "b": b"c", "h": b"s"}[form] + struct.pack("<" + form, n)
+        ops = b"".join(struct.pack("<I", int(k) << 4 | "MIDNSHP=X".index(o)) for k, o in re.findall("([0-9]+)([MIDNSHP=X])", x.cigar))
+        return [head, x.qname.encode() + b"\0" + head, head + qual.encode(), head + aux, head + struct.pack("<iq", x.rid, x.pos), head + struct.pack("<I", x.mapq) + ops, head + struct.pack("<iqq", x.mrid, x.mpos, x.tlen)]
+
+    rows = r.where("(flag & 2304) = 0").collect()
+    want = folded([(g, sums(x)) for x in rows for g in (x.rg or "-", "all")], kinds)
+    report = reports.checksum(r, places=True, tags=reports.SUMMED_TAGS)
+    assert {x.group: [x["count"], *(x[k] for k in kinds)] for x in report.collect()} == want
     assert {x.group: x.seq for x in reports.checksum(r.repartition(7, "seq")).collect()} == {k: v[1] for k, v in want.items()}
+    order = folded([("all", [zlib.crc32(b) ^ zlib.crc32(struct.pack("<q", x.ord)) for b in sums(x)[:3]]) for x in rows], kinds[:3])
+    assert [tuple(x) for x in reports.checksum(r, ordered=True).where("group = 'all'").collect()] == [("all", *order["all"])]
 
 
 def test_split_parts_is_a_cover_and_seeded(spark):
