@@ -1,13 +1,18 @@
-"""Benchmark decontamination: every benchmark item that a document holds, found by pieces that must be whole, and the exact edit distance.
+"""Benchmark decontamination: random-walk embeddings of item-sized windows, met by sampled positions, then the exact edit distance.
 
-A document holds an item of W words if some run of its words is within e = floor(EDITS x W) word edits of it. Of e + 1 disjoint
-pieces of the item at least one is then unchanged in the run, so the e + 1 pieces that fewest items share are looked up at every
-place of a text; each find gives the only stretch where the run can lie, and a run there also shares at least W - q + 1 - q x e
-of the item's q-word grams. Stretches with that many grams are decided by the exact distance. Neither step loses a match,
-wherever the edits are and whatever stands around the passage. Pieces and grams have GRAM words, in items of less than SMALL words one.
+A document holds an item of W words if some run of its words is within e = floor(EDITS x W) word edits of it. The walk of
+Chakraborty, Goldenberg and Koucky writes a word at each step and then moves on or stays, by a random bit of the word and the
+step; words that two texts share in order bring their walks together again after an edit, so a small edit distance becomes a small
+Hamming distance. Of each of WALKS walks, SAMPLES times BITS positions are taken together as a bucket; a window that shares a bucket with an item
+is decided by the exact distance. Samples are few bits and many, for walks that agree in two steps of five.
+
+Windows are opened at every place of a stretch where a match can lie (every e / 32 words for long items). A bound that loses
+nothing says where that is: of e + 1 disjoint pieces of the item at least one is unchanged in the run, so the e + 1 pieces that fewest
+items share are looked up at every place of a text; each find gives the only stretch where the run can lie, and a run there also shares at least W - q + 1 - q x e
+of the item's q-word grams. So recall is that of the buckets alone, wherever the edits are and whatever stands around the passage. Pieces and grams have GRAM words, in items of less than SMALL words one.
 
 Defined cases: null, empty and wordless texts and items match nothing; null doc ids stay; repeated rows give repeated matches
-once each (rows are told apart by nothing but doc_id); empty tables give no rows; texts of any length are read whole; other columns are ignored.
+once each (rows are told apart by nothing but doc_id); empty tables give no rows; texts and items of any length are read whole; other columns are ignored.
 Benchmarks of any size are taken in blocks of ITEMS items, each broadcast by itself.
 """
 
@@ -26,6 +31,10 @@ EDITS, GRAM, SMALL = 0.2, 3, 6
 #: Most items broadcast together, and most rows of finds that are held at a time.
 ITEMS, FINDS = 20_000, 1 << 20
 MAP_BITS = 22
+#: Walks, samples of each, and positions of a sample: what recall needs at the full bound of edits.
+WALKS, SAMPLES, BITS = 16, 8, 2
+#: Windows are opened this often within the edits allowed.
+STARTS = 32
 
 
 def edits_allowed(words: int) -> int:
@@ -65,6 +74,37 @@ def slices(sizes: np.ndarray) -> Iterator[slice]:
         at = end
 
 
+def sampled_steps(words: int) -> np.ndarray:
+    """(walk, sample, bit): the steps whose words make the buckets of items of so many words; walks reach an item's end after twice its words, on average."""
+    return np.random.default_rng(words).integers(0, max(2, words * 3 // 2), (WALKS, SAMPLES, BITS))
+
+
+def buckets(windows: np.ndarray) -> np.ndarray:
+    """(window, walk, sample): the buckets of windows of one length, whose words are rows of hashes, 0 where a text has ended."""
+    n, size = windows.shape
+    steps = sampled_steps(size)
+    wanted, place = np.unique(steps, return_inverse=True)
+    place = place.reshape(steps.shape)
+    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1)
+    at, row = np.zeros((n, WALKS), np.int64), np.arange(n)[:, None]
+    salt = mix(np.arange(1, WALKS + 1, dtype=np.uint64) * PLACE[30])
+    seen = np.empty((len(wanted), n, WALKS), np.uint64)
+    k = 0
+    for step in range(int(wanted[-1]) + 1):
+        word = padded[row, at]
+        if wanted[k] == step:
+            seen[k] = word
+            k += 1
+        # Each 64 steps a word has new bits in each walk.
+        bits = mix(word ^ salt ^ (np.uint64(step // 64 + 1) * PLACE[31]))
+        at = np.minimum(at + ((bits >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64), size)
+    out = np.zeros((n, WALKS, SAMPLES), np.uint64)
+    for w in range(WALKS):
+        for b in range(BITS):
+            out[:, w] += seen[place[w, :, b], :, w].T * PLACE[32 + b]
+    return mix(out)
+
+
 class Index:
     """Items by grams of one size."""
 
@@ -74,6 +114,13 @@ class Index:
         self.edits = np.array([edits_allowed(n) for n in self.words])
         #: Least number of an item's grams in a run that matches it.
         self.least = self.words - size + 1 - size * self.edits
+        #: The buckets of each item; items of one length walk together.
+        self.buckets = np.empty((len(items), WALKS, SAMPLES), np.uint64)
+        for n in np.unique(self.words):
+            same = np.flatnonzero(self.words == n)
+            for i in range(0, len(same), 256):
+                part = same[i : i + 256]
+                self.buckets[part] = buckets(np.stack([items[j][1] for j in part]))
         grams = [grams_of(w, size) for _, w in items]
         owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         self.owned = np.unique(self.pair(np.concatenate(grams), owner))
@@ -141,6 +188,17 @@ class Index:
                 yield int(owner[x]), int(item[x]), int(a[x]), int(b[x])
 
 
+    def meets(self, item: int, words: np.ndarray) -> bool:
+        """Whether a window of the stretch of words shares a bucket with the item."""
+        size, edits = int(self.words[item]), int(self.edits[item])
+        starts = np.arange(0, max(1, len(words) - (size - edits) + 1), max(1, edits // STARTS))
+        padded = np.concatenate([words, np.zeros(size, np.uint64)])
+        for i in range(0, len(starts), 256):
+            if (buckets(padded[starts[i : i + 256, None] + np.arange(size)]) == self.buckets[item]).any():
+                return True
+        return False
+
+
 def index(items: list[tuple[int, str]]) -> list[Index]:
     hasher = WordHasher()
     sized: dict[int, list] = {}
@@ -160,6 +218,8 @@ def matches(hasher: WordHasher, indexes: list[Index], data: np.ndarray, offsets:
     for x in indexes:
         for text, i, a, b in x.stretches(words, first):
             item, item_words = x.items[i]
+            if not x.meets(i, words[a:b]):
+                continue
             edits, end = infix_edits(item_words, words[a:b])
             if edits <= x.edits[i] and edits < best.get((text, item), (1 << 30,))[0]:
                 # The end is the first of that distance, so the run back from it is the one that ends there.

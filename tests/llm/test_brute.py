@@ -351,3 +351,40 @@ def test_stages_on_empty_tables_and_texts(spark, tmp_path, rows):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     packed = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id for r in packed), key=str) == sorted((r[0] for r in rows), key=str) and all(r.start == 0 and r.length == r.doc_tokens for r in packed)
+
+
+def edited(rng, words, n, kind):
+    w, new = list(words), lambda: f"x{rng.randrange(10**9)}"
+    if kind == "head replaced":
+        return [new() for _ in range(n)] + w[n:]
+    if kind == "tail replaced":
+        return w[: len(w) - n] + [new() for _ in range(n)]
+    if kind == "head dropped":
+        return w[n:]
+    for _ in range(n):
+        i = rng.randrange(len(w))
+        w[i : i + 1] = {"replaced": [new()], "dropped": [], "inserted": [new(), w[i]]}[kind]
+    return w
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_walks(share):
+    """Items of 10 to 80 words with that share of edits, by kind: at least 0.95 of them share a bucket and are found, by the class that op7 uses."""
+    rng = random.Random(int(share * 100))
+    for kind in ("head replaced", "head dropped", "tail replaced", "replaced", "dropped", "inserted"):
+        items = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(10, 81))] for _ in range(60)]
+        around = lambda: [f"p{rng.randrange(10**9)}" for _ in range(rng.randrange(40))]
+        texts = [" ".join(around() + edited(rng, w, int(share * len(w) + 1e-9), kind) + around()).encode() for w in items]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = {(t, i) for t, i, *_ in decontaminate.matches(WordHasher(), decontaminate.index([(k, " ".join(w)) for k, w in enumerate(items)]), np.frombuffer(b"".join(texts), np.uint8), offsets)}
+        assert sum((k, k) in got for k in range(60)) >= 0.95 * 60, kind
+        assert all(t == i for t, i in got)
+
+
+def test_walks_meet_at_equal_words_and_part_at_others():
+    rng = np.random.default_rng(4)
+    item = rng.integers(1, 2**63, 50, dtype=np.uint64)
+    own = decontaminate.buckets(np.stack([item, item, rng.integers(1, 2**63, 50, dtype=np.uint64)]))
+    assert (own[0] == own[1]).all() and not (own[0] == own[2]).any()
+    for size in (1, 2, 5, 300):
+        assert decontaminate.buckets(rng.integers(1, 2**63, (3, size), dtype=np.uint64)).shape == (3, decontaminate.WALKS, decontaminate.SAMPLES)
