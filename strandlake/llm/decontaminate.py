@@ -88,6 +88,7 @@ def buckets(windows: np.ndarray) -> np.ndarray:
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1)
     at, row = np.zeros((n, WALKS), np.int64), np.arange(n)[:, None]
     salt = mix(np.arange(1, WALKS + 1, dtype=np.uint64) * PLACE[30])
+    turns = np.arange(1, int(wanted[-1]) // 64 + 2, dtype=np.uint64) * PLACE[31]
     seen = np.empty((len(wanted), n, WALKS), np.uint64)
     k = 0
     for step in range(int(wanted[-1]) + 1):
@@ -96,7 +97,7 @@ def buckets(windows: np.ndarray) -> np.ndarray:
             seen[k] = word
             k += 1
         # Each 64 steps a word has new bits in each walk.
-        bits = mix(word ^ salt ^ (np.uint64(step // 64 + 1) * PLACE[31]))
+        bits = mix(word ^ salt ^ turns[step // 64])
         at = np.minimum(at + ((bits >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64), size)
     out = np.zeros((n, WALKS, SAMPLES), np.uint64)
     for w in range(WALKS):
