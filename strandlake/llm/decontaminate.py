@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.bits import without
+from strandlake.llm.stage import staged
 from strandlake.llm.text import PLACE, WordHasher, blocks, lean, mix, texts_of, words_by_text
 
 EDITS, GRAM, SMALL = 0.2, 3, 6
@@ -193,6 +195,8 @@ class Index:
         """Whether a window of the stretch of words shares a bucket with the item."""
         size, edits = int(self.words[item]), int(self.edits[item])
         starts = np.arange(0, max(1, len(words) - (size - edits) + 1), max(1, edits // STARTS))
+        if edits // STARTS > 1:  # an unchanged passage is always met
+            starts = np.union1d(starts, np.flatnonzero(words == self.items[item][1][0]))
         padded = np.concatenate([words, np.zeros(size, np.uint64)])
         for i in range(0, len(starts), 256):
             if (buckets(padded[starts[i : i + 256, None] + np.arange(size)]) == self.buckets[item]).any():
@@ -246,8 +250,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns. A null id is an id like others here."""
-    found = find_leaks(docs, benchmark, id_column, text).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col(id_column).cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    found = staged(find_leaks(docs, benchmark, id_column, text).select(F.col("doc_id").alias("_leaked_id")).distinct(), "leaks")
+    return without(docs.withColumn("_leaked_id", F.col(id_column).cast("long")), found, "_leaked_id").select(*docs.columns)
 
 
 def _search(docs: DataFrame, table) -> DataFrame:
