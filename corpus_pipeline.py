@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, jaccard, packing, quality, secrets
+from strandlake.llm.bits import without
 from strandlake.llm.stage import staged
 
 
@@ -30,8 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     groups = jaccard.jaccard_components(keyed.select("_row", "text"), k=5, similarity="0.8", id_column="_row")
-    ranked = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")).alias("first"))
-    return keyed.join(ranked.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")
+    ranked = groups.join(keyed.select("_row", "doc_id"), "_row").select("component_id", "_row", order.alias("order"))
+    first = ranked.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = staged(ranked.join(first, "component_id").where("_row <> first._row").select("_row"), "copies")
+    return without(keyed, gone, "_row").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
