@@ -326,9 +326,11 @@ def combined_checksum(report: DataFrame) -> DataFrame:
     return report.withColumn("combined", F.aggregate(F.array(*[one(p) for p in parts]), F.lit(1).cast("long"), lambda a, x: a * x % MODULUS))
 
 
-def stats(reads: DataFrame, max_insert: int = 8000) -> DataFrame:
+def stats(reads: DataFrame, max_insert: int = 8000, once: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """section, key, value of the statistics report, in counts.
 
+    once: bases under both mates count once in COV; targets: COV counts positions in these regions only.
+
     SN: summary numbers; FFQ, LFQ: qualities by cycle of first and last fragments (cycle:quality, 255 where there is none); GCF, GCL:
     how many of each end have each GC content (bases of length); FBC, LBC: bases by cycle (cycle:base); IS: insert sizes by orientation (size:in, out
     or other), each pair once; RL, FRL, LRL: lengths with hard clips; MAPQ; ID: indel lengths (I or D:length); IC: indels by cycle (cycle:I or D); COV: how many
@@ -389,11 +391,47 @@ def stats(reads: DataFrame, max_insert: int = 8000) -> DataFrame:
     cycle = F.when(on(C.REVERSE), C.query_length(F.col("cigar")) - F.col("qoff") - F.when(F.col("op") == "I", F.col("n")).otherwise(0)).otherwise(F.col("qoff")) + F.when(F.col("op") == "I", 1).otherwise(0)
     indels = gaps.select(F.inline(F.array(F.struct(F.lit("ID").alias("section"), F.concat_ws(":", "op", "n").alias("key")), F.struct(F.lit("IC").alias("section"), F.concat_ws(":", cycle, "op").alias("key")))))
     out = out.unionByName(indels.groupBy("section", "key").agg(F.count("*").alias("value")))
-    marks = aligned_runs(placed).select("rid", "start", "end", F.lit(1).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
+    runs = aligned_runs(_after_mate(placed)).withColumn("start", F.greatest("start", F.coalesce("_from", "start"))) if once else aligned_runs(placed)
+    marks = runs.select("rid", "start", "end", F.lit(1).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
     swept = _swept(marks, ["rid"]).where("depth > 0 and q is not null")
+    if targets is not None:
+        inside = coalesced(targets).withColumn("line", F.monotonically_increasing_id())
+        swept = range_join(swept.withColumnsRenamed({"p": "pos", "q": "end"}), inside).select("rid", F.greatest("pos", "r_start").alias("p"), F.least("end", "r_end").alias("q"), "depth")
     return out.unionByName(swept.groupBy(F.col("depth").cast("string").alias("key")).agg(F.sum(F.col("q") - F.col("p")).alias("value")).select(F.lit("COV").alias("section"), "key", "value"))
 
 
+def read_sums(reads: DataFrame) -> DataFrame:
+    """names, sequences, qualities: CRC-32 of each row's name, its bases in four bits each and its qualities (255 for each base where there are none), added up modulo 2^32."""
+    codes = F.translate(F.upper("seq"), "=ACMGRSVTWYHKDBN", "0123456789abcdef")
+    packed = F.unhex(F.concat(codes, F.when(F.length("seq") % 2 == 1, "0").otherwise("")))
+    # Qualities as bytes: their letters moved down by 33.
+    moved = F.encode(F.translate("qual", "".join(map(chr, range(33, 127))), "".join(map(chr, range(94)))), "UTF-8")
+    absent = F.unhex(F.repeat(F.lit("ff"), F.coalesce(F.length("seq"), F.lit(0))))
+    empty = F.unhex(F.lit(""))
+    total = lambda b: F.pmod(F.coalesce(F.sum(F.crc32(b)), F.lit(0)), F.lit(2**32)).cast("long")
+    return reads.agg(total(F.encode("qname", "UTF-8")).alias("names"), total(F.coalesce(packed, empty)).alias("sequences"), total(F.coalesce(moved, absent)).alias("qualities"))
+
+
+def summary_lines(report: DataFrame) -> DataFrame:
+    """key, value: the numbers that a statistics report's counts give: means, orientations, shares and the insert sizes' mean and deviation."""
+    sn = lambda key: F.sum(F.when((F.col("section") == "SN") & (F.col("key") == key), F.col("value")))
+    part = F.split("key", ":")
+    cycles = F.col("section").isin("FFQ", "LFQ") & (F.get(part, F.lit(1)) != "255")
+    facing = lambda kind: F.coalesce(F.sum(F.when((F.col("section") == "IS") & (F.get(part, F.lit(1)) == kind), F.col("value"))), F.lit(0))
+    longest = lambda section: F.coalesce(F.max(F.when(F.col("section") == section, F.col("key").try_cast("long"))), F.lit(0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    named = {
+        "average length": ratio(sn("total length"), sn("sequences")), "average first fragment length": ratio(sn("total first fragment length"), sn("1st fragments")), "average last fragment length": ratio(sn("total last fragment length"), sn("last fragments")),
+        "maximum first fragment length": longest("FRL"), "maximum last fragment length": longest("LRL"),
+        "average quality": ratio(F.sum(F.when(cycles, F.get(part, F.lit(1)).try_cast("long") * F.col("value"))), F.sum(F.when(cycles, F.col("value")))),
+        "inward oriented pairs": facing("in"), "outward oriented pairs": facing("out"), "pairs with other orientation": facing("other"), "percentage of properly paired reads (%)": ratio(sn("reads properly paired") * 100, sn("sequences")),
+    }
+    one = report.agg(*[F.round(c.cast("double"), 4).alias(k) for k, c in named.items()])
+    out = one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("value")) for k in named])))
+    sizes = insert_summary(report).select(F.inline(F.array(F.struct(F.lit("insert size average").alias("key"), F.coalesce("mean", F.lit(0.0)).alias("value")), F.struct(F.lit("insert size standard deviation").alias("key"), F.coalesce("deviation", F.lit(0.0)).alias("value")))))
+    return out.unionByName(sizes)
+
+
 def insert_summary(stats: DataFrame, bulk: float = 0.99) -> DataFrame:
     """n, end, mean, deviation of the insert sizes in a statistics report: sizes are taken in order until more than the bulk of all pairs is reached.
 
@@ -474,6 +512,12 @@ def mpileup(
 IUPAC, GAPPED = "NACMGRSVTWYHKDB", {1: "a", 2: "c", 4: "g", 8: "t"}
 
 
+def within(calls: DataFrame, regions: DataFrame) -> DataFrame:
+    """line and the columns of calls(rid, pos, ...), 1-based places, for every region that holds the place."""
+    rows = calls.withColumn("_pos", F.col("pos")).withColumn("pos", F.col("pos") - 1).withColumn("end", F.col("_pos"))
+    return range_join(rows, regions).withColumn("pos", F.col("_pos")).select("line", *calls.columns)
+
+
 def consensus(reads: DataFrame, rule: ReadFilter = DEFAULT, min_depth: int = 1, call_percent: int = 75, min_baseq: int = 0, use_quality: bool = False, ambiguous: bool = False, het_percent: int = 50) -> DataFrame:
     """rid, pos, depth, call, qual of the simple vote over A, C, G, T and the gap.
 

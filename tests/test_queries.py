@@ -61,6 +61,31 @@ def test_checksum_equals_crc32(spark):
     assert [tuple(x) for x in reports.checksum(r, ordered=True).where("group = 'all'").collect()] == [("all", *order["all"])]
 
 
+def test_read_sums_equal_crc32(spark):
+    r = reads(spark, SMALL)
+    code = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
+    want = [0, 0, 0]
+    for x in r.collect():
+        nibbles = [code[c] for c in x.seq]
+        packed = bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2], strict=True))
+        for i, data in enumerate((x.qname.encode(), packed, bytes(ord(c) - 33 for c in x.qual) if x.qual else b"\xff" * 50)):
+            want[i] = (want[i] + zlib.crc32(data)) % 2**32
+    assert list(reports.read_sums(r).first()) == want and list(reports.read_sums(r.limit(0)).first()) == [0, 0, 0]
+
+
+def test_depths_of_overlapping_mates_count_once(spark):
+    r = reads(spark, SMALL)
+    by_depth = {x.key: x.value for x in reports.stats(r, once=True).where("section = 'COV'").collect()}
+    own = reports.depth(r, select.ReadFilter(exclude_any=0x104), once=True).groupBy("rid", "pos").agg(F.sum("depth").alias("d")).where("d > 0")
+    assert by_depth == {str(x.d): x["count"] for x in own.groupBy("d").count().collect()}
+
+
+def test_calls_within_regions(spark):
+    calls = spark.createDataFrame([(0, 1, "A"), (0, 5, "C"), (1, 5, "G")], "rid long, pos long, call string")
+    regions = spark.createDataFrame([(0, 0, 0, 5), (1, 0, 4, 9), (2, 1, 0, 4)], "line long, rid long, start long, end long")
+    assert sorted(map(tuple, reports.within(calls, regions).collect())) == [(0, 0, 1, "A"), (0, 0, 5, "C"), (1, 0, 5, "C")]
+
+
 def test_split_parts_is_a_cover_and_seeded(spark):
     rows = reads(spark, SMALL).select("ord", select.split_label("parts", 4, seed=9).alias("label")).collect()
 
