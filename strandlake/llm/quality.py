@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.text import blocks, lean, texts_of
+from strandlake.llm.text import blocks, give_back, lean, texts_of
 
 WIDTH, FILTERS, STEP = 6, 12, 64
 #: A chunk is CHUNK // STEP segments; the next begins STEP bytes before it ends.
@@ -31,6 +31,8 @@ CHUNK = 512
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 1024, 1 << 23, 18, 64, 0.01
 THRESHOLD = 0.3
 BLOCK = 1 << 19
+#: Chunks whose filter values are held at a time in training.
+PART = 64
 #: A filter value below all others, for places past the end of a text.
 NONE = np.float32(-1e30)
 
@@ -73,12 +75,17 @@ class Network:
                 rows = np.concatenate([by_text[i] for i in texts])
                 local = np.repeat(np.arange(len(texts)), [len(by_text[i]) for i in texts])
                 data = chunks[rows]
-                values = np.take(self.tables[0], data[:, :CHUNK], axis=0)
-                for k in range(1, WIDTH):
-                    values += np.take(self.tables[k], data[:, k : k + CHUNK], axis=0)
-                values[np.arange(CHUNK) >= size[rows][:, None]] = NONE
-                best = values.argmax(1)
-                peak = np.take_along_axis(values, best[:, None, :], 1)[:, 0] + self.bias
+                # Filter values are made for PART chunks at a time, so that memory does not follow the longest texts.
+                best = np.empty((len(rows), FILTERS), np.int64)
+                peak = np.empty((len(rows), FILTERS), np.float32)
+                for i in range(0, len(rows), PART):
+                    some = data[i : i + PART]
+                    values = np.take(self.tables[0], some[:, :CHUNK], axis=0)
+                    for k in range(1, WIDTH):
+                        values += np.take(self.tables[k], some[:, k : k + CHUNK], axis=0)
+                    values[np.arange(CHUNK) >= size[rows[i : i + PART]][:, None]] = NONE
+                    best[i : i + PART] = values.argmax(1)
+                    peak[i : i + PART] = np.take_along_axis(values, best[i : i + PART, None, :], 1)[:, 0] + self.bias
                 active = np.maximum(peak, 0)
                 count = np.bincount(local, minlength=len(texts))
                 logit = np.bincount(local, active @ self.top + self.shift, len(texts)) / count
@@ -155,7 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
         owner.append(np.full(len(cut), i))
     label = np.array([r.quality for r in found], np.float32)
     share = np.array([counts[q] / sum(counts.values()) / (label == q).mean() for q in (0, 1)], np.float32)
-    return Network().fit(np.concatenate(parts), np.concatenate(size), np.concatenate(owner), label, share[label.astype(int)])
+    model = Network().fit(np.concatenate(parts), np.concatenate(size), np.concatenate(owner), label, share[label.astype(int)])
+    del found, parts
+    give_back()
+    return model
 
 
 def chunks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
