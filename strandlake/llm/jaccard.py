@@ -299,12 +299,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     # A document with several texts joins their sets.
     several = told.groupBy("id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("low"), F.max(F.struct("n", "set_a", "set_b")).alias("high")).where("low <> high").select("id")
     links = kept(told.join(several, "id", "left_semi").join(first, ["n", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")), "links")
-    state = None
-    if not links.isEmpty():
-        state = connected_components(links)
-        made.append(state)
+
+    def one_hop() -> DataFrame:
+        """(node, component): the least id next to each linked set. Sets with one label are connected, so a place of one label is settled."""
+        low = F.least("a", "b")
+        return links.select(F.col("a").alias("node"), low.alias("c")).union(links.select(F.col("b").alias("node"), low.alias("c"))).groupBy("node").agg(F.min("c").alias("component"))
+
+    def all_hops() -> DataFrame:
+        made.append(connected_components(links))
+        return made[-1]
+
+    linked = not links.isEmpty()
+    state = one_hop() if linked else None
     tried: DataFrame | None = None
     for number in range(ROUNDS + 1):
+        if number == ROUNDS and linked:
+            state = all_hops()
         # Each place's sets with their components; a place of one component is settled.
         now = places.withColumn("c", F.col("id")) if state is None else places.join(state, places.id == state.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         # The pivot: by hash at first, then the set nearest to most of the pivots before, which are spent. Any choice gives the same links.
@@ -337,8 +347,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
         if not fresh.isEmpty():
             sized = fresh.join(fresh.groupBy("a").agg(F.count("*").alias("n")), "a")
             links = links.union(kept(verify(sized, docs, k, similarity), "links"))
-            state = connected_components(links)
-            made.append(state)
+            linked = True
+            state = one_hop() if number < ROUNDS else all_hops()
     members = told.select("id", "n", "set_a", "set_b").join(first, ["n", "set_a", "set_b"])
     # A component's smallest id is among its representatives: each is the least of its copies.
     component = F.col("rep") if state is None else F.coalesce("component", "rep")
