@@ -79,24 +79,26 @@ def calmd(reads: DataFrame, chunked: DataFrame, equals: bool = False) -> DataFra
 
 def bases_from_md(reads: DataFrame) -> DataFrame:
     """rid, pos, base: the reference's bases as the column md of placed reads tells them. Reads that tell different bases of a place are an error."""
-    rows = reads.where((F.col("rid") >= 0) & F.col("md").isNotNull())
+    rows = reads.where(F.col("rid") >= 0)
     ops = C.walk(F.col("cigar"))
     span = lambda o, at: F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(o["n"], F.lit(1)) - 1), lambda i: at + i)
     places = F.flatten(F.transform(F.filter(ops, lambda o: o["op"].isin("M", "=", "X", "D") & (o["n"] > 0)), lambda o: span(o, o["roff"])))
     query = F.array_join(F.transform(F.filter(ops, lambda o: o["op"].isin("M", "=", "X")), lambda o: F.substr("seq", (o["qoff"] + 1).cast("int"), o["n"].cast("int"))), "")
-    rows = rows.withColumn("_query", query)
-    state = F.expr("struct(0 as at, '' as said)")
+    # The bases go along in the state, so that they are put together once a read and not once a run.
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("said"), query.alias("q"))
 
     def step(a: Column, r: Column) -> Column:
         n = r["text"].try_cast("int")
         return (
-            F.when(r["kind"] == "=", F.struct((a["at"] + n).alias("at"), F.concat(a["said"], F.substr("_query", a["at"] + 1, n)).alias("said")))
-            .when(r["kind"] == "D", F.struct(a["at"].alias("at"), F.concat(a["said"], r["text"]).alias("said")))
-            .otherwise(F.struct((a["at"] + 1).alias("at"), F.concat(a["said"], r["text"]).alias("said")))
+            F.when(r["kind"] == "=", F.struct((a["at"] + n).alias("at"), F.concat(a["said"], F.substr(a["q"], a["at"] + 1, n)).alias("said"), a["q"].alias("q")))
+            .when(r["kind"] == "D", F.struct(a["at"].alias("at"), F.concat(a["said"], r["text"]).alias("said"), a["q"].alias("q")))
+            .otherwise(F.struct((a["at"] + 1).alias("at"), F.concat(a["said"], r["text"]).alias("said"), a["q"].alias("q")))
         )
 
     told = F.aggregate(C.md_runs(F.col("md")), state, step, lambda a: a["said"])
-    each = rows.select("rid", "pos", F.inline(F.arrays_zip(places.alias("off"), F.split(F.upper(told), "").alias("base")))).where("off is not null and base <> ''")
+    # The outer form, since Spark tests the input of the inner one first and so computes it more than once; rows without a tag give null here.
+    zipped = F.arrays_zip(places.alias("off"), F.split(F.upper(told), "").alias("base"))
+    each = rows.select("rid", "pos", F.inline_outer(zipped)).where("off is not null and base <> ''")
     known = each.where("base <> 'N'").groupBy("rid", (F.col("pos") + F.col("off")).alias("pos")).agg(F.min("base").alias("base"), F.max("base").alias("other"))
     clash = F.raise_error(F.concat_ws(" ", F.lit("reads tell different bases of"), "rid", "pos")).cast("string")
     return known.select("rid", "pos", F.when(F.col("base") == F.col("other"), F.col("base")).otherwise(clash).alias("base"))

@@ -51,7 +51,8 @@ def idxstats(reads: DataFrame, refs: DataFrame) -> DataFrame:
 
 def aligned_runs(reads: DataFrame, kinds: str = "M=X") -> DataFrame:
     """A row for each CIGAR run whose letter is in kinds: op, start, end on the reference, qoff, n."""
-    runs = reads.withColumn("_w", F.explode(F.filter(C.walk(F.col("cigar")), lambda o: F.lit(kinds).contains(o["op"]))))
+    # The outer form, since Spark tests the input of the inner one for rows first and so computes it more than once.
+    runs = reads.withColumn("_w", F.explode_outer(F.filter(C.walk(F.col("cigar")), lambda o: F.lit(kinds).contains(o["op"])))).where("_w is not null")
     return runs.select("*", F.col("_w.op").alias("op"), (F.col("pos") + F.col("_w.roff")).alias("start"), (F.col("pos") + F.col("_w.roff") + F.col("_w.n")).alias("end"), F.col("_w.qoff").alias("qoff"), F.col("_w.n").alias("n")).drop("_w")
 
 
@@ -374,14 +375,14 @@ def stats(reads: DataFrame, max_insert: int = 8000, once: bool = False, targets:
             entry(original & first, "GCF", F.concat_ws(":", gc, length)), entry(original & last, "GCL", F.concat_ws(":", gc, length)), entry(insert, "IS", F.concat_ws(":", size, kind)),
         )
     )
-    histograms = reads.select(F.inline(keys)).groupBy("section", "key").agg(F.count("*").alias("value"))
+    histograms = reads.select(F.inline_outer(keys)).where("section is not null").groupBy("section", "key").agg(F.count("*").alias("value"))
     out = out.unionByName(histograms.select("section", "key", F.when(F.col("section") == "IS", F.floor(F.col("value") / 2)).otherwise(F.col("value")).alias("value")))
 
     # Cycles: qualities and bases come from the same rows, and both histograms are folded from their joint counts.
     turned = reads.where(original & (first | last)).select(
         F.when(last, "L").otherwise("F").alias("end"), F.when(on(C.REVERSE), F.reverse("qual")).otherwise(F.col("qual")).alias("q"), F.when(on(C.REVERSE), C.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("b")
     )
-    cycles = turned.select("end", F.posexplode(F.arrays_zip(F.split(F.coalesce("q", F.expr("repeat(chr(0), length(b))")), "").alias("q"), F.split("b", "").alias("b"))).alias("c", "x"))
+    cycles = turned.select("end", F.posexplode_outer(F.arrays_zip(F.split(F.coalesce("q", F.expr("repeat(chr(0), length(b))")), "").alias("q"), F.split("b", "").alias("b"))).alias("c", "x")).where("c is not null")
     counted = cycles.groupBy("end", "c", F.when(F.ascii("x.q") == 0, 255).otherwise(F.ascii("x.q") - 33).alias("q"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))
     both_kinds = counted.select("n", F.inline(F.array(F.struct(F.concat("end", F.lit("FQ")).alias("section"), F.concat_ws(":", F.col("c") + 1, "q").alias("key")), F.struct(F.concat("end", F.lit("BC")).alias("section"), F.concat_ws(":", F.col("c") + 1, "b").alias("key")))))
     out = out.unionByName(both_kinds.groupBy("section", "key").agg(F.sum("n").alias("value")))
@@ -466,7 +467,7 @@ def mpileup(
     else:
         kept = kept.withColumn("refseq", F.lit(""))
     rows = kept.withColumn("_ops", C.walk(F.col("cigar"))).withColumn("_last", F.col("pos") + C.ref_span(F.col("cigar")))
-    e = rows.select("src", "ord", "rid", "pos", "_last", "mapq", "seq", "qual", "refseq", "_ops", C.has(flag, C.REVERSE).alias("rev"), F.posexplode("_ops").alias("_k", "_o")).where("_o.op in ('M', '=', 'X', 'D', 'N') and _o.n > 0")
+    e = rows.select("src", "ord", "rid", "pos", "_last", "mapq", "seq", "qual", "refseq", "_ops", C.has(flag, C.REVERSE).alias("rev"), F.posexplode_outer("_ops").alias("_k", "_o")).where("_o.op in ('M', '=', 'X', 'D', 'N') and _o.n > 0")
     after = F.try_element_at("_ops", (F.col("_k") + 2).cast("int"))
     base = F.col("_o.op").isin("M", "=", "X")
     cut = lambda c, at, n: F.substr(c, (at + 1).cast("int"), n.cast("int"))

@@ -150,7 +150,9 @@ def template_keys() -> list[Column]:
 
 
 def sort(reads: DataFrame, order: str = "coordinate") -> DataFrame:
-    return reads.orderBy(*sort_keys(order))
+    """reads in order. Keys are computed once a row, before rows are sampled and sorted."""
+    keys = [k.alias(f"_key{i}") for i, k in enumerate(sort_keys(order))]
+    return reads.select("*", *keys).orderBy(*[f"_key{i}" for i in range(len(keys))]).select(*reads.columns)
 
 
 def collate(reads: DataFrame) -> DataFrame:
