@@ -48,11 +48,3 @@ def bit_filter(wanted: DataFrame, *key: Column | str) -> BitFilter:
     bits = np.zeros(size // 64, np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return BitFilter(size, wanted.sparkSession.sparkContext.broadcast(bits))
-
-
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not among those of gone, a null being a key like others. Only rows that the filter cannot clear are shuffled."""
-    one = gone.select(F.col(key).alias("_gone")).distinct()
-    found = bit_filter(one, "_gone")
-    doubtful = found.passing(rows, key).join(one, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    return found.passing(rows, key, negate=True).union(doubtful)

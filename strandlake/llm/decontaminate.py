@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.bits import without
-from strandlake.llm.stage import staged
 from strandlake.llm.text import PLACE, WordHasher, blocks, lean, mix, texts_of, words_by_text
 
 EDITS, GRAM, SMALL = 0.2, 3, 6
@@ -250,8 +248,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns. A null id is an id like others here."""
-    found = staged(find_leaks(docs, benchmark, id_column, text).select(F.col("doc_id").alias("_leaked_id")).distinct(), "leaks")
-    return without(docs.withColumn("_leaked_id", F.col(id_column).cast("long")), found, "_leaked_id").select(*docs.columns)
+    found = find_leaks(docs, benchmark, id_column, text).select(F.col("doc_id").alias("_leaked_id")).distinct()
+    return docs.join(found, F.col(id_column).cast("long").eqNullSafe(F.col("_leaked_id")), "left_anti")
 
 
 def _search(docs: DataFrame, table) -> DataFrame:
