@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.bits import bit_filter
 from strandlake.llm.components import connected_components
-from strandlake.llm.stage import drop_staged, staged
+from strandlake.llm.stage import drop_staged, staged, tidy
 from strandlake.llm.text import WordHasher, blocks, distinct_by_text, lean, mix, shingles_by_text, texts_of, words_by_text
 
 #: Most frequent tokens in the broadcast table (8 bytes each), and the least count in it.
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     link of any of its texts joins, a row for each; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    rule = Rule(similarity)
+    spark, rule = docs.sparkSession, Rule(similarity)
     made: list[DataFrame] = []
 
     def kept(df: DataFrame, label: str) -> DataFrame:
@@ -296,6 +296,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     ).where("low < high")
     chosen = held.groupBy("m", "low", "high", "h", "g").agg(F.min("key").alias("key")).select("key")
     places = kept(dealt.join(chosen, "key").select("key", "id"), "places")
+    tidy(spark)
     # A document with several texts joins their sets.
     several = told.groupBy("id").agg(F.min(F.struct("n", "set_a", "set_b")).alias("low"), F.max(F.struct("n", "set_a", "set_b")).alias("high")).where("low <> high").select("id")
     links = kept(told.join(several, "id", "left_semi").join(first, ["n", "set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")), "links")
@@ -349,6 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
             links = links.union(kept(verify(sized, docs, k, similarity), "links"))
             linked = True
             state = one_hop() if number < ROUNDS else all_hops()
+        tidy(spark)
     members = told.select("id", "n", "set_a", "set_b").join(first, ["n", "set_a", "set_b"])
     # A component's smallest id is among its representatives: each is the least of its copies.
     component = F.col("rep") if state is None else F.coalesce("component", "rep")
@@ -356,6 +358,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8", id_
     rest = seen.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
     out = staged(found.union(rest), "classes")
     drop_staged(*made)
+    tidy(spark)
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 

@@ -39,3 +39,9 @@ def drop_staged(*frames: DataFrame) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver collect what earlier rounds left: compiled plans it no longer runs, and shuffle files of plans no longer
+    referred to, which Spark's cleaner deletes when their plans are collected and otherwise looks for twice an hour only."""
+    spark._jvm.System.gc()
