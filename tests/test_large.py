@@ -38,3 +38,16 @@ def test_pileup_keeps_places_of_poor_bases(spark):
 def test_pileup_shuffles_no_bases(spark):
     for name in ("mpileup", "mpileup_reference"):
         assert "collect_list" not in plan(Q.QUERIES[name](spark, SMALL))
+
+
+def test_large_genomes_are_met_by_key(spark, monkeypatch):
+    r, g = reads(spark, SMALL).where("ord % 3 = 0"), reference.chunks(genome(spark))
+    told = lambda: sorted(map(tuple, reference.calmd(r, g).select("src", "ord", "md", "nm").collect()), key=str)
+    piled = lambda: sorted(map(tuple, reports.mpileup(r, genome=g).collect()))
+    small = told(), piled()
+    monkeypatch.setattr(reference, "WHOLE", 0)
+    assert (told(), piled()) == small
+
+
+def test_tags_are_told_batch_by_batch(spark):
+    assert "ArrowEvalPython" in plan(Q.QUERIES["calmd"](spark, SMALL)) and "MapInArrow" in plan(Q.QUERIES["reference_from_md"](spark, SMALL))
