@@ -64,3 +64,25 @@ def test_genes_meet_reads_by_bin(spark):
 
 def test_deep_places_of_regions_are_summed_not_joined(spark):
     assert "r_start" not in plan(Q.QUERIES["bedcov_at_least"](spark, SMALL))
+
+
+def test_rows_are_packed_as_by_search():
+    import random
+
+    from strandlake.operators.viewer import pack_rows
+
+    rng = random.Random(1)
+    starts = sorted(rng.randrange(200) for _ in range(800))
+    ends = [a + rng.randrange(1, 60) for a in starts]
+    free, want = [], []
+    for a, b in zip(starts, ends, strict=True):
+        row = next((i for i, until in enumerate(free) if until <= a), len(free))
+        free[row : row + 1] = [b + 1]
+        want.append(row)
+    assert pack_rows(starts, ends) == want
+    n = 200_000  # quadratic work would not end
+    assert max(pack_rows([0] * n, [50] * n)) == n - 1
+
+
+def test_phasing_shuffles_no_bases(spark):
+    assert plan(Q.QUERIES["phase_sites"](spark, SMALL)).count("MapInArrow") == 2
