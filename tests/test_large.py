@@ -86,3 +86,12 @@ def test_rows_are_packed_as_by_search():
 
 def test_phasing_shuffles_no_bases(spark):
     assert plan(Q.QUERIES["phase_sites"](spark, SMALL)).count("MapInArrow") == 2
+
+
+def test_summaries_count_reads_once(spark):
+    for name, scans in (("stats_summary", 3),):
+        assert plan(Q.QUERIES[name](spark, SMALL)).count("l_orderkey") and plan(Q.QUERIES[name](spark, SMALL)).count("RepartitionByExpression") == scans
+    whole = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL)).collect()}
+    for section in reports.SECTIONS:
+        part = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL), sections=(section,)).collect()}
+        assert part and part == {k: v for k, v in whole.items() if k[0] == section}
