@@ -89,7 +89,7 @@ def test_phasing_shuffles_no_bases(spark):
 
 
 def test_summaries_count_reads_once(spark):
-    for name, scans in (("stats_summary", 3), ("stats_targets", 1)):
+    for name, scans in (("stats_summary", 3), ("insert_sizes", 1), ("stats_targets", 1)):
         assert plan(Q.QUERIES[name](spark, SMALL)).count("l_orderkey") and plan(Q.QUERIES[name](spark, SMALL)).count("RepartitionByExpression") == scans
     whole = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL)).collect()}
     for section in reports.SECTIONS:
