@@ -95,3 +95,11 @@ def test_summaries_count_reads_once(spark):
     for section in reports.SECTIONS:
         part = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL), sections=(section,)).collect()}
         assert part and part == {k: v for k, v in whole.items() if k[0] == section}
+
+
+def test_places_are_numbered_part_by_part(spark):
+    rows = spark.range(1000, numPartitions=7).selectExpr("id % 3 as src", "id * 10 as ord")
+    got = {(r.src, r.ord): r.place for r in Q._ranked(rows, "src").collect()}
+    assert got == {(i % 3, i * 10): i // 3 + 1 for i in range(1000)}
+    windows = [w for w in plan(Q.QUERIES["sort_template"](spark, SMALL)).splitlines() if "row_number() windowspecdefinition" in w and "_at" in w]
+    assert windows and all("_part" in w.split("_at")[0] for w in windows)
