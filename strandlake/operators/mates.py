@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions import columns as C
+from strandlake.operators import kernels
 from strandlake.operators.select import range_join
 
 
+def quality_score(least: int = 15) -> Column:
+    """Sum of a read's qualities that reach least; where there are none, 255 for each base. Worked out batch by batch."""
+    told = F.arrow_udf(lambda qual: kernels.quality_sums(least)(qual), "long")
+    return F.when(F.col("qual").isNull(), F.length("seq").cast("long") * 255).otherwise(told("qual"))
+
+
 def fixmate(reads: DataFrame, add_score: bool = True, check_proper: bool = True, remove: bool = False) -> DataFrame:
     """Primary rows of a template get each other's place, strand, MQ, MC, template length and, with add_score, ms; a single primary row loses its mate.
 
@@ -69,7 +76,7 @@ def markdup(reads: DataFrame, include_fails: bool = False, clear: bool = False,
     Rows that are secondary, supplementary or unmapped, and failed ones unless include_fails, pass unexamined. Of equal templates
     a passing one stays before a failed one, then the one with the higher sum of qualities, then the smaller name; a single read loses
     to any paired read of its place. clear: bits from before are taken off first; remove: duplicates are left out.
-    Only narrow rows of examined reads are shuffled to find the losers, which then meet the reads.
+    Only narrow rows of examined reads are shuffled to find the losers, once by template and once by place, which then meet the reads.
     """
     flag = F.col("flag")
     if clear:
@@ -78,18 +85,18 @@ def markdup(reads: DataFrame, include_fails: bool = False, clear: bool = False,
     mated = C.has(flag, C.PAIRED) & ~C.has(flag, C.MUNMAP) & (F.col("mpos") >= 0) & (F.col("mcigar") != "*")
     rev, mrev = C.has(flag, C.REVERSE), C.has(flag, C.MREVERSE)
     mflag = F.when(mrev, C.REVERSE).otherwise(0).cast("long")
+    paired = lambda c: F.when(mated, c)
     rows = reads.where(~C.has(flag, skipped)).select(
-        "src", "ord", "qname", "rid", unclipped_five(flag, F.col("pos"), F.col("cigar")).alias("five"), rev.alias("rev"), "mrid", unclipped_five(mflag, F.col("mpos"), F.col("mcigar")).alias("mfive"), mrev.alias("mrev"),
-        mated.alias("mated"), C.quality_sum(F.col("qual"), length=F.length("seq")).alias("score"), C.has(flag, C.QCFAIL).alias("fail"),
+        "src", "ord", "qname", "rid", unclipped_five(flag, F.col("pos"), F.col("cigar")).alias("five"), rev.alias("rev"), mated.alias("mated"), paired(F.col("mrid")).alias("mrid"),
+        paired(unclipped_five(mflag, F.col("mpos"), F.col("mcigar"))).alias("mfive"), paired(mrev).alias("mrev"), quality_score().alias("score"), C.has(flag, C.QCFAIL).alias("fail"),
     )
-    pairs = rows.where("mated").withColumn("total", F.sum("score").over(Window.partitionBy("src", "qname")))
-    best = Window.partitionBy("rid", "five", "rev", "mrid", "mfive", "mrev").orderBy("fail", F.desc("total"), "qname", "src", "ord")
-    lost = pairs.withColumn("k", F.row_number().over(best)).where("k > 1").select("src", "ord")
-    # A place is one task's rows: single reads and, of the pairs there, one row.
-    taken = rows.where("mated").select("rid", "five", "rev").distinct().withColumns({"src": F.lit(-1).cast("long"), "ord": F.lit(-1).cast("long"), "fail": F.lit(False), "score": F.lit(2**62)})
-    singles = rows.where("not mated").select(*taken.columns).unionByName(taken)
-    one = Window.partitionBy("rid", "five", "rev").orderBy("fail", F.desc("score"), "src", "ord")
-    lost = lost.unionByName(singles.withColumn("k", F.row_number().over(one)).where("k > 1 and ord >= 0").select("src", "ord"))
+    total = F.sum(F.when(F.col("mated"), F.col("score"))).over(Window.partitionBy("src", "qname"))
+    rows = rows.select("src", "ord", F.when(F.col("mated"), F.col("qname")).alias("name"), *["rid", "five", "rev", "mated", "mrid", "mfive", "mrev", "fail"], F.when(F.col("mated"), total).otherwise(F.col("score")).alias("score"))
+    # A place is one task's rows. Single reads there lose to any pair, else they compete as pairs do.
+    place = ["rid", "five", "rev"]
+    rows = rows.withColumn("met", F.max("mated").over(Window.partitionBy(*place)))
+    best = Window.partitionBy(*place, "mated", "mrid", "mfive", "mrev").orderBy("fail", F.desc("score"), "name", "src", "ord")
+    lost = rows.withColumn("k", F.row_number().over(best)).where("k > 1 or met and not mated").select("src", "ord")
     out = reads.join(lost.withColumn("_lost", F.lit(C.DUP)), ["src", "ord"], "left")
     if remove:
         return out.where(F.col("_lost").isNull() & ~C.has(flag, C.DUP)).select(*reads.columns)

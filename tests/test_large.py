@@ -103,3 +103,7 @@ def test_places_are_numbered_part_by_part(spark):
     assert got == {(i % 3, i * 10): i // 3 + 1 for i in range(1000)}
     windows = [w for w in plan(Q.QUERIES["sort_template"](spark, SMALL)).splitlines() if "row_number() windowspecdefinition" in w and "_at" in w]
     assert windows and all("_part" in w.split("_at")[0] for w in windows)
+
+
+def test_duplicates_need_few_passes(spark):
+    assert plan(Q.QUERIES["markdup"](spark, SMALL)).count("RepartitionByExpression") == 2
