@@ -107,3 +107,8 @@ def test_places_are_numbered_part_by_part(spark):
 
 def test_duplicates_need_few_passes(spark):
     assert plan(Q.QUERIES["markdup"](spark, SMALL)).count("RepartitionByExpression") == 2
+
+
+def test_amplicons_are_looked_up(spark):
+    told = plan(Q.QUERIES["ampliconstats"](spark, SMALL))
+    assert told.count("RepartitionByExpression") == 3 and "r_start" not in told
