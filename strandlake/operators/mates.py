@@ -25,7 +25,7 @@ def fixmate(reads: DataFrame, add_score: bool = True, check_proper: bool = True,
     other on one reference are not proper; remove: secondary and unmapped rows are left out, with the bits that tell of them.
     """
     flag = F.col("flag")
-    rows = reads.withColumns({"_primary": ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY), "_score": C.quality_sum(F.col("qual"), length=F.length("seq")), "_end": F.col("pos") + C.ref_span(F.col("cigar")), "_off": C.has(flag, C.UNMAP)})
+    rows = reads.withColumns({"_primary": ~C.has(flag, C.SECONDARY | C.SUPPLEMENTARY), "_score": quality_score(), "_end": F.col("pos") + C.ref_span(F.col("cigar")), "_off": C.has(flag, C.UNMAP)})
     # One window a template: primary rows are numbered in input order, and the first, the last and the last of each end are looked up.
     whole = Window.partitionBy("src", "qname")
     rows = rows.withColumn("_k", F.when(F.col("_primary"), F.sum(F.col("_primary").cast("long")).over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))

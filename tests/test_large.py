@@ -112,3 +112,15 @@ def test_duplicates_need_few_passes(spark):
 def test_amplicons_are_looked_up(spark):
     told = plan(Q.QUERIES["ampliconstats"](spark, SMALL))
     assert told.count("RepartitionByExpression") == 3 and "r_start" not in told
+
+
+def test_scores_are_summed_batch_by_batch(spark):
+    import pyarrow as pa
+
+    from strandlake.operators import kernels
+
+    texts = ["I5?+#:9", None, "", "000/", "~é", "!"]
+    want = [None if t is None else sum(ord(c) - 33 for c in t if ord(c) - 33 >= 15) for t in texts]
+    assert kernels.quality_sums(15)(pa.array(texts)).to_pylist() == want and kernels.quality_sums(15)(pa.array(texts).slice(1, 3)).to_pylist() == want[1:4]
+    for name in ("fixmate", "markdup"):
+        assert "ArrowEvalPython" in plan(Q.QUERIES[name](spark, SMALL))
