@@ -124,3 +124,7 @@ def test_scores_are_summed_batch_by_batch(spark):
     assert kernels.quality_sums(15)(pa.array(texts)).to_pylist() == want and kernels.quality_sums(15)(pa.array(texts).slice(1, 3)).to_pylist() == want[1:4]
     for name in ("fixmate", "markdup"):
         assert "ArrowEvalPython" in plan(Q.QUERIES[name](spark, SMALL))
+
+
+def test_depth_walks_reads_once(spark):
+    assert plan(Q.QUERIES["depth_once"](spark, SMALL)).count("RepartitionByExpression") == 1
