@@ -89,12 +89,12 @@ def test_phasing_shuffles_no_bases(spark):
 
 
 def test_summaries_count_reads_once(spark):
-    for name, scans in (("stats_summary", 3), ("insert_sizes", 1), ("stats_targets", 1)):
+    for name, scans in (("stats_summary", 1), ("insert_sizes", 1), ("stats_targets", 1)):
         assert plan(Q.QUERIES[name](spark, SMALL)).count("l_orderkey") and plan(Q.QUERIES[name](spark, SMALL)).count("RepartitionByExpression") == scans
     whole = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL)).collect()}
-    for section in reports.SECTIONS:
-        part = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL), sections=(section,)).collect()}
-        assert part and part == {k: v for k, v in whole.items() if k[0] == section}
+    for sections in (reports.SUMMED, ("COV",), ("IS",), ("RL", "MAPQ", "GCF", "LBC", "ID")):
+        part = {(r.section, r.key): r.value for r in reports.stats(reads(spark, SMALL), sections=sections).collect()}
+        assert part and part == {k: v for k, v in whole.items() if k[0] in sections}
 
 
 def test_places_are_numbered_part_by_part(spark):
