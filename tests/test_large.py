@@ -128,3 +128,24 @@ def test_scores_are_summed_batch_by_batch(spark):
 
 def test_depth_walks_reads_once(spark):
     assert plan(Q.QUERIES["depth_once"](spark, SMALL)).count("RepartitionByExpression") == 1
+
+
+def test_regions_meet_reads_without_vain_pairs(spark, monkeypatch):
+    import random
+
+    from strandlake.operators import select
+
+    told = plan(Q.QUERIES["view_regions"](spark, SMALL))
+    assert "r_start" not in told and all("<" not in line for line in told.splitlines() if "Join" in line)
+    rng = random.Random(6)
+    spans = [(rng.choice((-1, 0, 1)), rng.randrange(6000), rng.choice((0, 1, 2, 50, 1023, 1024, 1025, 5000))) for _ in range(300)] + [(0, p, n) for p in (0, 1023, 1024, 2048) for n in (1, 1024, 4096)]
+    made = [(rng.choice((0, 1, 2)), a := rng.randrange(-10, 9000), a + rng.choice((-1, 0, 1, 2, 40, 1024, 3000))) for _ in range(150)] + [(0, 1024, 2048), (1, 0, 9000)] * 20
+    regions = [(i // 2, *x) for i, x in enumerate(made)]
+    reads = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "ord long, rid long, pos long, n long").selectExpr("ord", "rid", "pos", "if(n = 0, '*', concat(n, 'M')) as cigar")
+    table = spark.createDataFrame(regions, "line long, rid long, start long, end long")
+    want = sorted((line, i) for i, (rid, p, n) in enumerate(spans) for line, r, a, b in regions if rid >= 0 and rid == r and a < b and p < b and a < p + max(n, 1))
+    for held, listed, dealt in ((1 << 23, 1 << 20, 1024), (0, 3, 1)):
+        for name, value in (("HELD_NUMBERS", held), ("LISTED", listed), ("DEALT", dealt)):
+            monkeypatch.setattr(select, name, value)
+        assert sorted((r.line, r.ord) for r in select.view_regions(reads, table).select("line", "ord").collect()) == want
+    assert select.view_regions(reads, table.limit(0)).count() == 0
